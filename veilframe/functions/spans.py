@@ -8,7 +8,7 @@ alternate gap, match, gap, match ... A fold over the zipped pair is exact.
 
 from __future__ import annotations
 
-from ..catalog.rules import TERMS_SCREEN, Rule, RuleBook, context_words, normal_words
+from ..catalog.rules import TERMS_SCREEN, Rule, RuleBook, context_words, normal_words, starts_screen
 from .core import HITS_TYPE, NO_HITS, let, lit, lits
 from .overlap import drop_contained
 from .validators import checked
@@ -22,31 +22,51 @@ def _any_in(haystack: str, stems) -> list[str]:
     return [f"contains({haystack}, {lit(s)})" for s in stems]
 
 
+def _flat(needs):
+    for kind, args in needs:
+        if kind == "one":
+            yield from _flat(args)
+        else:
+            yield kind, args
+
+
 def _screens(text: str, book: RuleBook) -> str:
     """Struct of cheap per-row facts that decide which patterns need to run."""
-    needs = {need for r in book.rules for need in r.needs}
+    needs = {need for r in book.rules for need in _flat(r.needs)}
+    starts = {s for kind, args in needs if kind == "starts" for s in args}
+    words = {w for kind, args in needs if kind == "word" for w in args}
     fields = []
-    if any(kind == "any" for kind, _ in needs):
-        fields += [f"'low', lower({text})", f"'odd', {' or '.join(_any_in(text, _CASE_ALIASES))}"]
+    if any(kind in ("any", "starts", "word") for kind, _ in needs):
+        fields += ["'low', sp_l", f"'odd', {' or '.join(_any_in(text, _CASE_ALIASES))}"]
+    if starts or words:
+        fields.append(f"'starts', sp_l rlike {lit(starts_screen(starts, words))}")
     for n in sorted({args[0] for kind, args in needs if kind == "digits"}):
         fields.append(f"'digits{n}', {text} rlike {lit('(?U)' + chr(92) + 'd{%d}' % n)}")
     if any(kind == "terms" for kind, _ in needs):
         fields.append(f"'terms', {text} rlike {lit(TERMS_SCREEN)}")
-    return f"named_struct({', '.join(fields or [chr(39) + 'none' + chr(39) + ', 0'])})"
+    return let("sp_l", f"concat(' ', lower({text}))",
+               f"named_struct({', '.join(fields) or lit('none') + ', 0'})")
+
+
+def _holds(need, text: str, screen: str) -> str:
+    kind, args = need
+    if kind == "digits":
+        return f"{screen}.digits{args[0]}"
+    if kind == "terms":
+        return f"{screen}.terms"
+    if kind == "cased":
+        return f"({' or '.join(_any_in(text, args))})"
+    if kind == "any":
+        return f"({' or '.join(_any_in(screen + '.low', args))} or {screen}.odd)"
+    if kind == "starts":
+        return f"({screen}.odd or {screen}.starts and ({' or '.join(_any_in(screen + '.low', args))}))"
+    if kind == "word":
+        return f"({screen}.odd or {screen}.starts and {screen}.low rlike {lit(starts_screen((), args))})"
+    return "(" + " or ".join(_holds(n, text, screen) for n in args) + ")"
 
 
 def _may_match(rule: Rule, text: str, screen: str) -> str:
-    conditions = []
-    for kind, args in rule.needs:
-        if kind == "digits":
-            conditions.append(f"{screen}.digits{args[0]}")
-        elif kind == "terms":
-            conditions.append(f"{screen}.terms")
-        elif kind == "cased":
-            conditions.append(f"({' or '.join(_any_in(text, args))})")
-        else:
-            conditions.append(f"({' or '.join(_any_in(screen + '.low', args))} or {screen}.odd)")
-    return " and ".join(conditions) or "true"
+    return " and ".join(_holds(need, text, screen) for need in rule.needs) or "true"
 
 
 def _matches(text: str, book: RuleBook) -> str:
