@@ -27,7 +27,7 @@ def s(value) -> str:
 
 
 def names(values) -> str:
-    return "[" + ", ".join(s(v) for v in values) + "]::VARCHAR[]"
+    return "(CAST([" + ", ".join(s(v) for v in values) + "] AS VARCHAR[]))"
 
 
 def _rules(book: RuleBook) -> str:
@@ -201,7 +201,7 @@ def policy(name: str) -> str:
 {rendered(token(p.mode), 'keptp', 'outp') if p.mode != 'exclude' else 'outp AS (SELECT id, text AS sanitized_text FROM src)'},
 pv AS (SELECT id, count(*) AS n, max({rank('entity_type')}) AS rk, {types(f'WHERE {blocked}')} AS bt, {types('WHERE true')} AS ty FROM rel GROUP BY id),
 pd AS (SELECT s.id, s.text, coalesce(n, 0)::INT AS n, coalesce(rk, 0) AS rk, coalesce(bt, '') AS bt, coalesce(ty, '') AS ty,
-    coalesce(bt <> '' OR {str(p.exclude_any).lower()}, false) AS no FROM src s LEFT JOIN pv USING (id)),
+    coalesce(n, 0) > 0 AND (bt <> '' OR {str(p.exclude_any).lower()}) AS no FROM src s LEFT JOIN pv USING (id)),
 po AS (SELECT d.id, d.text, NOT no AS passed, CASE WHEN n = 0 THEN 'none' WHEN no THEN 'excluded' ELSE {s(ACTION[p.mode])} END AS action_taken,
     CASE WHEN NOT no THEN '' WHEN bt <> '' THEN bt ELSE ty END AS blocked_entities, n AS hit_count, {tier('rk')} AS risk_level,
     n > 0 AND rk >= {TIERS.index(p.warn_at)} AS warned, CASE WHEN no THEN NULL WHEN n = 0 THEN d.text ELSE o.sanitized_text END AS sanitized_text

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -553,16 +554,28 @@ UNION ALL SELECT 'clean_total', '', coalesce(sum(batch_size) FILTER (WHERE hit_c
 UNION ALL SELECT 'entity_type_total', entity_type, events FROM ({_TYPES}) UNION ALL SELECT dimension || '_total', label, events FROM ({_LABELS})""")
 
 # The events table as an audit log: every event is one request with a batch and its hits.
-_LOG = ["ts", "event_type AS endpoint", "cast(event_id % 3 AS bigint) AS hit_count", "cast(event_id % 2 AS bigint) AS excluded_count",
+# Its clock has no zone; it is read as UTC whatever the session's zone is.
+_UTC = "to_timestamp(concat(cast(ts AS string), 'Z')) AS ts"
+_LOG = [_UTC, "event_type AS endpoint", "cast(event_id % 3 AS bigint) AS hit_count", "cast(event_id % 2 AS bigint) AS excluded_count",
         "cast(1 + event_id % 5 AS bigint) AS batch_size"]
 _STATS = """count(*) AS total_requests, sum(event_id % 3)::BIGINT AS total_pii_hits, sum(event_id % 2)::BIGINT AS total_excluded,
     coalesce(sum(1 + event_id % 5) FILTER (WHERE event_id % 3 = 0), 0)::BIGINT AS total_clean"""
+
+
+def _at(day: str) -> datetime:
+    return datetime.fromisoformat(day).replace(tzinfo=timezone.utc)
+
+
+def utc_text(col: str, fmt: str):
+    return F.date_format(F.to_utc_timestamp(col, F.current_timezone()), fmt).alias(col)
+
+
 register("stats_since", lambda spark, sf: audit.stats_totals(audit.between(
-    spark.read.parquet(f"{sf}/events.parquet").selectExpr(*_LOG), "2024-01-10", "2024-01-20"), ["endpoint"]),
+    spark.read.parquet(f"{sf}/events.parquet").selectExpr(*_LOG), _at("2024-01-10"), _at("2024-01-20")), ["endpoint"]),
     f"SELECT event_type AS endpoint, {_STATS} FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY event_type")
 register("stats_windowed", lambda spark, sf: jobs.windowed_stats(
     spark.read.parquet(f"{sf}/events.parquet").selectExpr(*_LOG), window="1 day", by=["endpoint"]).select(
-    F.date_format("window_start", "yyyy-MM-dd").alias("day"), "endpoint", "total_requests", "total_pii_hits",
+    utc_text("window_start", "yyyy-MM-dd").alias("day"), "endpoint", "total_requests", "total_pii_hits",
     "total_excluded", "total_clean"),
     f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS endpoint, {_STATS} FROM events GROUP BY ALL")
 
@@ -773,7 +786,7 @@ def _stream_stats(slide):
         stats = jobs.windowed_stats(log, window="1 day", slide=slide)
         jobs.run_to_table(stats, f"{root}/out", f"{root}/state")
         return spark.read.parquet(f"{root}/out").select(
-            F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+            utc_text("window_start", "yyyy-MM-dd HH:mm"),
             "total_requests", "total_pii_hits", "total_excluded", "total_clean")
     return run
 
@@ -800,10 +813,10 @@ def _stream_late(spark, sf):
 
     log.write.parquet(folder)
     drain()
-    log.where("ts < '2024-01-06'").write.mode("append").parquet(folder)
+    log.where(F.col("ts") < F.lit(_at("2024-01-06"))).write.mode("append").parquet(folder)
     drain()
     return spark.read.parquet(f"{root}/out").select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"),
+        utc_text("window_start", "yyyy-MM-dd HH:mm"),
         "total_requests", "total_pii_hits", "total_excluded", "total_clean")
 
 
