@@ -48,10 +48,15 @@ def hits(source: str, book: RuleBook | None = None, hint: str | None = None) ->
     fixed = names(sorted(hinted_entities(hint, book)))
     boosted = "boosted" if "AS boosted" in source else fixed
     b, f, w, c = book.boost, book.boost_floor, book.context_words, book.context_chars
-    return f"""src AS ({source}),
+    # Constant patterns are compiled once; a pattern read from a column would be compiled per row.
+    matched = "\nUNION ALL\n".join(
+        f"SELECT id, text, bl, {r.rule_id} AS pattern_id, regexp_extract_all(text, {s(rx)}) AS ms, "
+        f"string_split_regex(text, {s(rx)}) AS gs FROM src WHERE regexp_matches(text, {s(rx)})"
+        for r in book.rules for rx in ["(?i)" + SHAPES.get(r.pattern, (r.regex, ""))[0]])
+    return f"""src AS MATERIALIZED (SELECT *, {boosted} AS bl FROM ({source})),
 {_rules(book)},
-m AS (SELECT s.id, s.text, {boosted} AS bl, r.*, regexp_extract_all(s.text, r.rx) AS ms, string_split_regex(s.text, r.rx) AS gs
-      FROM src s, rules r WHERE s.text IS NOT NULL AND regexp_matches(s.text, r.rx)),
+mm AS MATERIALIZED ({matched}),
+m AS (SELECT * FROM mm JOIN rules USING (pattern_id)),
 ks AS (SELECT *, unnest(range(1, len(ms) + 1)) AS k FROM m),
 raw AS (SELECT *, ms[k] AS v, list_sum(list_transform(gs[1:k], lambda g: length(g)))
         + coalesce(list_sum(list_transform(ms[1:k-1], lambda g: length(g))), 0) AS st FROM ks),

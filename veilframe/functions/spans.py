@@ -8,8 +8,10 @@ alternate gap, match, gap, match ... A fold over the zipped pair is exact.
 
 from __future__ import annotations
 
+import json
+
 from ..catalog.rules import TERMS_SCREEN, Rule, RuleBook, context_words, normal_words, starts_screen
-from .core import HITS_TYPE, NO_HITS, let, lit, lits
+from .core import HITS_TYPE, NO_HITS, let, lit
 from .overlap import drop_contained
 from .validators import checked
 
@@ -30,9 +32,9 @@ def _flat(needs):
             yield kind, args
 
 
-def _screens(text: str, book: RuleBook) -> str:
+def _screens(text: str, rules) -> str:
     """Struct of cheap per-row facts that decide which patterns need to run."""
-    needs = {need for r in book.rules for need in _flat(r.needs)}
+    needs = {need for r in rules for need in _flat(r.needs)}
     starts = {s for kind, args in needs if kind == "starts" for s in args}
     words = {w for kind, args in needs if kind == "word" for w in args}
     fields = []
@@ -58,10 +60,9 @@ def _holds(need, text: str, screen: str) -> str:
         return f"({' or '.join(_any_in(text, args))})"
     if kind == "any":
         return f"({' or '.join(_any_in(screen + '.low', args))} or {screen}.odd)"
-    if kind == "starts":
-        return f"({screen}.odd or {screen}.starts and ({' or '.join(_any_in(screen + '.low', args))}))"
-    if kind == "word":
-        return f"({screen}.odd or {screen}.starts and {screen}.low rlike {lit(starts_screen((), args))})"
+    if kind in ("starts", "word"):
+        screened = starts_screen(args, ()) if kind == "starts" else starts_screen((), args)
+        return f"({screen}.odd or {screen}.starts and {screen}.low rlike {lit(screened)})"
     return "(" + " or ".join(_holds(n, text, screen) for n in args) + ")"
 
 
@@ -69,11 +70,11 @@ def _may_match(rule: Rule, text: str, screen: str) -> str:
     return " and ".join(_holds(need, text, screen) for need in rule.needs) or "true"
 
 
-def _matches(text: str, book: RuleBook) -> str:
+def _matches(text: str, rules) -> str:
     """array<array<string>>: per rule its matches, null where the rule was not needed."""
     per_rule = [f"case when {_may_match(r, text, 'sp_s')} then regexp_extract_all({text}, {lit(r.java)}, 0) end"
-                for r in book.rules]
-    return let("sp_s", _screens(text, book), f"array({', '.join(per_rule)})")
+                for r in rules]
+    return let("sp_s", _screens(text, rules), f"array({', '.join(per_rule)})")
 
 
 def preceding_words(text: str, start: str, book: RuleBook) -> str:
@@ -100,50 +101,50 @@ def hits_sql(text: str, book: RuleBook, hint: str | None = None, boosted: str |
     ``hint``     entity type of the field, known on the driver.
     ``boosted``  SQL expression of an array<string> of entity types to boost, when hints vary per row.
     """
-    book = book if boosted is not None else book.reachable()
-    rules = book.rules
+    rules = book.reachable().rules
     if not rules:
         return NO_HITS
     always = hinted_entities(hint, book)
-    entities = lits([r.entity for r in rules])
-    spans = _spans("sp_m", "sp_i", rules)
-    seen = f"get({lits([r.entity in always for r in rules], 'boolean')}, sp_i)"
+    seen = "sp_q.hinted"
     if boosted is not None:
-        seen = f"({seen} or coalesce(array_contains({boosted}, get({entities}, sp_i)), false))"
-    words = "array(" + ", ".join(lits(normal_words(r.context)) for r in rules) + ")"
+        seen = f"(sp_q.hinted or coalesce(array_contains({boosted}, sp_q.entity), false))"
     near = let("sp_p", preceding_words("sp_t", "sp_x.start", book),
-               f"exists(get({words}, sp_i), sp_v -> contains(sp_p, sp_v))")
-    base = f"get({lits([r.score for r in rules], 'double')}, sp_i)"
-    score = (f"case when get({lits([bool(r.context) for r in rules], 'boolean')}, sp_i) and ({seen} or {near}) "
-             f"then least(1.0D, greatest({base} + {lit(float(book.boost))}, {lit(float(book.boost_floor))})) "
-             f"else {base} end")
-    scored = (f"transform({spans}, sp_x -> named_struct('start', sp_x.start, 'end', sp_x.`end`, "
-              f"'entity_type', get({entities}, sp_i), 'score', {score}, "
-              f"'pattern_id', get({lits([r.rule_id for r in rules], 'int')}, sp_i)))")
-    limit = f"get({lits([float(book.threshold_of(r.entity)) for r in rules], 'double')}, sp_i)"
-    enough = f"filter({scored}, sp_h -> sp_h.score >= {limit})"
+               "exists(sp_q.words, sp_v -> contains(sp_p, sp_v))")
+    score = (f"case when size(sp_q.words) > 0 and ({seen} or {near}) "
+             f"then least(1.0D, greatest(sp_q.base + {lit(float(book.boost))}, {lit(float(book.boost_floor))})) "
+             f"else sp_q.base end")
+    scored = (f"transform({_spans(rules)}, sp_x -> named_struct('start', sp_x.start, 'end', sp_x.`end`, "
+              f"'entity_type', sp_q.entity, 'score', {score}, 'pattern_id', sp_q.id))")
+    per_rule = let("sp_q", f"get({_rule_table(rules, book, always)}, sp_i)",
+                   f"filter({scored}, sp_h -> sp_h.score >= sp_q.lim)")
     fired = f"filter(sequence(0, {len(rules) - 1}), sp_n -> coalesce(size(get(sp_m, sp_n)), 0) > 0)"
-    gathered = f"cast(flatten(transform(sp_f, sp_i -> {enough})) as {HITS_TYPE})"
+    gathered = f"cast(flatten(transform(sp_f, sp_i -> {per_rule})) as {HITS_TYPE})"
     found = let("sp_f", fired, f"case when size(sp_f) = 0 then {NO_HITS} "
                                f"else {drop_contained(f'sort_array({gathered})')} end")
     return let("sp_t", text, f"case when sp_t is null then {NO_HITS} "
-                             f"else {let('sp_m', _matches('sp_t', book), found)} end")
+                             f"else {let('sp_m', _matches('sp_t', rules), found)} end")
+
+
+def _rule_table(rules, book: RuleBook, always: set[str]) -> str:
+    """The rules as one constant array: the planner folds the JSON text into a single literal."""
+    rows = [{"id": r.rule_id, "entity": r.entity, "rx": r.java, "base": float(r.score),
+             "lim": float(book.threshold_of(r.entity)), "kind": r.validator or "",
+             "hinted": r.entity in always, "words": normal_words(r.context)} for r in rules]
+    schema = ("array<struct<id:int,entity:string,rx:string,base:double,lim:double,kind:string,"
+              "hinted:boolean,words:array<string>>>")
+    return f"from_json({lit(json.dumps(rows))}, '{schema}')"
 
 
-def _spans(matches: str, index: str, rules) -> str:
-    """array<struct<start,end,m>> of one rule's matches, validated."""
-    regexes = lits([r.java for r in rules])
-    pairs = (f"zip_with(get({matches}, {index}), split(sp_t, get({regexes}, {index}), -1), "
-             f"(sp_a, sp_b) -> named_struct('m', sp_a, 'gap', length(sp_b)))")
+def _spans(rules) -> str:
+    """array<struct<start,end,m>> of the rule sp_q, whose matches are at sp_i; validated."""
+    pairs = ("zip_with(get(sp_m, sp_i), split(sp_t, sp_q.rx, -1), "
+             "(sp_a, sp_b) -> named_struct('m', sp_a, 'gap', length(sp_b)))")
     zero = "named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>))"
     start = "sp_c.pos + sp_d.gap"
     stop = f"{start} + length(sp_d.m)"
     step = (f"(sp_c, sp_d) -> case when sp_d.m is null then sp_c else named_struct('pos', {stop}, 'out', "
             f"concat(sp_c.out, array(named_struct('start', {start}, 'end', {stop}, 'm', sp_d.m)))) end")
     folded = f"aggregate({pairs}, {zero}, {step}, sp_e -> sp_e.out)"
-    validators = [r.validator or "" for r in rules]
-    if not any(validators):
+    if not any(r.validator for r in rules):
         return folded
-    kind = f"get({lits(validators)}, {index})"
-    return (f"case when {kind} = '' then {folded} "
-            f"else filter({folded}, sp_g -> {checked(kind, 'sp_g.m')}) end")
+    return f"filter({folded}, sp_g -> {checked('sp_q.kind', 'sp_g.m')})"

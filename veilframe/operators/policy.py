@@ -16,7 +16,7 @@ from .catalogs import policies_table
 from .scan import with_hits
 
 
-def _verdict_sql(hits: str, block: str, passes: str, exclude_any: str, mode: str, warn_rank: str) -> str:
+def verdict_sql(hits: str, block: str, passes: str, exclude_any: str, mode: str, warn_rank: str) -> str:
     """Struct of what a policy decides about a row, before any rewriting."""
     relevant = f"filter({hits}, po_h -> not array_contains({passes}, po_h.entity_type))"
     types = "sort_array(array_distinct(transform(po_r, po_x -> po_x.entity_type)))"
@@ -48,7 +48,7 @@ def apply_policy(df: DataFrame, policy: str | Policy, text: str = "text", book:
     p = get_policy(policy)
     if hits is None:
         df, hits = with_hits(df, text, book, **options), "hits"
-    verdict = _verdict_sql(ident(hits), lits(sorted(p.block)), lits(sorted(p.pass_through)),
+    verdict = verdict_sql(ident(hits), lits(sorted(p.block)), lits(sorted(p.pass_through)),
                            lit(p.exclude_any), lit(p.mode), str(rank_of(p.warn_at)))
     left_alone = lits(sorted({*p.pass_through, *skip}))
     rewritable = f"filter({ident(hits)}, pw_h -> not array_contains({left_alone}, pw_h.entity_type))"
@@ -75,7 +75,7 @@ def apply_policy_by_column(df: DataFrame, policy_col: str = "policy", text: str
         F.col("mode").alias("p_mode"), F.col("exclude_any").alias("p_any"), F.col("warn_rank").alias("p_warn"))
     # The policy table has one row per named policy: a handful.
     df = df.join(F.broadcast(rules), F.col(policy_col) == F.col("p_name"), "left")
-    verdict = _verdict_sql(ident(hits), "p_block", "p_pass", "p_any", "p_mode", "p_warn")
+    verdict = verdict_sql(ident(hits), "p_block", "p_pass", "p_any", "p_mode", "p_warn")
     rewritable = f"filter({ident(hits)}, pw_h -> not array_contains(p_pass, pw_h.entity_type))"
     rewritten = sanitize_by_sql(ident(text), rewritable, "p_mode", how=how)
     df = _spread(df.withColumn("verdict", column(f"case when p_name is not null then {verdict} end")))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..catalog.policies import check_mode, get_policy
 from ..catalog.profiles import Profile, get_profile
+from ..catalog.risk import rank_of
 from ..catalog.rules import RuleBook, default_book
-from ..functions.core import column, ident, lit
+from ..functions.core import NO_HITS, column, ident, let, lit, lits
 from ..functions.pseudonym import Pseudonyms
 from ..functions.risk import max_rank_sql, tier_sql, types_sql
 from ..functions.rewrite import sanitize_sql
 from ..functions.spans import hinted_entities, hits_sql
-from .policy import apply_policy
+from .policy import verdict_sql
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -32,8 +35,13 @@ def _field_type(schema: T.StructType, path: str):
     return None
 
 
+def ident_flat(name: str) -> str:
+    """Reference to a whole column, dots in its name taken literally."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _reference(schema: T.StructType, path: str) -> str:
-    return "`" + path.replace("`", "``") + "`" if path in schema.fieldNames() else ident(path)
+    return ident_flat(path) if path in schema.fieldNames() else ident(path)
 
 
 def _targets(df: DataFrame, fields) -> list[str]:
@@ -48,7 +56,7 @@ def _replace(df: DataFrame, values: dict) -> DataFrame:
     for path, value in values.items():
         if path not in flat:
             head, _, rest = path.partition(".")
-            flat[head] = flat.get(head, F.col(ident(head))).withField(rest, value)
+            flat[head] = flat.get(head, F.col(ident_flat(head))).withField(rest, value)
     return df.withColumns(flat)
 
 
@@ -56,11 +64,18 @@ def field_hints(profile: str | Profile | None, custom: dict | None = None) -> di
     return dict(get_profile(profile, custom).hints) if profile is not None else {}
 
 
-def _with_field_hits(df: DataFrame, targets: list[str], hints: dict, book: RuleBook) -> tuple[DataFrame, dict]:
-    """One hit array per target column, all in one projection."""
-    names = {f: f"__hits_{k}" for k, f in enumerate(targets)}
-    return df.withColumns({names[f]: column(hits_sql(_reference(df.schema, f), book, hints.get(f)))
-                           for f in targets}), names
+def _with_field_hits(df: DataFrame, targets: list[str], hints: dict, book: RuleBook) -> DataFrame:
+    """Add __texts (the target columns as one array) and __hits (their hit arrays).
+
+    One detection expression serves all columns, so the plan does not grow with their number;
+    the types each field's hint boosts are looked up by its position.
+    """
+    lists = [sorted(hinted_entities(hints.get(f), book)) for f in targets]
+    boosts = f"from_json({lit(json.dumps(lists))}, 'array<array<string>>')"
+    texts = f"cast(array({', '.join(_reference(df.schema, f) for f in targets)}) as array<string>)"
+    boosted = f"get({boosts}, rc_k)" if any(lists) else None
+    return df.withColumn("__texts", column(texts)).withColumn("__hits", column(
+        f"transform(__texts, (rc_t, rc_k) -> {hits_sql('rc_t', book, boosted=boosted)})"))
 
 
 def sanitize_record(df: DataFrame, fields=None, mode: str | None = None, book: RuleBook | None = None, *,
@@ -78,36 +93,38 @@ def sanitize_record(df: DataFrame, fields=None, mode: str | None = None, book: R
     found = get_profile(profile, custom_profiles) if profile is not None else None
     mode = check_mode(mode or (found.mode if found else "mask"))
     book = (book or default_book()).without(() if chosen else skip)
-    hints = dict(found.hints) if found else {}
     targets = _targets(df, fields)
     before = df.columns
-    schema = df.schema
-    df, names = _with_field_hits(df, targets, hints, book)
-    new, dropped, counted = {}, [], []
+    df = _with_field_hits(df, targets, dict(found.hints) if found else {}, book)
+    # Arrays are bound once around each lambda: a plan that inlines them into the lambda would
+    # repeat the detection for every field.
+    hits = "get(rc_all, rc_k)"
     if chosen:
-        for k, f in enumerate(targets):
-            keep = df.columns
-            df = apply_policy(df.withColumn("__text", column(_reference(schema, f))), chosen, "__text",
-                              hits=names[f], skip=skip, how=how, redact_with=redact_with)
-            df = df.select(*[F.col(ident(c)) for c in keep], F.col("sanitized_text").alias(f"__new_{k}"),
-                           F.col("passed").alias(f"__ok_{k}"), F.col("hit_count").alias(f"__n_{k}"))
-            new[f] = F.col(f"__new_{k}")
-            dropped.append(column(f"case when not __ok_{k} then {lit(f)} end"))
-            counted.append(F.struct(F.lit(f).alias("field"), F.col(f"__n_{k}").alias("hit_count")))
+        verdict = verdict_sql("rc_h", lits(sorted(chosen.block)), lits(sorted(chosen.pass_through)),
+                              lit(chosen.exclude_any), lit(chosen.mode), str(rank_of(chosen.warn_at)))
+        df = df.withColumn("__verdicts", column(f"transform(__hits, rc_h -> {verdict})"))
+        left_alone = lits(sorted({*chosen.pass_through, *skip}))
+        rewritable = f"filter({hits}, rc_x -> not array_contains({left_alone}, rc_x.entity_type))"
+        done = (f"case when not get(rc_v, rc_k).passed then null when get(rc_v, rc_k).hit_count = 0 "
+                f"then rc_t else {sanitize_sql('rc_t', rewritable, chosen.mode, redact_with, how)} end")
+        dropped, count = "not get(rc_v, rc_k).passed", "get(rc_v, rc_k).hit_count"
     else:
-        for f in targets:
-            h = ident(names[f])
-            new[f] = column(sanitize_sql(_reference(schema, f), h, mode, redact_with, how))
-            dropped.append(column(f"case when size({h}) > 0 then {lit(f)} end") if mode == "exclude"
-                           else F.lit(None).cast("string"))
-            counted.append(F.struct(F.lit(f).alias("field"), column(f"size({h})").alias("hit_count")))
-    none = F.array().cast("array<string>")
-    counts = F.array(*counted).cast("array<struct<field:string,hit_count:int>>")
+        done = sanitize_sql("rc_t", hits, mode, redact_with, how)
+        dropped, count = f"size({hits}) > 0" if mode == "exclude" else "false", f"size({hits})"
+    names = lits(targets)
+
+    def bound(body: str):
+        inner = let("rc_v", "__verdicts", body) if chosen else body
+        return column(let("rc_all", "__hits", inner))
+
     df = df.withColumns({
-        "excluded_fields": F.array_compact(F.array(*dropped)) if dropped else none,
-        "field_hits": F.filter(counts, lambda c: c["hit_count"] > 0),
+        "__new": bound(f"transform(__texts, (rc_t, rc_k) -> {done})"),
+        "excluded_fields": bound(f"filter({names}, (rc_n, rc_k) -> {dropped})"),
+        "field_hits": bound(f"filter(transform({names}, (rc_n, rc_k) -> named_struct('field', rc_n, "
+                            f"'hit_count', {count})), rc_c -> rc_c.hit_count > 0)"),
     })
-    df = _replace(df, new).select(*[F.col(ident(c)) for c in before], "excluded_fields", "field_hits")
+    df = _replace(df, {f: column(f"get(__new, {k})") for k, f in enumerate(targets)})
+    df = df.select(*[F.col(ident_flat(c)) for c in before], "excluded_fields", "field_hits")
     df = df.withColumn("has_pii", F.size("field_hits") > 0)
     return df if include_excluded else df.where(F.size("excluded_fields") == 0)
 
@@ -187,30 +204,24 @@ def scan_record(df: DataFrame, fields=None, book: RuleBook | None = None, *,
     hints = field_hints(profile, custom_profiles)
     wanted = list(fields) if fields is not None else df.columns
     targets = [f for f in wanted if isinstance(_field_type(df.schema, f), T.StringType)]
-    before, schema = df.columns, df.schema
-    df, names = _with_field_hits(df, targets, hints, book)
-    report = []
-    for f in wanted:
-        if f in names:
-            h, null = ident(names[f]), f"{_reference(schema, f)} is null"
-            report.append(f"named_struct('field', {lit(f)}, 'skipped', {null}, 'pii_found', size({h}) > 0, "
-                          f"'hit_count', size({h}), 'entity_types', {types_sql(h)}, 'risk_rank', {max_rank_sql(h)})")
-        else:
-            report.append(f"named_struct('field', {lit(f)}, 'skipped', true, 'pii_found', false, 'hit_count', 0, "
-                          f"'entity_types', cast(array() as array<string>), 'risk_rank', 0)")
-    if not report:
-        report.append("named_struct('field', '', 'skipped', true, 'pii_found', false, 'hit_count', 0, "
-                      "'entity_types', cast(array() as array<string>), 'risk_rank', 0)")
-    array = f"array({', '.join(report)})" if wanted else f"slice(array({report[0]}), 1, 0)"
-    df = df.withColumn("__report", column(array))
-    ranked = "transform(__report, r -> r.risk_rank)"
+    before = df.columns
+    df = _with_field_hits(df, targets, hints, book)
+    # Position of each wanted field among the scanned ones; a field that is no string has none.
+    places = lits([targets.index(f) if f in targets else None for f in wanted], "int")
+    row = let("sr_p", f"get({places}, sr_k)", let("sr_h", f"coalesce(get(sr_all, sr_p), {NO_HITS})", (
+        f"named_struct('field', sr_n, 'skipped', sr_p is null or get(__texts, sr_p) is null, "
+        f"'pii_found', size(sr_h) > 0, 'hit_count', size(sr_h), 'entity_types', {types_sql('sr_h')}, "
+        f"'risk_rank', {max_rank_sql('sr_h')})")))
+    # Bound once around the lambda, or an inlined plan would detect anew for every field.
+    df = df.withColumn("__report", column(
+        let("sr_all", "__hits", f"transform({lits(wanted)}, (sr_n, sr_k) -> {row})")))
     return df.select(
-        *[F.col(ident(c)) for c in before],
+        *[F.col(ident_flat(c)) for c in before],
         column(f"transform(__report, r -> named_struct('field', r.field, 'skipped', r.skipped, 'pii_found', "
                f"r.pii_found, 'hit_count', r.hit_count, 'entity_types', r.entity_types, "
                f"'risk_level', {tier_sql('r.risk_rank')}))").alias("field_report"),
         column("aggregate(__report, 0, (a, r) -> a + r.hit_count)").alias("total_hits"),
-        column(tier_sql(f"coalesce(array_max({ranked}), 0)")).alias("highest_risk"),
+        column(tier_sql("coalesce(array_max(transform(__report, r -> r.risk_rank)), 0)")).alias("highest_risk"),
         column("transform(filter(__report, r -> r.pii_found), r -> r.field)").alias("flagged_fields"))
 
 
