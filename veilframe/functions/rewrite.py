@@ -17,9 +17,12 @@ def render_sql(text: str, kept: str, token: str) -> str:
     return let("rw_t", text, let("rw_k", kept, body))
 
 
+MASK_TOKEN = "concat('[', rw_h.entity_type, ']')"
+
+
 def token_sql(mode: str, redact_with: str = "", how: Pseudonyms = Pseudonyms()) -> str:
     if mode == "mask":
-        return "concat('[', rw_h.entity_type, ']')"
+        return MASK_TOKEN
     if mode == "redact":
         return lit(redact_with)
     return pseudonym_sql("rw_h.entity_type", "substring(rw_t, rw_h.start + 1, rw_h.`end` - rw_h.start)", how)
