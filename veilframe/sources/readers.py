@@ -64,15 +64,15 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = No
     ``strict`` fails the job on a broken line; otherwise broken lines arrive in the corrupt
     column, to be set aside with ``split_rejects``. Splittable at any size.
     """
-    reader = spark.read
-    if schema is not None and not strict:
-        fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-        schema = T.StructType(fields.fields + [T.StructField(CORRUPT, T.StringType())])
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").option(
-        "columnNameOfCorruptRecord", CORRUPT).json(path)
-    return df if strict or CORRUPT in df.columns else df.withColumn(CORRUPT, F.lit(None).cast("string"))
+    if strict:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.option("mode", "FAILFAST").json(path)
+    known = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    fields = (known or spark.read.json(path).schema).fields
+    wide = T.StructType([f for f in fields if f.name != CORRUPT] + [T.StructField(CORRUPT, T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return lines.select(F.from_json("value", wide, options).alias("r")).select("r.*")
 
 
 def read_text_files(spark: SparkSession, path) -> DataFrame:
