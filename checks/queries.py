@@ -723,7 +723,9 @@ def _text_files(spark, sf):
     return done.select(F.regexp_extract("path", "f=([0-9]+)", 1).cast("bigint").alias("f"), "hit_count")
 
 
-register("read_text", _text_files)
+register("read_text", _text_files, o.with_(o.hits(
+    "SELECT id % 40 AS id, string_agg(text, chr(10) ORDER BY text) AS text FROM (" + duck_source("notes") + ") GROUP BY id % 40"), o.SUMMARY) +
+    "SELECT id AS f, hit_count FROM scan")
 
 
 def _sheet(spark, sf):
