@@ -12,6 +12,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _MONTH = (r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|"
           r"Sept?(?:ember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)")
 
+TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Professor", "Dean"]
+
 GIVEN_NAMES = [
     "James", "John", "Robert", "Michael", "William", "David", "Richard", "Joseph",
     "Thomas", "Charles", "Daniel", "Matthew", "Anthony", "Mark", "Steven", "Paul",
@@ -96,7 +98,7 @@ GENERIC_SPECS = [
       ("licence_digits", r"\b[0-9]{7,9}\b", 0.1)]),
 
     ("PERSON", "PersonRecognizer",
-     [("titled_name", r"\b(?-i:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Dean)\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?)\b", 0.7),
+     [("titled_name", r"\b(?-i:" + _any_of(TITLES) + r"\.? [A-Z][a-z]+(?: [A-Z][a-z]+)?)\b", 0.7),
       ("given_and_family", r"\b(?-i:" + _any_of(GIVEN_NAMES) + r" [A-Z][a-z]+)\b", 0.6)]),
 
     ("LOCATION", "LocationRecognizer",

@@ -55,10 +55,6 @@ def _word(*words):
     return ("word", words)
 
 
-def _cased(*stems):
-    return ("cased", stems)
-
-
 def _one(*needs):
     return ("one", needs)
 
@@ -68,7 +64,7 @@ _TERMS = ("terms", ())
 # Needs per pattern; all listed needs must hold.
 #   digits n   a run of n digits somewhere         any     one of the strings, in lower case
 #   starts     a word starts with one of these     word    one of these as a whole word
-#   cased      one of the strings, case kept       terms   a listed name, place or group
+#   terms      a listed title, name, place or group, case kept
 #   one        one of several needs
 NEEDS = {
     "tix_case_id": [_starts("tix")],
@@ -88,7 +84,6 @@ NEEDS = {
     "colleague_at": [_any("@"), _digits(6)],
     "banner_numeric": [_digits(6)],
     "colleague_numeric": [_digits(6)],
-    "institution_mail": [_any("@")],
     "mm_dd_yyyy": [_digits(4)],
     "yyyy_mm_dd": [_digits(4)],
     "written_dob": [_digits(4)],
@@ -155,7 +150,7 @@ NEEDS = {
     "passport_number": [_digits(6)],
     "licence_lettered": [_digits(6)],
     "licence_digits": [_digits(6)],
-    "titled_name": [_cased("Mr", "Ms", "Miss", "Dr", "Prof", "Dean")],
+    "titled_name": [_TERMS],
     "given_and_family": [_TERMS],
     "street": [_digits(1)],
     "state_zip": [_digits(4)],
@@ -173,9 +168,9 @@ def by_first_letter(words) -> str:
 
 
 def terms_screen(words: list[str]) -> str:
-    """Necessary condition for any of the words: one of their capitals, then one of their remainders."""
+    """Necessary condition for any of the words; the look-ahead lets every other position fail at once."""
     initials = "".join(sorted({w[0] for w in words}))
-    return f"[{initials}](?:{by_first_letter({w[1:] for w in words})})"
+    return f"(?=[{initials}])(?:{by_first_letter(words)})"
 
 
 def starts_screen(starts, words) -> str:
@@ -191,7 +186,7 @@ def starts_screen(starts, words) -> str:
     return r"\W(?:" + "|".join(branches) + ")"
 
 
-TERMS_SCREEN = terms_screen(generic.GIVEN_NAMES + generic.PLACE_NAMES + generic.GROUP_TERMS)
+TERMS_SCREEN = terms_screen(generic.TITLES + generic.GIVEN_NAMES + generic.PLACE_NAMES + generic.GROUP_TERMS)
 
 
 @lru_cache(maxsize=8)
@@ -200,9 +195,12 @@ def built_in_rules(domain: str = DEFAULT_DOMAIN) -> tuple[Rule, ...]:
 
     def add(entity, recognizer, patterns, context, group):
         for name, regex, score, *validator in patterns:
-            regex = regex.replace("{domain}", re.escape(domain)) if "{domain}" in regex else regex
+            needs = tuple(NEEDS.get(name, ()))
+            if "{domain}" in regex:
+                # The unbounded local part is slow on long dotted runs: run it only near the domain.
+                regex, needs = regex.replace("{domain}", re.escape(domain)), (_any("@" + domain.lower()),)
             rules.append(Rule(len(rules), entity, recognizer, name, regex, score, tuple(context),
-                              validator[0] if validator else None, group, tuple(NEEDS.get(name, ()))))
+                              validator[0] if validator else None, group, needs))
 
     for entity, recognizer, patterns, context in EDUCATION_SPECS:
         add(entity, recognizer, patterns, context, "education")

@@ -55,3 +55,20 @@ def column(sql: str) -> Column:
 def blank(text: str) -> str:
     """Null, empty or white space only."""
     return f"({text} is null or not ({text} rlike {lit(r'(?U)' + chr(92) + 'S')}))"
+
+
+def running(values: str, zero: str, combine) -> str:
+    """Exclusive running fold of an array, in near-linear time.
+
+    Entry i is the fold of all entries before i. Blocks of 64 are folded first, then the block
+    totals, then each entry within its block; appending to an array in one fold would copy it
+    at every step. ``combine(a, x)`` must be associative with ``zero`` as its identity.
+    """
+    fold = "(rn_a, rn_x) -> " + combine("rn_a", "rn_x")
+    block = "cast(rn_i div 64 as int)"
+    totals = (f"transform(sequence(0, cast(size(rn_v) div 64 as int)), "
+              f"rn_c -> aggregate(slice(rn_v, rn_c * 64 + 1, 64), {zero}, {fold}))")
+    before = f"transform(rn_s, (rn_y, rn_j) -> aggregate(slice(rn_s, 1, rn_j), {zero}, {fold}))"
+    each = (f"transform(rn_v, (rn_z, rn_i) -> aggregate(slice(rn_v, {block} * 64 + 1, rn_i % 64), "
+            f"get(rn_p, {block}), {fold}))")
+    return let("rn_v", values, let("rn_s", totals, let("rn_p", before, each)))

@@ -1,27 +1,23 @@
 """Duplicate removal and overlap resolution inside one row's hit array.
 
-Both only compare hits that can touch.  A fold over the hits in start order cuts
-them into clusters (a cluster ends where the next hit starts past everything
+Both only compare hits that can touch.  A running maximum over the hits in
+start order cuts them into clusters (a cluster ends where the next hit starts past everything
 seen), and the pairwise work stays inside a cluster, so a long text with
 thousands of separate hits costs little more than its longest pile-up.
 """
 
-from .core import HITS_TYPE, NO_HITS, let
+from .core import HITS_TYPE, NO_HITS, let, running
 
 
 def per_cluster(hits: str, work) -> str:
     """Apply ``work(var)`` to every cluster of touching hits; ``hits`` sorted by start."""
-    def close(acc):
-        return (f"concat({acc}.done, case when size({acc}.open) > 1 "
-                f"then {let('pc_g', acc + '.open', work('pc_g'))} else {acc}.open end)")
-
-    zero = f"named_struct('done', {NO_HITS}, 'open', {NO_HITS}, 'reach', 0)"
-    step = (f"(pc_a, pc_h) -> case when pc_h.start >= pc_a.reach then "
-            f"named_struct('done', {close('pc_a')}, 'open', cast(array(pc_h) as {HITS_TYPE}), 'reach', pc_h.`end`) "
-            f"else named_struct('done', pc_a.done, 'open', cast(concat(pc_a.open, array(pc_h)) as {HITS_TYPE}), "
-            f"'reach', greatest(pc_a.reach, pc_h.`end`)) end")
-    folded = f"aggregate(pc_all, {zero}, {step}, pc_z -> {close('pc_z')})"
-    return let("pc_all", hits, f"case when size(pc_all) < 2 then pc_all else {folded} end")
+    reach = running("transform(pc_all, pc_h -> pc_h.`end`)", "0", lambda a, x: f"greatest({a}, {x})")
+    firsts = "filter(sequence(0, size(pc_all) - 1), pc_i -> get(pc_all, pc_i).start >= get(pc_r, pc_i))"
+    clusters = ("transform(pc_f, (pc_s, pc_k) -> slice(pc_all, pc_s + 1, "
+                "coalesce(get(pc_f, pc_k + 1), size(pc_all)) - pc_s))")
+    done = f"transform({clusters}, pc_g -> case when size(pc_g) > 1 then {work('pc_g')} else pc_g end)"
+    split = let("pc_r", reach, let("pc_f", firsts, f"flatten({done})"))
+    return let("pc_all", hits, f"case when size(pc_all) < 2 then pc_all else {split} end")
 
 
 def drop_contained(hits: str) -> str:

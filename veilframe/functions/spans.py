@@ -3,7 +3,7 @@
 Positions are code points. Spark's regex functions return the matched strings
 but not where they are, so a start is rebuilt from both halves of the text: the
 gaps left by ``split`` and the matches from ``regexp_extract_all``, which
-alternate gap, match, gap, match ... A fold over the zipped pair is exact.
+alternate gap, match, gap, match ... A running sum over both is exact.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 
 from ..catalog.rules import TERMS_SCREEN, Rule, RuleBook, context_words, normal_words, starts_screen
-from .core import HITS_TYPE, NO_HITS, let, lit
+from .core import HITS_TYPE, NO_HITS, let, lit, running
 from .overlap import drop_contained
 from .validators import checked
 
@@ -42,12 +42,16 @@ def _screens(text: str, rules) -> str:
         fields += ["'low', sp_l", f"'odd', {' or '.join(_any_in(text, _CASE_ALIASES))}"]
     if starts or words:
         fields.append(f"'starts', sp_l rlike {lit(starts_screen(starts, words))}")
-    for n in sorted({args[0] for kind, args in needs if kind == "digits"}):
-        fields.append(f"'digits{n}', {text} rlike {lit('(?U)' + chr(92) + 'd{%d}' % n)}")
     if any(kind == "terms" for kind, _ in needs):
         fields.append(f"'terms', {text} rlike {lit(TERMS_SCREEN)}")
-    return let("sp_l", f"concat(' ', lower({text}))",
-               f"named_struct({', '.join(fields) or lit('none') + ', 0'})")
+    runs = sorted({args[0] for kind, args in needs if kind == "digits"})
+    fields += [f"'digits{n}', sp_d{n}" for n in runs]
+    screens = f"named_struct({', '.join(fields) or lit('none') + ', 0'})"
+    # A longer run is looked for only where a shorter one was found.
+    for k in range(len(runs) - 1, -1, -1):
+        found = f"{text} rlike {lit('(?U)' + chr(92) + 'd{%d}' % runs[k])}"
+        screens = let(f"sp_d{runs[k]}", f"sp_d{runs[k - 1]} and {found}" if k else found, screens)
+    return let("sp_l", f"concat(' ', lower({text}))", screens)
 
 
 def _holds(need, text: str, screen: str) -> str:
@@ -56,8 +60,6 @@ def _holds(need, text: str, screen: str) -> str:
         return f"{screen}.digits{args[0]}"
     if kind == "terms":
         return f"{screen}.terms"
-    if kind == "cased":
-        return f"({' or '.join(_any_in(text, args))})"
     if kind == "any":
         return f"({' or '.join(_any_in(screen + '.low', args))} or {screen}.odd)"
     if kind in ("starts", "word"):
@@ -139,12 +141,11 @@ def _spans(rules) -> str:
     """array<struct<start,end,m>> of the rule sp_q, whose matches are at sp_i; validated."""
     pairs = ("zip_with(get(sp_m, sp_i), split(sp_t, sp_q.rx, -1), "
              "(sp_a, sp_b) -> named_struct('m', sp_a, 'gap', length(sp_b)))")
-    zero = "named_struct('pos', 0, 'out', cast(array() as array<struct<start:int,end:int,m:string>>))"
-    start = "sp_c.pos + sp_d.gap"
-    stop = f"{start} + length(sp_d.m)"
-    step = (f"(sp_c, sp_d) -> case when sp_d.m is null then sp_c else named_struct('pos', {stop}, 'out', "
-            f"concat(sp_c.out, array(named_struct('start', {start}, 'end', {stop}, 'm', sp_d.m)))) end")
-    folded = f"aggregate({pairs}, {zero}, {step}, sp_e -> sp_e.out)"
+    steps = "transform(sp_z, sp_c -> sp_c.gap + coalesce(length(sp_c.m), 0))"
+    start = "get(sp_y, sp_k) + sp_d.gap"
+    spans = (f"transform(filter(sp_z, sp_c -> sp_c.m is not null), (sp_d, sp_k) -> named_struct('start', {start}, "
+             f"'end', {start} + length(sp_d.m), 'm', sp_d.m))")
+    folded = let("sp_z", pairs, let("sp_y", running(steps, "0", lambda a, x: f"{a} + {x}"), spans))
     if not any(r.validator for r in rules):
         return folded
     return f"filter({folded}, sp_g -> {checked('sp_q.kind', 'sp_g.m')})"
