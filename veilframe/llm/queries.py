@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .digests import edited_pairs
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
 
@@ -32,3 +33,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import functions as F
     return near_duplicates(table(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@register("op10_document_fingerprints")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return edited_pairs(table(spark, sf, "documents").select("doc_id", "text"))
