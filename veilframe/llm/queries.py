@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .digests import edited_pairs
+from .mixing import mix
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
 
@@ -38,3 +39,9 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @register("op10_document_fingerprints")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return edited_pairs(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op2_source_mixing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
+        "doc_id", "size", "source_size", "target", "taken")
