@@ -66,14 +66,14 @@ def slabs(offsets: np.ndarray, size: int):
 
 
 def split_rank(frame: DataFrame, group: list[str], order: list[str], weight: Column | None = None, parts: int = 1024,
-               name: str = "rank") -> DataFrame:
+               name: str = "rank", deal: Column | None = None) -> DataFrame:
     """Running sum of ``weight`` (1: a rank from 0) before each row of its group, whatever the group's size.
 
-    Rows of a group are dealt by the hash of ``order`` into ``parts`` lists; the lists' totals are summed
-    first, so no group is ever sorted as a whole. The order within a group is fixed but has no meaning.
+    Rows of a group are dealt by ``deal``, else by the hash of ``order``, into ``parts`` lists; the lists' totals
+    are summed first, so no group is ever sorted as a whole. The order within a group is fixed but has no meaning.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    dealt = frame.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts))).withColumn("_w", weight)
+    dealt = frame.withColumn("_part", F.pmod(F.xxhash64(*order) if deal is None else deal, F.lit(parts))).withColumn("_w", weight)
     keys = [F.col(c) for c in group]
     totals = dealt.groupBy(*group, "_part").agg(F.sum("_w").alias("_t"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -20,6 +20,8 @@ WEIGHTS = (5, 2, 1)
 #: Words of a block, slots of an output shard, cells of the lookup from a draw to its source, rounds of the shuffle.
 BLOCK, SHARD, CELLS, ROUNDS = 64, 4096, 1024, 12
 LIMIT = 3
+#: Lists into which a source's documents are dealt to find their places in its stream.
+PARTS = 1024
 PRIME = 2147483647
 
 
@@ -114,7 +116,8 @@ def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with words, its source's sid and the word of the stream at which it starts."""
     ids = sources.select("sid", F.col("source").alias("_s"))
     rows = sizes.where("size > 0").join(ids, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    return split_rank(rows, ["sid"], ["doc_id", "h", "size"], F.col("size"), name="start")
+    deal = F.expr("pmod(coalesce(doc_id, 0), 16777216) * 48271") % PRIME
+    return split_rank(rows, ["sid"], ["doc_id", "h", "size"], F.col("size"), PARTS, "start", deal)
 
 
 def spread(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -161,3 +164,38 @@ def mixed_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", so
         F.struct("start", "ws"))), lambda p: p["ws"])), " ").alias("words"))  # at most ``block`` words
     return slots_of(sources, shard).join(whole, ["sid", "block"]).join(sources.select("sid", "source"), "sid").select(
         "shard", "source", "block", "words")
+
+
+def oracle(block: int = BLOCK, shard: int = SHARD, rounds: int = ROUNDS) -> str:
+    """The same mix of ``documents`` in DuckDB's SQL, with the weights of WEIGHTS."""
+    def m(x, seed):
+        return mixed(x, seed).replace(" DIV ", " // ")
+    wide = PRIME // CELLS + 1
+    turns, last = [], "p0"
+    for r in range(rounds):
+        key = f"({m(f'sid * 1000003 + pass * 10007 + {r} * 101', '4242')}) % blocks"
+        turns.append(f"y{r} AS (SELECT sid, blocks, pass, x, (({key}) + blocks - x) % blocks AS y FROM {last}), "
+                     f"p{r + 1} AS (SELECT sid, blocks, pass, CASE WHEN (({m('greatest(x, y)', f'sid * 911 + {r} * 7919')}) // 1024) % 2 = 1 "
+                     f"THEN y ELSE x END AS x FROM y{r})")
+        last = f"p{r + 1}"
+    choice = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(WEIGHTS))
+    return rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM d GROUP BY source),
+s1 AS (SELECT *, (CASE (sid - 1) % {len(WEIGHTS)} {choice} END)::DOUBLE AS weight FROM s0),
+s2 AS (SELECT *, ((SELECT sum(source_size) FROM s1) - coalesce(sum(source_size * {LIMIT}) OVER (ORDER BY source_size * {LIMIT} / weight, sid
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY source_size * {LIMIT} / weight, sid
+  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT sid, source, source_size, least((source_size * {LIMIT})::DOUBLE, weight * (SELECT max(level) FROM s2)) AS target,
+  (source_size + {block - 1}) // {block} AS blocks FROM s2),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * blocks / source_size + 0.5)::BIGINT, blocks * {LIMIT}) ELSE 0 END AS slots FROM s3),
+p0 AS (SELECT sid, blocks, k // blocks AS pass, k % blocks AS x FROM (SELECT sid, blocks, unnest(range(0, slots)) AS k FROM s WHERE slots > 0)),
+{", ".join(turns)},
+times AS (SELECT sid, x AS block, count(*) AS times FROM {last} GROUP BY sid, x),
+q AS (SELECT doc_id, sid, size, (((coalesce(doc_id, 0) % 16777216 + 16777216) % 16777216 * 48271) % {PRIME}) % {PARTS} AS part
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
+w AS (SELECT *, (sum(size) OVER (PARTITION BY sid ORDER BY part, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM q),
+c AS (SELECT doc_id, sid, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM w),
+t AS (SELECT doc_id, sum((least((c.block + 1) * {block}, start + size) - greatest(c.block * {block}, start)) * coalesce(times, 0))::BIGINT AS taken
+  FROM c LEFT JOIN times ON c.sid = times.sid AND c.block = times.block GROUP BY doc_id)
+SELECT d.doc_id, d.size, s.source_size, s.target, coalesce(t.taken, 0) AS taken
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source LEFT JOIN t ON d.doc_id = t.doc_id"""

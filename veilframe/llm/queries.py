@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .digests import edited_pairs
 from .mixing import mix
+from .mixing import oracle as mixing_sql
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
 
@@ -41,7 +42,7 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return edited_pairs(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@register("op2_source_mixing")
+@register("op2_source_mixing", mixing_sql())
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken")
