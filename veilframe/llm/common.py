@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -23,12 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(frame: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write a frame as Parquet and read it again: cuts lineage, survives lost executors."""
+    """Write a frame as Parquet and read it again: cuts lineage, survives lost executors.
+
+    Plans that are no longer referenced are collected first, so that Spark can delete their shuffle files.
+    """
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
     path = f"{folder}/{name}"
     frame.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that no later step reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, shared_folder, slabs, stage, utf8
+from .common import discard, row_key, shared_folder, slabs, stage, utf8
 
 GRAM = 32
 #: Columns that the result adds; input columns of these names give way to them.
@@ -124,106 +124,193 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 class SuffixLevels:
-    """The index family. ``append`` takes a batch; ``repeated`` has every suffix seen twice so far."""
+    """The index family. ``append`` takes a batch; ``repeated`` has every span whose suffix was seen twice so far.
+
+    A level is a sorted array of distinct suffixes: head, tail, n (occurrences) and how many of them were new in the
+    batch that made it.
+    """
 
     def __init__(self, spark, folder: str | None = None, length: int = 200):
         self.spark, self.length = spark, length
         self.folder = folder or shared_folder(spark)
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.anchors: list[DataFrame] = []
+        self.levels: list[tuple[int, str, DataFrame]] = []
+        self.anchors: list[tuple[str, DataFrame]] = []
         self.hits: list[DataFrame] = []
         self._names = 0
 
-    def _write(self, frame: DataFrame, kind: str) -> DataFrame:
+    def write(self, frame: DataFrame, kind: str) -> tuple[str, DataFrame]:
         self._names += 1
-        return stage(frame, self.folder, f"{kind}-{self._names}")
+        name = f"{kind}-{self._names}"
+        return f"{self.folder}/{name}", stage(frame, self.folder, name)
 
     def append(self, docs: DataFrame) -> None:
-        """Index a batch (k1, k2, text) and scan it against all levels."""
-        anchors = self._write(_anchors(docs, self.length), "anchors")
-        array = self._write(anchors.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("n"))
-                            .sortWithinPartitions("head", "tail"), "level")
-        found = [array.where("n > 1").select("head", "tail")]
-        for _, level in self.levels:
-            found.append(array.join(level.select("head", "tail"), ["head", "tail"]).select("head", "tail"))
-        hits = found[0]
-        for more in found[1:]:
-            hits = hits.unionByName(more)
-        self.hits.append(self._write(hits, "hits"))
+        """Index a batch (k1, k2, text): merge it with the levels of its rank, and scan the larger ones."""
+        anchors = self.write(_anchors(docs, self.length), "anchors")
         self.anchors.append(anchors)
-        rank = 0
+        rows, rank, old = anchors[1].select("head", "tail", F.lit(1).alias("n"), F.lit(1).alias("fresh")), 0, []
         while self.levels and self.levels[-1][0] == rank:
-            _, level = self.levels.pop()
-            array = self._write(array.unionByName(level).groupBy("head", "tail").agg(F.sum("n").alias("n"))
-                                .sortWithinPartitions("head", "tail"), "level")
+            _, path, level = self.levels.pop()
+            old.append(path)
+            rows = rows.unionByName(level.select("head", "tail", "n", F.lit(0).alias("fresh")))
             rank += 1
-        self.levels.append((rank, array))
-
-    def _all(self, frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for more in frames[1:]:
-            out = out.unionByName(more)
-        return out
+        path, array = self.write(rows.groupBy("head", "tail").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))
+                                 .sortWithinPartitions("head", "tail"), "level")
+        hits = array.where("fresh > 0 AND n > 1").select("tail")
+        for _, _, level in self.levels:
+            hits = hits.unionByName(array.where("fresh > 0").join(level.select("head", "tail"), ["head", "tail"]).select("tail"))
+        self.hits.append(self.write(hits, "hits")[1])
+        for path_ in old:
+            discard(self.spark, path_)
+        self.levels.append((rank, path, array))
 
     def repeated(self) -> DataFrame:
-        """All spans whose suffix occurs more than once."""
-        keys = self._all(self.hits).distinct()
-        return self._all(self.anchors).join(keys, ["head", "tail"], "left_semi")
+        """(tail, span, k1, k2, p1, p2) of all spans whose suffix occurs more than once."""
+        keys = union_all(self.hits).distinct()
+        return union_all([a for _, a in self.anchors]).drop("head").join(keys, "tail", "left_semi")
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 200, batches: int = 4,
-                   keep_text: bool = False) -> DataFrame:
+                   keep_text: bool = False, group: int = 4096) -> DataFrame:
     """Every input row with n_bytes, n_removed, n_spans, kept_sha256 and ``spans`` (start, end of each removed run).
 
     A byte goes if it lies in a string of ``length`` bytes that starts anywhere else too, in the same document or
     another (repeated rows are documents of their own). Null texts count as empty. ``keep_text`` replaces the
-    text by what is left, in whole characters: one that is cut by a run's end stays. No rows: no rows.
+    text by what is left, in whole characters: one that is cut by a run's end stays. Suffixes with more than ``group``
+    different spans are settled window by window in a shuffle of their own. No rows: no rows.
     """
     spark = docs.sparkSession
     others = [c for c in docs.columns if c not in (text, *RESULT)]
+    names = [f"_c{i}" for i in range(len(others))]
     rows = docs.select(*row_key(f"`{doc_id}`", f"`{text}`"), F.coalesce(f"`{text}`", F.lit("")).alias("text"),
-                       *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
+                       *[F.col(f"`{c}`").alias(n) for c, n in zip(others, names)])
     index = SuffixLevels(spark, length=length)
     for i in range(batches):
         index.append(rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(batches)) == i))
 
-    spans = index._write(index.repeated(), "repeated")
-    counted = index._write(spans.groupBy("head", "tail", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "p1", "p2")).alias("one")), "counted")
-    whole = spans.join(counted.where("n > 1").select("head", "tail", "span"), ["head", "tail", "span"], "left_semi")
-    several = counted.groupBy("head", "tail").agg(F.count(F.lit(1)).alias("s"), F.min("n").alias("least")).where(
-        "s > 1 AND least = 1").select("head", "tail")
-    edges = counted.join(several, ["head", "tail"], "left_semi").select("one.*", "tail", (F.col("n") == 1).alias("single"))
-    marks = whole.select("k1", "k2", "p1", "p2", F.lit(0).cast("bigint").alias("tail"), F.lit(0).alias("kind")).unionByName(
-        edges.select("k1", "k2", "p1", "p2", "tail", F.when(F.col("single"), 2).otherwise(1).alias("kind")))
-    marks = marks.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
-        F.collect_list(F.struct("p1", "p2", "tail", "kind")).alias("marks"))
+    spans = index.write(index.repeated(), "repeated")[1]
+    for path, _ in index.anchors:
+        discard(spark, path)
+    counted = index.write(spans.groupBy("tail", "span").agg(
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "p1", "p2")]), "counted")[1]
+    whole = spans.join(counted.where("n > 1").select("tail", "span"), ["tail", "span"], "left_semi").select(
+        "k1", "k2", "p1", (F.col("p2") + length).alias("p2"))
+
+    several = counted.groupBy("tail").agg(F.count(F.lit(1)).alias("s"), F.min("n").alias("least")).where("s > 1 AND least = 1")
+    edges = counted.join(several.select("tail", (F.col("s") > group).alias("hot")), "tail")
+    marks = edges.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
+        F.collect_list(F.struct("p1", "p2", "tail", (F.col("n") == 1).alias("single"), "hot")).alias("marks"))
+    same = (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2"))
+    packed = _packed(rows.select("k1", "k2", "text"), ["k1", "k2"])
+    pieces = index.write(packed.join(marks, same).drop("m1", "m2").mapInArrow(_pieces(length), PIECES), "pieces")[1]
+    close = pieces.where("body IS NOT NULL").select("tail", "k1", "k2", "p1", "single", "body").repartition("tail").sortWithinPartitions(
+        "tail").mapInArrow(_windows(length), "k1 bigint, k2 int, p1 int, p2 int")
+    windows = pieces.where("body IS NULL").select("tail", "hash", "k1", "k2", "p1", "single")
+    twice = windows.groupBy("tail", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tail", "hash")
+    far = windows.where("single").join(twice, ["tail", "hash"], "left_semi").select("k1", "k2", "p1", (F.col("p1") + length).alias("p2"))
+    runs = union_all([whole, close, far]).groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
+        F.collect_list(F.struct("p1", "p2")).alias("runs"))
+    runs = index.write(runs, "runs")[1]
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in names)
+    done = _packed(rows, ["k1", "k2", *names]).join(runs, same, "left").drop("m1", "m2").mapInArrow(_finish(names, keep_text), own + ENDS)
+    out = [F.col(n).alias(c) for c, n in zip(others, names)]
+    return done.select(*out, *([F.col("kept").alias(text)] if keep_text else []), *RESULT)
+
+
+ENDS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
+PIECES = "tail bigint, hash bigint, k1 bigint, k2 int, p1 int, single boolean, body binary"
+_ENDS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
-    names = [f"_c{i}" for i in range(len(others))]
-    ends = f"n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
-    own = f"{own}, " if own else ""
-    joined = rows.join(marks, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").drop("m1", "m2")
-    first = index._write(joined.mapInArrow(
-        _settle(names, length, keep_text),
-        f"{own}k1 bigint, k2 int, {ends}, packed binary, whole binary, tails array<bigint>, hashes array<bigint>, at array<int>"), "first")
-
-    windows = first.where("packed IS NOT NULL").select("k1", "k2", F.explode(F.arrays_zip("tails", "hashes", "at")).alias("w")).select(
-        "k1", "k2", F.col("w.tails").alias("tail"), F.col("w.hashes").alias("hash"), F.col("w.at").alias("at"))
-    twice = windows.distinct().groupBy("tail", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tail", "hash")
-    repeats = windows.join(twice, ["tail", "hash"], "left_semi").groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
-        F.collect_list("at").alias("more"))
-    open_ = first.where("packed IS NOT NULL").select(*names, "k1", "k2", "packed", "whole").join(
-        repeats, (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")), "left").drop("m1", "m2")
-    second = open_.mapInArrow(_finish(names, length, keep_text), own + ends)
-    done = first.where("packed IS NULL").select(*second.columns).unionByName(second)
-    out = [F.col(f"_c{i}").alias(c) for i, c in enumerate(others)]
-    if keep_text:
-        out.append(F.col("kept").alias(text))
-    return done.select(*out, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
+def _packed(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows with their text compressed, for the shuffle."""
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            small = [pack.compress(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + [pa.array(small, pa.binary())], names=[*keep, "packed"])
 
-_ENDS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+    rows = rows.select(*keep, "text")
+    own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+    return rows.mapInArrow(run, own + "packed binary")
+
+
+def _pieces(length: int):
+    """The bytes of every open span, or the hash of each of its windows if its suffix is a hot one."""
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for k1, k2, packed, marks in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(),
+                                             batch.column("packed").to_pylist(), batch.column("marks")):
+                text, marks = unpack.decompress(packed), marks.values
+                p1, p2, tail, single, hot = (marks.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                if not hot.all():
+                    cold = ~hot
+                    body = [text[a:b + length] for a, b in zip(p1[cold].tolist(), p2[cold].tolist())]
+                    yield piece(k1, k2, tail[cold], np.zeros(len(body), np.int64), p1[cold], single[cold], body)
+                if hot.any():
+                    many = (p2 - p1 + 1)[hot].astype(np.int64)
+                    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(p1[hot].astype(np.int64), many)
+                    slab = Slab(np.frombuffer(text, np.uint8), np.array([0, len(text)]), length)
+                    yield piece(k1, k2, np.repeat(tail[hot], many), slab.hashes(at, at + length).view(np.int64),
+                                at.astype(np.int32), np.repeat(single[hot], many), [None] * len(at))
+
+    def piece(k1, k2, tail, hash_, p1, single, body):
+        n = len(tail)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tail), pa.array(hash_), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int32)),
+             pa.array(p1), pa.array(single.astype(bool)), pa.array(body, pa.binary())],
+            names=["tail", "hash", "k1", "k2", "p1", "single", "body"])
+    return run
+
+
+def _windows(length: int):
+    """Runs of windows of the single spans that another span of the same suffix has too. Rows come by suffix."""
+    def run(batches):
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            tail = np.asarray(now.column("tail"))
+            changes = np.flatnonzero(tail[1:] != tail[:-1])
+            cut_ = int(changes[-1]) + 1 if len(changes) else 0
+            rest = now.slice(cut_)
+            if cut_:
+                yield from made(now.slice(0, cut_))
+        if rest is not None and rest.num_rows:
+            yield from made(rest)
+
+    def made(rows):
+        tail, k1, k2, p1 = (np.asarray(rows.column(n)) for n in ("tail", "k1", "k2", "p1"))
+        single = rows.column("single").to_numpy(zero_copy_only=False)
+        data, offsets = utf8(rows.column("body"))
+        many = np.diff(offsets) - length + 1
+        owner = np.repeat(np.arange(len(many)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        where = offsets[owner] + at
+        hashes = Slab(data, offsets, length).hashes(where, where + length)
+        group = np.cumsum(np.append(0, tail[1:] != tail[:-1]))[owner]
+        order = np.lexsort((hashes, group))
+        same = (hashes[order][1:] == hashes[order][:-1]) & (group[order][1:] == group[order][:-1])
+        twice = np.zeros(len(order), bool)
+        twice[order] = np.append(same, False) | np.append(False, same)
+        twice &= single[owner]
+        owner, at = owner[twice], at[twice]
+        if not len(at):
+            return
+        start = np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1))
+        first, last = np.flatnonzero(start), np.append(np.flatnonzero(start)[1:] - 1, len(at) - 1)
+        row = owner[first]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k1[row]), pa.array(k2[row]), pa.array((p1[row] + at[first]).astype(np.int32)),
+             pa.array((p1[row] + at[last] + length).astype(np.int32))], names=["k1", "k2", "p1", "p2"])
+    return run
 
 
 def union_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -266,61 +353,15 @@ def _ends(made: list) -> list[pa.Array]:
     return [pa.array(list(c), k) for c, k in zip(columns, kinds)]
 
 
-_NOT_YET = (None,) * 6
-
-
-def _settle(names: list[str], length: int, keep_text: bool):
-    """Finish documents without open windows; hash the windows of the others and pack their text."""
-    def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            marks = batch.column("marks")
-            flat, bounds = marks.flatten(), marks.offsets.to_numpy().astype(np.int64)
-            bounds = bounds - bounds[0]
-            p1, p2, tail, kind = (np.asarray(flat.field(i)) for i in range(4))
-            empty = np.asarray(marks.is_null())
-            made, packed, whole, tails, hashes, at = [], [], [], [], [], []
-            for i in range(batch.num_rows):
-                body = data[offsets[i]:offsets[i + 1]]
-                a, b = (0, 0) if empty[i] else (bounds[i], bounds[i + 1])
-                full = kind[a:b] == 0
-                runs = union_of(p1[a:b][full].astype(np.int64), p2[a:b][full].astype(np.int64) + length)
-                if full.all():
-                    made.append(cut(body.tobytes(), runs, keep_text))
-                    for column in (packed, whole, tails, hashes, at):
-                        column.append(None)
-                    continue
-                first, last = p1[a:b][~full].astype(np.int64), p2[a:b][~full].astype(np.int64)
-                many = last - first + 1
-                where = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
-                slab = Slab(body, np.array([0, len(body)]), length)
-                made.append(_NOT_YET)
-                packed.append(pack.compress(body.tobytes()))
-                whole.append(runs.astype(np.int32).tobytes())
-                tails.append(np.repeat(tail[a:b][~full], many))
-                hashes.append(slab.hashes(where, where + length).view(np.int64))
-                at.append(where.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [batch.column("k1"), batch.column("k2")] + _ends(made)
-                + [pa.array(packed, pa.binary()), pa.array(whole, pa.binary()), pa.array(tails, pa.list_(pa.int64())),
-                   pa.array(hashes, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))],
-                names=[*names, "k1", "k2", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept", "packed",
-                       "whole", "tails", "hashes", "at"])
-    return run
-
-
-def _finish(names: list[str], length: int, keep_text: bool):
+def _finish(names: list[str], keep_text: bool):
     def run(batches):
         unpack = zstandard.ZstdDecompressor()
+        none = np.zeros(0, np.int64)
         for batch in batches:
             made = []
-            for packed, whole, more in zip(batch.column("packed").to_pylist(), batch.column("whole").to_pylist(),
-                                           batch.column("more")):
-                text = unpack.decompress(packed)
-                runs = np.frombuffer(whole, np.int32).reshape(-1, 2).astype(np.int64)
-                at = more.values.to_numpy().astype(np.int64) if more.is_valid else np.zeros(0, np.int64)
-                made.append(cut(text, union_of(np.append(runs[:, 0], at), np.append(runs[:, 1], at + length)), keep_text))
+            for packed, runs in zip(batch.column("packed").to_pylist(), batch.column("runs")):
+                start, end = (runs.values.field(i).to_numpy().astype(np.int64) for i in (0, 1)) if runs.is_valid else (none, none)
+                made.append(cut(unpack.decompress(packed), union_of(start, end), keep_text))
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + _ends(made),
                                              names=[*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
     return run
