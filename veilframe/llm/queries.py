@@ -8,6 +8,7 @@ from .common import table
 from .digests import edited_pairs
 from .mixing import mix
 from .mixing import oracle as mixing_sql
+from .packing import pack
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
 
@@ -46,3 +47,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return mix(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+@register("op7_best_fit_packing")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents").select("doc_id", "text"))
