@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .digests import edited_pairs
+from .knn import oracle as knn_sql
+from .knn import top_products
 from .mixing import mix
 from .mixing import oracle as mixing_sql
 from .packing import pack
@@ -52,3 +54,9 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @register("op7_best_fit_packing")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op1_exact_top_k", knn_sql())
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return top_products(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
