@@ -10,6 +10,8 @@ Executors then deal the pieces: the r-th piece of a length goes to the r-th plac
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -21,7 +23,7 @@ from .common import row_key, shared_folder, split_rank, stage, vocabulary_path
 
 CAPACITY = 4096
 #: Words whose ids a task keeps; the table starts again when it is full.
-WORDS = 400_000
+WORDS = 1_000_000
 #: Nodes of the search. Each filling takes as many bins as the counts allow, so a plan has few nodes.
 NODES = 6_000
 #: Fillings tried at a node before the next one.
@@ -31,17 +33,31 @@ BREADTH = 6
 # --- tokens -----------------------------------------------------------------------------------------
 
 
+#: ASCII and the precomposed letters of Latin-1 and Latin Extended: there lower case, NFC and letters are plain.
+_LATIN = re.compile(r"[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The tokenizer's own split, fixed by its file, for such words.
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes every byte as a printable character: itself, or the next free one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordIds(dict):
     """Ids of a word as bytes (unsigned little-endian 32 bits), computed once.
 
-    The tokenizer drops white space and never joins text across it, so a text's ids are those of its words.
+    The tokenizer drops white space and never joins text across it, so a text's ids are those of its words. Latin words
+    go straight to its merges, part by part; all others through the whole tokenizer.
     """
 
     def __init__(self, path: str, room: int = WORDS):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.coder, self.room = Tokenizer.from_file(path), room
+        self.coder, self.room, self.letters = Tokenizer.from_file(path), room, byte_letters()
+        self.merge = self.coder.model.tokenize
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.room:
@@ -49,10 +65,21 @@ class WordIds(dict):
         if word[-1:] in (b".", b",") and word[-2:-1].isalpha():  # ASCII letter before it: two tokens apart
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = np.array(self.coder.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            text = word.decode()
+            if _LATIN.fullmatch(text) and "<|" not in text:
+                text = text.lower()
+                ids = self._merged(text) if text.isalpha() else b"".join(map(self._merged, _SPLIT.findall(text)))
+            else:
+                ids = np.array(self.coder.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[word] = ids
         return ids
 
+    def _merged(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        made = [t.id for t in self.merge(part)]
+        return struct.pack(f"<{len(made)}I", *made)
+
     def of(self, text: str) -> bytes:
         raw = text.encode()
         if b"<|" not in raw:  # the names of special tokens are told apart by case
@@ -277,7 +304,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     plan = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "each", "first", "at"))).alias("places"))
     ranked = split_rank(made, ["length"], ["k1", "k2", "piece"])
     found = F.expr("element_at(filter(places, p -> p.low <= rank AND rank < p.high), 1)")
-    placed = ranked.join(plan, "length").withColumn("p", found).withColumn("r", F.col("rank") - F.col("p.low"))
+    # at most ``capacity`` lengths, and places bounded by the plan's nodes: the plan is small whatever the input
+    placed = ranked.join(F.broadcast(plan), "length").withColumn("p", found).withColumn("r", F.col("rank") - F.col("p.low"))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32",
                          (F.col("p.first") + F.expr("r DIV p.each")).alias("sequence_id"),
                          (F.col("p.at") + F.expr("r % p.each") * F.col("length")).alias("offset"))
