@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, bloc
 
 
 def draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(shard, sid, k): the source of every slot and its running number in that source, below its slots."""
+    """(shard, sid, n, first): multinomial counts of every output shard, and the source's draws in the shards before."""
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     all_ = Window.partitionBy(F.lit(0))
     cut = sources.where("slots > 0").withColumn("lo", F.coalesce(F.sum("slots").over(upto), F.lit(0))).withColumn(
@@ -74,28 +74,34 @@ def draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     shards = cut.agg(F.max("m").alias("m")).where("m > 0").withColumn("shard", F.explode(F.expr(f"sequence(0L, (m - 1) DIV {shard})")))
     slots = shards.repartition("shard").withColumn("g", F.explode(F.expr(f"sequence(shard * {shard}, least(m, (shard + 1) * {shard}) - 1)")))
     slots = slots.select("shard", "g", F.expr(mixed("g", "77")).alias("u")).withColumn("cell", F.expr(f"u DIV {wide}"))
-    drawn = slots.join(cells.select("sid", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
+    # Spark takes exploded ranges for small ones and would broadcast them; the hint keeps them in a shuffle.
+    drawn = slots.hint("merge").join(cells.select("sid", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
     counts = drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return counts.select("shard", "sid", F.explode(F.expr("sequence(first, first + n - 1)")).alias("k"))
+    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-def settled(drawn: DataFrame, sources: DataFrame) -> DataFrame:
-    """The draws with those beyond a source's slots given to the sources that drew too few."""
-    got = drawn.groupBy("sid").agg(F.count(F.lit(1)).alias("got"))
+def slots_of(sources: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
+    """(shard, sid, k, block): which block of which source every slot takes.
+
+    Draws beyond a source's slots are given to the sources that drew too few, in order.
+    """
+    counts = stage(draws(sources, shard), folder, "draws")
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    state = sources.where("slots > 0").join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    state = state.withColumn("over", F.greatest(F.col("got") - F.col("slots"), F.lit(0))).withColumn(
-        "under", F.greatest(F.col("slots") - F.col("got"), F.lit(0)))
-    state = state.select("sid", "slots", "got", "under", F.coalesce(F.sum("over").over(upto), F.lit(0)).alias("over_at"),
-                         F.coalesce(F.sum("under").over(upto), F.lit(0)).alias("under_at"))
-    both = drawn.join(state.select("sid", "slots", "over_at"), "sid")
-    kept = both.where("k < slots").select("shard", "sid", "k")
-    spare = both.where("k >= slots").select("shard", F.expr("over_at + k - slots").alias("e"))
-    free = state.where("under > 0").select(F.col("sid"), "got", "under_at", F.explode(F.expr("sequence(got, slots - 1)")).alias("k"))
-    free = free.select("sid", "k", F.expr("under_at + k - got").alias("e"))
-    return kept.unionByName(spare.join(free, "e").select("shard", "sid", "k"))
+    state = sources.where("slots > 0").join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left")
+    state = state.withColumn("got", F.coalesce("got", F.lit(0))).withColumn(
+        "over", F.greatest(F.col("got") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("got"), F.lit(0)))
+    state = stage(state.select("sid", "blocks", "slots", "got", "under", F.coalesce(F.sum("over").over(upto), F.lit(0)).alias("over_at"),
+                               F.coalesce(F.sum("under").over(upto), F.lit(0)).alias("under_at")), folder, "state")
+    both = counts.join(state.select("sid", "blocks", "slots", "over_at"), "sid")
+    kept = both.where("first < slots").select("shard", "sid", "blocks", F.explode(
+        F.expr("sequence(first, least(first + n, slots) - 1)")).alias("k"))
+    spare = both.where("first + n > slots").select("shard", F.explode(F.expr(
+        "sequence(over_at + greatest(first, slots) - slots, over_at + first + n - 1 - slots)")).alias("e"))
+    free = state.where("under > 0").select("sid", "blocks", "got", "under_at", F.explode(F.expr("sequence(got, slots - 1)")).alias("k"))
+    free = free.select("sid", "blocks", "k", F.expr("under_at + k - got").alias("e"))
+    slots = kept.unionByName(spare.hint("merge").join(free, "e").select("shard", "sid", "blocks", "k"))
+    return slots.select("shard", "sid", "k", permuted("blocks", "k", "sid").alias("block"))
 
 
 def permuted(n: str, k: str, sid: str, rounds: int = ROUNDS) -> Column:
@@ -106,12 +112,6 @@ def permuted(n: str, k: str, sid: str, rounds: int = ROUNDS) -> Column:
     return F.expr(f"aggregate(sequence(0, {rounds - 1}), {k} % {n}, (x, r) -> CASE WHEN {coin} = 1 THEN {mirror} ELSE x END)")
 
 
-def slots_of(sources: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(shard, sid, k, block): which block of which source every slot takes."""
-    slots = settled(draws(sources, shard), sources).join(sources.select("sid", "blocks"), "sid")
-    return slots.select("shard", "sid", "k", permuted("blocks", "k", "sid").alias("block"))
-
-
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with words, its source's sid and the word of the stream at which it starts."""
     ids = sources.select("sid", F.col("source").alias("_s"))
@@ -137,9 +137,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     folder = shared_folder(docs.sparkSession)
     sizes = stage(sized(docs, doc_id, text, source), folder, "sizes")
     sources = stage(targets(sizes, weights, block=block), folder, "sources")
-    times = slots_of(sources, shard).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = slots_of(sources, folder, shard).groupBy("sid", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = spread(placed(sizes, sources), block).select("doc_id", "h", "sid", "start", "size", "block", "part")
-    taken = pieces.join(times, ["sid", "block"], "left").groupBy("doc_id", "h", "sid", "start", "size").agg(
+    taken = pieces.hint("merge").join(times, ["sid", "block"], "left").groupBy("doc_id", "h", "sid", "start", "size").agg(
         F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
     facts = sources.select("sid", F.col("source").alias("_s"), "source_size", "target")
     out = ["doc_id", "h", "source", "size", "source_size", "target", "taken"]
@@ -162,7 +162,7 @@ def mixed_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", so
     cut = cut.select("sid", "block", "start", F.slice("ws", (F.col("word") + 1).cast("int"), F.col("part").cast("int")).alias("ws"))
     whole = cut.groupBy("sid", "block").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(
         F.struct("start", "ws"))), lambda p: p["ws"])), " ").alias("words"))  # at most ``block`` words
-    return slots_of(sources, shard).join(whole, ["sid", "block"]).join(sources.select("sid", "source"), "sid").select(
+    return slots_of(sources, folder, shard).hint("merge").join(whole, ["sid", "block"]).join(sources.select("sid", "source"), "sid").select(
         "shard", "source", "block", "words")
 
 
