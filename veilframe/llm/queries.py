@@ -13,8 +13,11 @@ from .knn import top_products
 from .mixing import mix
 from .mixing import oracle as mixing_sql
 from .packing import pack
+from .quality import score_quality
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
+from .toxicity import fit as fit_toxicity
+from .toxicity import score_documents
 
 QUERIES = {}
 ORACLES = {}
@@ -75,3 +78,15 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @register("op9_html_extraction")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return extract(table(spark, sf, "pages").select("page_id", "url", "html"))
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return score_documents(docs, fit_toxicity(docs, table(spark, sf, "labels").select("doc_id", "toxic")))
+
+
+@register("op6_quality_classifier")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return score_quality(table(spark, sf, "documents").select("doc_id", "text"),
+                         table(spark, sf, "labels").select("doc_id", "quality"))
