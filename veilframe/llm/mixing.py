@@ -62,6 +62,10 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, bloc
     return per.select("sid", "source", "source_size", "target", "blocks", slots.alias("slots"))
 
 
+def _tasks(frame: DataFrame) -> int:
+    return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     """(shard, sid, n, first): multinomial counts of every output shard, and the source's draws in the shards before."""
     upto = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
@@ -72,7 +76,7 @@ def draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     wide = PRIME // CELLS + 1
     cells = cut.where("hi > lo").withColumn("cell", F.explode(F.expr(f"sequence(lo DIV {wide}, (hi - 1) DIV {wide})")))
     shards = cut.agg(F.max("m").alias("m")).where("m > 0").withColumn("shard", F.explode(F.expr(f"sequence(0L, (m - 1) DIV {shard})")))
-    slots = shards.repartition("shard").withColumn("g", F.explode(F.expr(f"sequence(shard * {shard}, least(m, (shard + 1) * {shard}) - 1)")))
+    slots = shards.repartition(_tasks(sources), "shard").withColumn("g", F.explode(F.expr(f"sequence(shard * {shard}, least(m, (shard + 1) * {shard}) - 1)")))
     slots = slots.select("shard", "g", F.expr(mixed("g", "77")).alias("u")).withColumn("cell", F.expr(f"u DIV {wide}"))
     # Spark takes exploded ranges for small ones and would broadcast them; the hint keeps them in a shuffle.
     drawn = slots.hint("merge").join(cells.select("sid", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
@@ -93,7 +97,8 @@ def slots_of(sources: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
         "over", F.greatest(F.col("got") - F.col("slots"), F.lit(0))).withColumn("under", F.greatest(F.col("slots") - F.col("got"), F.lit(0)))
     state = stage(state.select("sid", "blocks", "slots", "got", "under", F.coalesce(F.sum("over").over(upto), F.lit(0)).alias("over_at"),
                                F.coalesce(F.sum("under").over(upto), F.lit(0)).alias("under_at")), folder, "state")
-    both = counts.join(state.select("sid", "blocks", "slots", "over_at"), "sid")
+    # few rows that become many: a fixed number of tasks, or they would be coalesced into one
+    both = counts.join(state.select("sid", "blocks", "slots", "over_at"), "sid").repartition(_tasks(sources), "shard")
     kept = both.where("first < slots").select("shard", "sid", "blocks", F.explode(
         F.expr("sequence(first, least(first + n, slots) - 1)")).alias("k"))
     spare = both.where("first + n > slots").select("shard", F.explode(F.expr(
