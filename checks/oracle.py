@@ -134,51 +134,48 @@ MASK = "'[' || entity_type || ']'"
 def seed(salt: str = "", secret: str = "") -> str:
     text = f"{s(salt)} || v" if salt else "v"
     if not secret:
-        return f"('0x' || md5({text})[1:8])::BIGINT"
+        return f"md5({text})"
     key = secret.encode().ljust(64, b"\0")
     def blob(x):
         return "'" + "".join(f"\\x{(k ^ x):02X}" for k in key) + "'::BLOB"
     inner = f"sha256({blob(0x36)} || (entity_type || '::' || {text})::BLOB)"
-    return f"('0x' || sha256({blob(0x5C)} || unhex({inner}))[1:8])::BIGINT"
-
-
-def _pick(words, r: str) -> str:
-    return f"{names(words)}[({r} % {len(words)})::INT + 1]"
-
-
-def stand_in(r: str, first=pools.FIRST_NAMES, last=pools.LAST_NAMES, cities=pools.CITIES) -> str:
-    n = len(pools.PLATE_LETTERS)
-    plate = " || ".join(f"{s(pools.PLATE_LETTERS)}[(({r} >> {k}) % {n})::INT + 1]" for k in (0, 4, 8))
-    number = {
-        "PHONE_NUMBER": f"'(555) ' || ({r} % 8000000 + 2000000)",
-        "US_SSN": f"({r} % 899 + 100) || '-' || ({r} % 89 + 10) || '-' || ({r} % 8999 + 1000)",
-        "STUDENT_ID": f"'D' || ({r} % 9000000 + 1000000)",
-        "COLLEAGUE_ID": f"'D' || ({r} % 9000000 + 1000000)",
-        "FAFSA_ID": f"'NE-' || ({r} % 900000 + 100000)",
-        "IP_ADDRESS": f"'192.0.2.' || ({r} % 254 + 1)",
-        "MEDICAL_LICENSE": f"'ML' || lpad(({r} % 999999)::VARCHAR, 6, '0')",
-        "FINANCIAL_ACCOUNT": f"({r} % 9000000000 + 1000000000)::VARCHAR",
-        "US_BANK_NUMBER": f"({r} % 9000000000 + 1000000000)::VARCHAR",
-        "US_PASSPORT": f"chr((65 + {r} % 26)::INT) || ({r} % 90000000 + 10000000)",
-        "US_DRIVER_LICENSE": f"'DL' || ({r} % 9000000 + 1000000)",
-        "TITLE_IX_CASE_ID": f"'TIX-' || (2020 + {r} % 6) || '-' || ({r} % 9000 + 1000)",
-        "IRB_PROTOCOL": f"'IRB-' || (2020 + {r} % 6) || '-' || ({r} % 900 + 100)",
-        "FINANCIAL_AID_AWARD": f"'Pell Grant $' || format('{{:,}}', ({r} % 9000 + 1000) * 100) || '.00'",
-        "STUDENT_ACCOUNT_ID": f"'TN-' || ({r} % 900000000 + 100000000)",
-        "LICENSE_PLATE": f"{plate} || ' ' || ({r} % 9000 + 1000)",
-    }
-    date = f"lpad(({r} % 12 + 1)::VARCHAR, 2, '0') || '/' || lpad(({r} % 28 + 1)::VARCHAR, 2, '0') || '/' || (1970 + {r} % 35)"
-    mail = f"replace(lower({_pick(first, r)}), ' ', '') || '.test@' || {_pick(pools.MAIL_DOMAINS, r)}"
+    return f"sha256({blob(0x5C)} || unhex({inner}))[1:32]"
+
+
+def stand_in(d: str, first=pools.FIRST_NAMES, last=pools.LAST_NAMES, cities=pools.CITIES) -> str:
+    """Every blank of a type's format from eight hexadecimal digits of its own."""
+    def bits(k: int) -> str:
+        return f"('0x' || ({d})[{8 * k + 1}:{8 * k + 8}])::BIGINT"
+
+    def word(values, k: int) -> str:
+        return f"{names(values)}[({bits(k)} % {len(values)})::INT + 1]"
+
+    def number(low: int, high: int, k: int, width: int = 0) -> str:
+        value = f"({bits(k)} % {high - low + 1} + {low})::VARCHAR"
+        return f"lpad({value}, {width}, '0')" if width else value
+
+    mail = f"{word([n.lower().replace(' ', '') for n in first], 0)} || '.test@' || {word(pools.MAIL_DOMAINS, 1)}"
+    date = f"{number(1, 12, 0, 2)} || '/' || {number(1, 28, 1, 2)} || '/' || {number(1970, 2004, 2)}"
+    student, account = f"'D' || {number(10**6, 10**7 - 1, 0)}", f"{number(10**4, 10**5 - 1, 0)} || {number(0, 10**5 - 1, 1, 5)}"
     text = {
-        "PERSON": f"{_pick(first, r)} || ' ' || {_pick(last, f'({r} >> 4)')}",
-        "EMAIL_ADDRESS": mail, "INSTITUTION_EMAIL": mail, "DATE_TIME": date, "DATE_OF_BIRTH": date,
-        "CREDIT_CARD": s(pools.TEST_CARD), "LOCATION": _pick(cities, r), "URL": s(pools.TEST_URL),
-        "IBAN_CODE": s(pools.TEST_IBAN), "NRP": s(pools.GROUP_TOKEN),
-        "IMMIGRATION_STATUS": _pick(pools.RESIDENCE_PERMITS, r),
-        "DISABILITY_ACCOMMODATION": _pick(pools.ACCOMMODATIONS, r),
-        "VETERAN_STATUS": _pick(pools.SERVICE_RECORDS, r),
+        "PERSON": f"{word(first, 0)} || ' ' || {word(last, 1)}", "EMAIL_ADDRESS": mail, "INSTITUTION_EMAIL": mail,
+        "PHONE_NUMBER": f"'(555) ' || {number(2 * 10**6, 10**7 - 1, 0)}",
+        "US_SSN": f"{number(100, 899, 0)} || '-' || {number(10, 99, 1)} || '-' || {number(1000, 9999, 2)}",
+        "CREDIT_CARD": "'4111-1111-1111-1111'", "DATE_TIME": date, "DATE_OF_BIRTH": date, "LOCATION": word(cities, 0),
+        "STUDENT_ID": student, "BANNER_ID": student, "COLLEAGUE_ID": student,
+        "FAFSA_ID": f"'NE-' || {number(10**5, 10**6 - 1, 0)}", "IP_ADDRESS": f"'192.0.2.' || {number(1, 254, 0)}",
+        "URL": "'https://example.com/redacted'", "IBAN_CODE": "'GB00FAKE00000000000000'",
+        "MEDICAL_LICENSE": f"'ML' || {number(0, 10**6 - 1, 0, 6)}", "FINANCIAL_ACCOUNT": account, "US_BANK_NUMBER": account,
+        "US_PASSPORT": f"chr((65 + {bits(0)} % 26)::INT) || {number(10**7, 10**8 - 1, 1)}",
+        "US_DRIVER_LICENSE": f"'DL' || {number(10**6, 10**7 - 1, 0)}", "IMMIGRATION_STATUS": word(pools.RESIDENCE_PERMITS, 0),
+        "DISABILITY_ACCOMMODATION": word(pools.ACCOMMODATIONS, 0), "VETERAN_STATUS": word(pools.SERVICE_RECORDS, 0),
+        "NRP": "'[SENSITIVE_ATTRIBUTE]'", "TITLE_IX_CASE_ID": f"'TIX-' || {number(2020, 2025, 0)} || '-' || {number(1000, 9999, 1)}",
+        "IRB_PROTOCOL": f"'IRB-' || {number(2020, 2025, 0)} || '-' || {number(100, 999, 1)}",
+        "FINANCIAL_AID_AWARD": f"'Pell Grant $' || {number(1, 9, 0)} || ',' || {number(0, 9, 1)} || '00.00'",
+        "STUDENT_ACCOUNT_ID": f"'TN-' || {number(10**8, 10**9 - 1, 0)}",
+        "LICENSE_PLATE": " || ".join(word(list(pools.PLATE_LETTERS), k) for k in range(3)) + f" || ' ' || {number(1000, 9999, 3)}",
     }
-    whens = " ".join(f"WHEN {s(e)} THEN {x}" for e, x in {**number, **text}.items())
+    whens = " ".join(f"WHEN {s(e)} THEN {x}" for e, x in text.items())
     return f"(CASE entity_type {whens} ELSE '[' || entity_type || ']' END)"
 
 

@@ -40,9 +40,38 @@ RESIDENCE_PERMITS = [
     "Professional permit", "Visitor permit", "Settled resident", "Temporary permit",
 ]
 
-# Published test or documentation values, safe to print.
-TEST_CARD = "4111-1111-1111-1111"
-TEST_IBAN = "GB00FAKE00000000000000"
-TEST_URL = "https://example.com/redacted"
-GROUP_TOKEN = "[SENSITIVE_ATTRIBUTE]"
+# Formats that stand-ins must have. In braces: a word list, a range of whole numbers (written with as
+# many digits as its first number has), or {A-Z} and {plate} for one letter. Amounts are in hundreds.
+FORMATS = {
+    "PERSON": "{first} {last}",
+    "EMAIL_ADDRESS": "{mailbox}.test@{domain}",
+    "INSTITUTION_EMAIL": "{mailbox}.test@{domain}",
+    "PHONE_NUMBER": "(555) {2000000-9999999}",
+    "US_SSN": "{100-899}-{10-99}-{1000-9999}",
+    "CREDIT_CARD": "4111-1111-1111-1111",
+    "DATE_TIME": "{01-12}/{01-28}/{1970-2004}",
+    "DATE_OF_BIRTH": "{01-12}/{01-28}/{1970-2004}",
+    "LOCATION": "{city}",
+    "STUDENT_ID": "D{1000000-9999999}",
+    "BANNER_ID": "D{1000000-9999999}",
+    "COLLEAGUE_ID": "D{1000000-9999999}",
+    "FAFSA_ID": "NE-{100000-999999}",
+    "IP_ADDRESS": "192.0.2.{1-254}",
+    "URL": "https://example.com/redacted",
+    "IBAN_CODE": "GB00FAKE00000000000000",
+    "MEDICAL_LICENSE": "ML{000000-999999}",
+    "FINANCIAL_ACCOUNT": "{10000-99999}{00000-99999}",
+    "US_BANK_NUMBER": "{10000-99999}{00000-99999}",
+    "US_PASSPORT": "{A-Z}{10000000-99999999}",
+    "US_DRIVER_LICENSE": "DL{1000000-9999999}",
+    "IMMIGRATION_STATUS": "{permit}",
+    "DISABILITY_ACCOMMODATION": "{accommodation}",
+    "VETERAN_STATUS": "{service}",
+    "NRP": "[SENSITIVE_ATTRIBUTE]",
+    "TITLE_IX_CASE_ID": "TIX-{2020-2025}-{1000-9999}",
+    "IRB_PROTOCOL": "IRB-{2020-2025}-{100-999}",
+    "FINANCIAL_AID_AWARD": "Pell Grant ${1-9},{0-9}00.00",
+    "STUDENT_ACCOUNT_ID": "TN-{100000000-999999999}",
+    "LICENSE_PLATE": "{plate}{plate}{plate} {1000-9999}",
+}
 PLATE_LETTERS = "ABCDEFGHJKLMNPQRSTUVWXYZ"

@@ -1,14 +1,16 @@
 """Deterministic stand-in values, as pure functions of (type, text, secret, salt).
 
 No state is kept: equal input gives an equal stand-in in every task, run and
-cluster.  Without a secret the seed is the first 32 bits of the MD5 of the text;
-with a secret it is taken from an HMAC-SHA256 over ``type::text`` so that common
-values cannot be found by trying them out.
+cluster.  The seed is a digest of 128 bits: the MD5 of the text, or with a secret
+the first half of an HMAC-SHA256 over ``type::text``, so that common values cannot
+be found by trying them out.  The formats are a table; every blank of a format is
+filled from 32 bits of the digest of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 
 from ..catalog import pools
@@ -34,64 +36,56 @@ def hmac_sha256_hex(key: bytes, message: str) -> str:
     return (f"sha2(concat({lit(outer)}, unhex(sha2(concat({lit(inner)}, encode({message}, 'UTF-8')), 256))), 256)")
 
 
+#: Blanks that a digest can fill.
+BLANKS = 4
+
+
 def seed_sql(entity: str, original: str, how: Pseudonyms) -> str:
+    """The digest that decides a stand-in: 32 hexadecimal digits."""
     salted = f"concat({lit(how.salt)}, {original})" if how.salt else original
     if how.secret:
-        digest = hmac_sha256_hex(how.secret.encode(), f"concat({entity}, '::', {salted})")
-    else:
-        digest = f"md5(encode({salted}, 'UTF-8'))"
-    return f"cast(conv(substring({digest}, 1, 8), 16, 10) as bigint)"
-
-
-def _pick(words, shift: int = 0) -> str:
-    r = f"shiftright(ps_r, {shift})" if shift else "ps_r"
-    return f"get({lits(words)}, cast({r} % {len(words)} as int))"
-
-
-def _padded(number: str, width: int) -> str:
-    return f"lpad(cast({number} as string), {width}, '0')"
+        return f"left({hmac_sha256_hex(how.secret.encode(), f'concat({entity}, {lit('::')}, {salted})')}, 32)"
+    return f"md5(encode({salted}, 'UTF-8'))"
+
+
+def word_lists(how: Pseudonyms) -> dict[str, list[str]]:
+    """What the named blanks of a format choose from."""
+    return {"first": list(how.first_names), "last": list(how.last_names), "city": list(how.cities),
+            "mailbox": [n.lower().replace(" ", "") for n in how.first_names], "domain": pools.MAIL_DOMAINS,
+            "permit": pools.RESIDENCE_PERMITS, "accommodation": pools.ACCOMMODATIONS, "service": pools.SERVICE_RECORDS,
+            "plate": list(pools.PLATE_LETTERS), "A-Z": [chr(c) for c in range(ord("A"), ord("Z") + 1)]}
+
+
+def pieces_of(shape: str) -> list[tuple[str, str]]:
+    """A format as ("text", characters) and ("blank", content) pieces, in order."""
+    found = re.findall(r"\{([^}]*)\}|([^{]+)", shape)
+    if sum(bool(blank) for blank, _ in found) > BLANKS:
+        raise ValueError(f"{shape!r} has more than {BLANKS} blanks")
+    return [("blank", blank) if blank else ("text", text) for blank, text in found]
+
+
+def _filled(shape: str, lists: dict[str, list[str]]) -> str:
+    parts, used = [], 0
+    for kind, content in pieces_of(shape):
+        if kind == "text":
+            parts.append(lit(content))
+            continue
+        number = f"cast(conv(substring(ps_d, {8 * used + 1}, 8), 16, 10) as bigint)"
+        used += 1
+        if content in lists:
+            parts.append(f"get({lits(lists[content])}, cast({number} % {len(lists[content])} as int))")
+        else:
+            low, high = content.split("-")
+            value = f"cast({number} % {int(high) - int(low) + 1} + {int(low)} as string)"
+            parts.append(f"lpad({value}, {len(low)}, '0')" if len(low) == len(high) else value)
+    return f"concat({', '.join(parts)})"
 
 
 def stand_in_sql(entity: str, seed: str, how: Pseudonyms = Pseudonyms()) -> str:
-    """Stand-in value of an entity type for a 32-bit seed. Formats per type are fixed values."""
-    mail = f"concat(replace(lower({_pick(how.first_names)}), ' ', ''), '.test@', {_pick(pools.MAIL_DOMAINS)})"
-    date = f"concat({_padded('ps_r % 12 + 1', 2)}, '/', {_padded('ps_r % 28 + 1', 2)}, '/', cast(1970 + ps_r % 35 as string))"
-    number10 = "cast(ps_r % 9000000000 + 1000000000 as string)"
-    letters = lits(list(pools.PLATE_LETTERS))
-    n = len(pools.PLATE_LETTERS)
-    plate = "concat(" + ", ".join(
-        f"get({letters}, cast(shiftright(ps_r, {k}) % {n} as int))" for k in (0, 4, 8)) + \
-        ", ' ', cast(ps_r % 9000 + 1000 as string))"
-    rules = {
-        ("PERSON",): f"concat({_pick(how.first_names)}, ' ', {_pick(how.last_names, 4)})",
-        ("EMAIL_ADDRESS", "INSTITUTION_EMAIL"): mail,
-        ("PHONE_NUMBER",): f"concat('(555) ', {_padded('ps_r % 8000000 + 2000000', 7)})",
-        ("US_SSN",): "concat(cast(ps_r % 899 + 100 as string), '-', cast(ps_r % 89 + 10 as string), '-', "
-                     "cast(ps_r % 8999 + 1000 as string))",
-        ("CREDIT_CARD",): lit(pools.TEST_CARD),
-        ("DATE_TIME", "DATE_OF_BIRTH"): date,
-        ("LOCATION",): _pick(how.cities),
-        ("STUDENT_ID", "BANNER_ID", "COLLEAGUE_ID"): "concat('D', cast(ps_r % 9000000 + 1000000 as string))",
-        ("FAFSA_ID",): "concat('NE-', cast(ps_r % 900000 + 100000 as string))",
-        ("IP_ADDRESS",): "concat('192.0.2.', cast(ps_r % 254 + 1 as string))",
-        ("URL",): lit(pools.TEST_URL),
-        ("IBAN_CODE",): lit(pools.TEST_IBAN),
-        ("MEDICAL_LICENSE",): f"concat('ML', {_padded('ps_r % 999999', 6)})",
-        ("FINANCIAL_ACCOUNT", "US_BANK_NUMBER"): number10,
-        ("US_PASSPORT",): "concat(char(65 + ps_r % 26), cast(ps_r % 90000000 + 10000000 as string))",
-        ("US_DRIVER_LICENSE",): "concat('DL', cast(ps_r % 9000000 + 1000000 as string))",
-        ("IMMIGRATION_STATUS",): _pick(pools.RESIDENCE_PERMITS),
-        ("DISABILITY_ACCOMMODATION",): _pick(pools.ACCOMMODATIONS),
-        ("VETERAN_STATUS",): _pick(pools.SERVICE_RECORDS),
-        ("NRP",): lit(pools.GROUP_TOKEN),
-        ("TITLE_IX_CASE_ID",): "concat('TIX-', cast(2020 + ps_r % 6 as string), '-', cast(ps_r % 9000 + 1000 as string))",
-        ("IRB_PROTOCOL",): "concat('IRB-', cast(2020 + ps_r % 6 as string), '-', cast(ps_r % 900 + 100 as string))",
-        ("FINANCIAL_AID_AWARD",): "concat('Pell Grant $', format_number((ps_r % 9000 + 1000) * 100, 0), '.00')",
-        ("STUDENT_ACCOUNT_ID",): "concat('TN-', cast(ps_r % 900000000 + 100000000 as string))",
-        ("LICENSE_PLATE",): plate,
-    }
-    branches = " ".join(f"when {lit(e)} then {value}" for types, value in rules.items() for e in types)
-    return let("ps_r", seed, f"case {entity} {branches} else concat('[', {entity}, ']') end")
+    """Stand-in value of an entity type for a digest; a type without a format is named in brackets."""
+    lists = word_lists(how)
+    branches = " ".join(f"when {lit(e)} then {_filled(shape, lists)}" for e, shape in pools.FORMATS.items())
+    return let("ps_d", seed, f"case {entity} {branches} else concat('[', {entity}, ']') end")
 
 
 def pseudonym_sql(entity: str, original: str, how: Pseudonyms = Pseudonyms()) -> str:
