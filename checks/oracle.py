@@ -47,7 +47,7 @@ def hits(source: str, book: RuleBook | None = None, hint: str | None = None) ->
     book = book or default_book()
     fixed = names(sorted(hinted_entities(hint, book)))
     boosted = "boosted" if "AS boosted" in source else fixed
-    b, f, w, c = book.boost, book.boost_floor, book.context_words, book.context_chars
+    b, f, w = book.boost, book.boost_floor, book.context_words
     # Constant patterns are compiled once; a pattern read from a column would be compiled per row.
     matched = "\nUNION ALL\n".join(
         f"SELECT id, text, bl, {r.rule_id} AS pattern_id, regexp_extract_all(text, {s(rx)}) AS ms, "
@@ -74,12 +74,12 @@ ok AS (SELECT * FROM dg WHERE CASE
         AND (kind = 'ssn_tail' OR (d[4:5] <> '00' AND d[6:9] <> '0000'))
     ELSE true END),
 cx AS (SELECT *, ' ' || regexp_replace(lower(array_to_string(list_filter(string_split_regex(
-        substring(text, greatest(st - {c} + 1, 1), least(st, {c})), '\\s+'), lambda w: w <> '')[-{w}:], ' ')),
+        substring(text, 1, st), '\\s+'), lambda w: w <> '')[-{w}:], ' ')),
         '[^\\p{{L}}\\p{{N}}#]+', ' ', 'g') || ' ' AS pre FROM ok),
 sc AS (SELECT id, text, entity_type, st AS hit_start, (st + length(v))::INT AS hit_end, lim, pattern_id, pattern_name, recognizer, ctx, v,
        CASE WHEN len(ctx) > 0 AND (list_contains(bl, entity_type) OR len(list_filter(ctx, lambda w: contains(pre, w))) > 0)
             THEN least(1.0::DOUBLE, greatest(base + {b!r}::DOUBLE, {f!r}::DOUBLE)) ELSE base END AS score FROM cx),
-en AS (SELECT * FROM sc WHERE score >= lim),
+en AS MATERIALIZED (SELECT * FROM sc WHERE score >= lim),
 hits AS (SELECT h.* FROM en h WHERE NOT EXISTS (SELECT 1 FROM en o WHERE o.id = h.id AND o.entity_type = h.entity_type
     AND o.hit_start <= h.hit_start AND o.hit_end >= h.hit_end AND (o.score > h.score OR (o.score = h.score
     AND (o.hit_start < h.hit_start OR o.hit_end > h.hit_end OR o.pattern_id < h.pattern_id)))))"""

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -15,6 +14,7 @@ from veilframe.catalog.profiles import PROFILES
 from veilframe.catalog.risk import ADVICE, TIERS, rank_of, tier_of
 from veilframe.catalog.rules import RuleBook, default_book
 from veilframe.functions.core import column
+from veilframe.functions import rewrite
 from veilframe.functions.pseudonym import Pseudonyms
 from veilframe.functions.sqlnames import register_functions
 from veilframe.operators import audit, catalogs, policy, preflight, records, reports, sanitize, scan
@@ -39,7 +39,7 @@ def register(name: str, run, sql: str | None = None) -> None:
 def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     table, key, text = SOURCES[name]
     df = spark.read.parquet(f"{sf}/{table}.parquet")
-    needed = {"notes": ["c_custkey"], "memos": ["c_custkey"], "documents": ["doc_id", "text"],
+    needed = {"notes": ["c_custkey"], "memos": ["c_custkey"], "proofs": ["c_custkey"], "documents": ["doc_id", "text"],
               "pages": ["page_id", "html"], "conversations": ["conv_id", "turn", "text"]}[name]
     return spread(df.select(*needed)).selectExpr(f"{key} AS id", f"{text} AS text")
 
@@ -86,13 +86,14 @@ register("explain_hits", lambda spark, sf: scan.explain(source(spark, sf, "notes
     recognizer, pattern_name, len(ctx)::INT AS context_words FROM hits""")
 
 ON_MEMOS = {"CREDIT_CARD", "IBAN_CODE", "IP_ADDRESS", "URL", "DATE_TIME", "CRYPTO", "US_BANK_NUMBER", "US_ITIN",
-            "US_PASSPORT", "US_DRIVER_LICENSE", "PERSON", "LOCATION", "NRP", "PHONE_NUMBER", "EMAIL_ADDRESS"}
+            "US_PASSPORT", "US_DRIVER_LICENSE", "PERSON", "LOCATION", "NRP", "PHONE_NUMBER"}
 for _e in BOOK.entities:
     _book = BOOK.only([_e]).at(0.3)
     _hits_query(f"detect_{_e.lower()}", "memos" if _e in ON_MEMOS else "notes", _book)
 for _e in ("EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS"):
     _hits_query(f"detect_{_e.lower()}_documents", "documents", BOOK.only([_e]).at(0.3))
 
+_hits_query("hits_table_proofs", "proofs", BOOK.at(0.25))
 _hits_query("threshold_global", "memos", BOOK.at(0.3))
 _hits_query("threshold_override", "notes", BOOK.at(STUDENT_ID=0.95, FERPA_MARKER=0.6, COLLEAGUE_ID=0.9))
 _hits_query("custom_pattern", "notes", BOOK.plus(
@@ -339,10 +340,9 @@ def _nested(spark, sf):
 
 register("sanitize_nested", _nested, f"SELECT id, note AS top, memo AS in_list, balance AS number, note AS in_map FROM ({_two('mask')})")
 
-_JSON = "struct<note:string,n:bigint>"
 register("sanitize_json", lambda spark, sf: records.sanitize_json(
     source(spark, sf, "notes").where("text IS NOT NULL").select("id", F.to_json(F.struct(
-        F.col("text").alias("note"), F.col("id").alias("n"))).alias("props")), "props", _JSON).select("id", "props"),
+        F.col("text").alias("note"), F.col("id").alias("n"))).alias("props")), "props").select("id", "props"),
     o.with_(o.hits(duck_source("notes")), o.kept(), o.rendered(o.MASK)) +
     """SELECT id, '{"note":"' || sanitized_text || '","n":' || id || '}' AS props FROM out WHERE sanitized_text IS NOT NULL""")
 
@@ -352,7 +352,7 @@ def _event_props(spark, sf):
     wide = df.select("event_id", F.to_json(F.struct(
         F.concat(F.lit("mail user"), F.col("user_id"), F.lit("@example.com")).alias("from"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))).alias("props"))
-    return records.sanitize_json(wide, "props", "struct<from:string,k:int>")
+    return records.sanitize_json(wide, "props").select("event_id", "props")
 
 
 register("sanitize_json_events", _event_props,
@@ -468,6 +468,13 @@ register("field_hint_by_row", _by_profile, o.with_(o.hits(
     f"SELECT c_custkey AS id, {_profile_value(0)} AS text, {_hint_case()} AS boosted FROM customer"), o.SUMMARY) +
     "SELECT id, hit_count, hits FROM scan")
 
+def _both_sides(df):
+    """Accepted and quarantined texts are scanned alike; the reason stays with the latter."""
+    good, long = reports.split_oversize(df, max_chars=5000)
+    both = good.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(long)
+    return scan.scan(both).select("id", "hit_count", "risk_level", "reject_reason")
+
+
 # --- decoding, limits, pages --------------------------------------------------------------------
 
 _PLAIN = o.with_(o.hits(duck_source("notes")), o.SUMMARY) + "SELECT id, text, hit_count, hits FROM scan"
@@ -478,6 +485,9 @@ register("decode_base64", lambda spark, sf: scan.scan(
     source(spark, sf, "notes").withColumn("text", F.base64(F.encode("text", "UTF-8"))), decode=True).select(
     "id", "text", "hit_count", hits_text()), _PLAIN)
 
+register("accept_and_quarantine", lambda spark, sf: _both_sides(source(spark, sf, "documents")),
+         o.with_(o.hits(duck_source("documents")), o.SUMMARY) + """SELECT id, hit_count, risk_level,
+    CASE WHEN length(text) > 5000 THEN 'TEXT_TOO_LONG' END AS reject_reason FROM scan""")
 register("quarantine_oversize", lambda spark, sf: reports.split_oversize(
     source(spark, sf, "documents"), max_chars=5000)[1].select("id", F.length("text").alias("n_chars"), "reject_reason"),
     "SELECT doc_id AS id, length(text)::INT AS n_chars, 'TEXT_TOO_LONG' AS reject_reason FROM documents WHERE length(text) > 5000")
@@ -666,8 +676,8 @@ _sanitize_query("config_file", "notes", "pseudonymize", _CONFIGURED.book, how=_C
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder: on the cluster's shared checkpoint folder if it names one, else temporary."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veil-")
+    """A new folder below the cluster's checkpoint folder, else below the warehouse; executors share both."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return os.path.join(root, f"run-{uuid.uuid4().hex}")
 
 
@@ -751,6 +761,160 @@ for _f in ("parquet", "json"):
     register(f"write_result_{_f}", _written(_f), o.with_(o.hits(duck_source("notes")), o.SUMMARY) +
              "SELECT id, text AS sanitized_text FROM scan WHERE NOT pii_found")
 
+# --- nothing gets lost --------------------------------------------------------------------------
+
+# A caller's skip never weakens a policy: every note that ai_prompt blocks stays blocked.
+register("nested_policy_skip", lambda spark, sf: records.sanitize_nested(
+    people(spark, sf).select("id", F.struct(F.array("note").alias("a")).alias("doc")), policy="ai_prompt",
+    skip=["US_SSN", "STUDENT_ID"], report=True).select("id", F.col("doc.a")[0].isNull().alias("gone"), joined("excluded_fields"), "hit_count"),
+    o.with_(o.hits(duck_source("notes")), o.policy("ai_prompt")) + """SELECT id, sanitized_text IS NULL AS gone,
+    CASE WHEN passed THEN '' ELSE 'doc.a' END AS excluded_fields,
+    hit_count - (SELECT count(*) FROM rel WHERE rel.id = po.id AND entity_type IN ('US_SSN', 'STUDENT_ID'))::INT AS hit_count FROM po""")
+
+_IT = PROFILES["servicenow_itsm"]
+register("profile_nested_default", lambda spark, sf: records.sanitize_record(
+    _profile_frame(spark, sf, _IT), profile=_IT).select("row_id", F.col("caller_id.name").alias("caller_name"),
+                                                        F.col("location.name").alias("place"), "comments", "has_pii"),
+    o.with_(o.hits(_long(_IT)), o.kept(), o.rendered("''")) + """SELECT id // 100 AS row_id,
+    any_value(sanitized_text) FILTER (WHERE id % 100 = 0) AS caller_name, any_value(sanitized_text) FILTER (WHERE id % 100 = 13) AS place,
+    any_value(sanitized_text) FILTER (WHERE id % 100 = 6) AS comments, any_value(n) > 0 AS has_pii FROM out
+    JOIN (SELECT id // 100 AS r, (SELECT count(*) FROM hits WHERE hits.id // 100 = src.id // 100) AS n FROM src GROUP BY ALL) ON r = id // 100 GROUP BY id // 100""")
+
+register("process_record_recursive", lambda spark, sf: flows.process_record(
+    _profile_frame(spark, sf, _IT), profile=_IT, mode="exclude", recursive=True).select(
+    "row_id", "schema_applied", "action_taken", F.array_join(F.array_sort("excluded_fields"), ",").alias("excluded_fields"), "hit_count", joined("entity_types")),
+    o.with_(o.hits(_long(_IT))) + f"""SELECT s.row_id, 'servicenow_itsm' AS schema_applied, CASE WHEN n > 0 THEN 'exclude' ELSE 'none' END AS action_taken,
+    coalesce(fs, '') AS excluded_fields, coalesce(n, 0)::INT AS hit_count, coalesce(ty, '') AS entity_types
+    FROM (SELECT DISTINCT id // 100 AS row_id FROM src) s LEFT JOIN (SELECT id // 100 AS row_id, count(*) AS n,
+    string_agg(DISTINCT {o.names(list(_IT.hints))}[(id % 100)::INT + 1], ',' ORDER BY {o.names(list(_IT.hints))}[(id % 100)::INT + 1]) AS fs,
+    string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS ty FROM hits GROUP BY id // 100) h USING (row_id)""")
+
+# Context words that stand behind words of any length, and one that is only part of a long word.
+_LONG_WORDS = """CASE c_custkey % 3 WHEN 0 THEN concat('ssn ', repeat('x', 205 + cast(c_custkey % 50 AS int)), ' 123456789')
+    WHEN 1 THEN concat(repeat('y', 195), ' ', repeat('q', 300), 'ssn 123456789') ELSE concat('passport number ', repeat('z', 300), ' a b ', cast(100000000 + c_custkey AS string)) END"""
+register("context_long_words", lambda spark, sf: scan.hits_table(spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey")).selectExpr(
+    "c_custkey AS id", f"{_LONG_WORDS} AS text"), ["id"]).select("id", "entity_type", "hit_start", "hit_end", "score"),
+    o.with_(o.hits(f"SELECT c_custkey AS id, {_LONG_WORDS.replace('AS int', 'AS BIGINT')} AS text FROM customer")) + f"SELECT {HIT_COLUMNS} FROM hits")
+_LONG_MAIL = "concat('to ', repeat('a', cast(60 + c_custkey % 40 AS {int})), '@', repeat('b', 70), '.', repeat('c', 30), ' now')"
+register("email_long_local", lambda spark, sf: sanitize.sanitize(spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey")).selectExpr(
+    "c_custkey AS id", f"{_LONG_MAIL.format(int='int')} AS text")).select("id", "sanitized_text"),
+    "SELECT c_custkey AS id, 'to [EMAIL_ADDRESS] now' AS sanitized_text FROM customer")
+
+
+def _mixed_json(spark, sf):
+    df = source(spark, sf, "notes").where("text IS NOT NULL").withColumn("props", F.when(F.col("id") % 5 != 0, F.concat(
+        F.lit('{"a": 1, "more": {"note": '), F.substring(F.to_json(F.array("text")), F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}}"))).otherwise(
+        F.concat(F.lit('{"note": "'), "text")))
+    return records.sanitize_json(df.select("id", "props"), "props")
+
+
+register("sanitize_json_unknown_keys", _mixed_json, _MASKED + """SELECT id, CASE WHEN id % 5 <> 0 THEN '{"a": 1, "more": {"note": "' || sanitized_text || '"}}' END AS props,
+    CASE WHEN id % 5 = 0 THEN '{"note": "' || src.text END AS _corrupt_record FROM out JOIN src USING (id) WHERE sanitized_text IS NOT NULL""")
+
+
+def _array_rejects(spark, sf):
+    """Every file holds an object, a null, a number and an object of another type; each tenth file is cut off."""
+    path = scratch(spark)
+    spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").selectExpr(
+        "concat('[{\"id\": ', c_custkey, ', \"text\": \"t\"}, null, 7, {\"id\": \"x\", \"text\": \"u\"}', if(c_custkey % 10 = 0, '', ']')) AS value",
+        "c_custkey % 50 AS f", "c_custkey").where("c_custkey BETWEEN 1 AND 50").select("value", "f").write.partitionBy("f").text(path)
+    good, bad = readers.split_rejects(readers.read_json_array(spark, path, "id bigint, text string"))
+    return good.agg(F.count(F.lit(1)).alias("good")).join(bad.agg(F.count(F.lit(1)).alias("bad")), F.lit(True))
+
+
+register("read_json_array_rejects", _array_rejects, """SELECT count(*) FILTER (WHERE c_custkey % 10 <> 0) AS good,
+    3 * count(*) FILTER (WHERE c_custkey % 10 <> 0) + count(*) FILTER (WHERE c_custkey % 10 = 0) AS bad FROM customer WHERE c_custkey BETWEEN 1 AND 50""")
+
+
+def _ragged(spark, sf):
+    """Every third line has one cell more than the header; the cell stays in the reject."""
+    path = scratch(spark)
+    spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").repartition(8).selectExpr(
+        "concat('a,b\n', c_custkey, ',x', if(c_custkey % 3 = 0, ',123-45-6789', '')) AS value").write.option("lineSep", "\n\n").text(path)
+    df = readers.read_csv(spark, path).where("coalesce(a, '') <> 'a'")
+    return records.sanitize_record(df, ["_corrupt_record"]).select(F.col("a").cast("bigint").alias("id"), F.regexp_replace("_corrupt_record", "^.*,", "").alias("more"))
+
+
+register("read_csv_ragged", _ragged, "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN '[US_SSN]' END AS more FROM customer")
+
+# One contract of results: audit and sink work on what any operator gives.
+
+
+def _audited(result, action):
+    return audit.audit_events(result, endpoint="/x", action=action, caller_name="nightly", subject_id="s-1", destination="warehouse",
+                              request_id="r").select("batch_size", "hit_count", "excluded_count", joined("entity_types"), "risk_level",
+                                                     "caller_name", "subject_id", "destination")
+
+
+_WHO = "'nightly' AS caller_name, 's-1' AS subject_id, 'warehouse' AS destination"
+register("audit_policy", lambda spark, sf: _audited(policy.apply_policy(source(spark, sf, "documents"), "ai_prompt"), "policy"),
+         o.with_(o.hits(duck_source("documents")), o.policy("ai_prompt")) + f"""SELECT count(*) AS batch_size, sum(po.hit_count)::BIGINT AS hit_count,
+    count(*) FILTER (WHERE NOT passed) AS excluded_count, (SELECT coalesce(string_agg(DISTINCT entity_type, ',' ORDER BY entity_type), '') FROM rel) AS entity_types,
+    {o.tier('max(list_position(' + o.names(TIERS) + ', risk_level) - 1)')} AS risk_level, {_WHO} FROM po""")
+register("audit_preflight", lambda spark, sf: _audited(preflight.preflight(source(spark, sf, "pages")), "preflight"),
+         o.with_(o.hits(duck_source("pages")), o.SUMMARY) + f"""SELECT count(*) AS batch_size, sum(hit_count)::BIGINT AS hit_count, 0::BIGINT AS excluded_count,
+    (SELECT coalesce(string_agg(DISTINCT entity_type, ',' ORDER BY entity_type), '') FROM hits) AS entity_types, {o.tier('max(rk)')} AS risk_level, {_WHO} FROM scan""")
+register("audit_record", lambda spark, sf: _audited(records.sanitize_record(source(spark, sf, "notes"), ["text"], "exclude"), "record"),
+         o.with_(o.hits(duck_source("notes")), o.SUMMARY) + f"""SELECT count(*) AS batch_size, sum(hit_count)::BIGINT AS hit_count, count(*) FILTER (WHERE pii_found) AS excluded_count,
+    (SELECT coalesce(string_agg(DISTINCT entity_type, ',' ORDER BY entity_type), '') FROM hits) AS entity_types, {o.tier('max(rk)')} AS risk_level, {_WHO} FROM scan""")
+
+
+def _policy_written(spark, sf):
+    path = scratch(spark)
+    writers.write_result(policy.apply_policy(source(spark, sf, "notes"), "ai_prompt"), path, include_excluded=False)
+    return spark.read.parquet(path).select("id", "sanitized_text")
+
+
+register("write_policy_result", _policy_written, o.with_(o.hits(duck_source("notes")), o.policy("ai_prompt")) + "SELECT id, sanitized_text FROM po WHERE passed")
+
+# Policies, audit and the pseudonym map meet the real texts too.
+for _n in ("documents", "pages"):
+    _policy_query("log_safe", _n, f"_{_n}")
+register("pseudonym_map_documents", lambda spark, sf: sanitize.pseudonym_map(source(spark, sf, "documents")), o.with_(
+    o.hits(duck_source("documents")), o.kept()) + f"SELECT entity_type, {o.seed()} AS seed, count(*) AS occurrences, {o.stand_in(o.seed())} AS stand_in FROM kept GROUP BY ALL")
+
+
+def _dictionary(spark, sf, kind):
+    """Names of parts as a dictionary of one- and two-word terms, in another case than the texts have."""
+    words = spark.read.parquet(f"{sf}/part.parquet").select("p_name")
+    terms = words.select(F.upper(F.element_at(F.split("p_name", " "), 1)).alias("term")).unionByName(
+        words.select(F.initcap(F.array_join(F.slice(F.split("p_name", " "), 1, 2), " ")).alias("term"))).where("term <> ''").distinct()
+    text = spread(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type")).select(
+        F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
+    return text, terms.withColumn("entity_type", F.lit(kind))
+
+
+_TERM_HITS = """t AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS text FROM part),
+d AS (SELECT DISTINCT lower(string_split(p_name, ' ')[1]) AS run FROM part UNION SELECT DISTINCT lower(array_to_string(string_split(p_name, ' ')[1:2], ' ')) FROM part),
+w AS (SELECT id, text, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws, string_split_regex(text, '[A-Za-z0-9]+') AS gs FROM t),
+k AS (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM w),
+p AS (SELECT id, text, ws, k, (list_sum(list_transform(gs[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:k-1], lambda g: length(g))), 0))::INT AS st FROM k),
+r AS (SELECT id, st, (st + length(ws[k]))::INT AS en, lower(ws[k]) AS run FROM p UNION ALL
+  SELECT a.id, a.st, (b.st + length(b.ws[b.k]))::INT, lower(a.ws[a.k]) || ' ' || lower(b.ws[b.k]) FROM p a JOIN p b ON a.id = b.id AND b.k = a.k + 1),
+th AS (SELECT DISTINCT id, st AS hit_start, en AS hit_end FROM r JOIN d USING (run))"""
+
+
+def _term_query(name, kind):
+    def run(spark, sf):
+        text, terms = _dictionary(spark, sf, kind)
+        return scan.term_hits(text, ["id"], "text", terms).select("id", "entity_type", "hit_start", "hit_end")
+    register(name, run, f"WITH {_TERM_HITS} SELECT id, '{kind}' AS entity_type, hit_start, hit_end FROM th")
+
+
+_term_query("person_dictionary", "PERSON")
+_term_query("location_dictionary", "LOCATION")
+
+
+def _masked_terms(spark, sf):
+    text, terms = _dictionary(spark, sf, "PERSON")
+    found = scan.with_terms(text, ["id"], terms, book=BOOK.only(["US_SSN"]))
+    return found.select("id", column(rewrite.sanitize_sql("text", "hits", "mask")).alias("sanitized_text"))
+
+
+register("mask_with_dictionary", _masked_terms, f"""WITH RECURSIVE {_TERM_HITS}, src AS (SELECT id, text FROM t),
+hits AS (SELECT id, text, 'PERSON' AS entity_type, hit_start, hit_end, 0.6::DOUBLE AS score, substring(text, hit_start + 1, hit_end - hit_start) AS v FROM th JOIN t USING (id)),
+{{}}, {{}} SELECT id, sanitized_text FROM out""".format(o.kept(), o.rendered(o.MASK)))
+
 # --- streams ------------------------------------------------------------------------------------
 
 

@@ -53,10 +53,22 @@ MEMOS = """CASE c_custkey % 24
     ELSE ''
   END"""
 
+# A positive and a near miss for each pattern that neither notes nor memos fire; the suffix grows with the table.
+_POSITIVE = ["Title IX case # 48213", "protocol HS-2021-0042", "protocol IRB-#12345", "award amount: $4,500.00", "payment CN-12345678", "payment SAR-123456789",
+             "transaction id: 123456789012", "colleague @1234567", "federal aid FSA ID", "isir ISIR 44521", "EFC: 5321", "visa visa expires: 5",
+             "veteran VA payment of $1,200", "bank ach 012345678", "medical license ML-1234567", "ssn 123.45.6789", "host fe80::1a2b", "iban GB82 WEST 1234 5698 7654 32",
+             "itin taxpayer 912701234", "host ::1"]
+_NEAR = ["Title IX case # 48", "protocol HS-21-0042", "protocol IRB-#123", "award amount: 4,500.00", "payment CN-1234", "payment SAR-12345", "transaction id: 1234",
+         "colleague @123456", "federal aid FSAID2", "isir ISIR 445", "EFC: none", "visa visa expires: May", "veteran VA payment of 1,200", "bank ach 01234567",
+         "medical license ML-12345", "ssn 000.45.6789", "host fe80:1a2b", "iban GB83 WEST 1234 5698 7654 32", "itin taxpayer 912661234", "host std::sort"]
+PROOFS = "CASE c_custkey % " + str(len(_POSITIVE) + len(_NEAR)) + "".join(
+    f"\n    WHEN {k} THEN concat('{text} row ', cast(c_custkey AS string))" for k, text in enumerate(_POSITIVE + _NEAR)) + "\n  END"
+
 # (table, key expression, text expression)
 SOURCES = {
     "notes": ("customer", "c_custkey", NOTES),
     "memos": ("customer", "c_custkey", MEMOS),
+    "proofs": ("customer", "c_custkey", PROOFS),
     "documents": ("documents", "doc_id", "text"),
     "pages": ("pages", "page_id", "html"),
     "conversations": ("conversations", "conv_id * 1000 + turn", "text"),

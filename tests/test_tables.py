@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from veilframe.catalog.profiles import PROFILES
@@ -26,8 +28,10 @@ def test_record_fields(spark):
 
 def test_profile_hints_and_dotted_fields(spark):
     df = spark.sql("select named_struct('id', '1234567', 'content', named_struct('id', 'x')) as resource, '1234567' as notes")
-    r = records.sanitize_record(df, list(PROFILES["conductor_ethos"].hints), profile="conductor_ethos").first()
-    assert r.resource.id in ("[COLLEAGUE_ID]", "[STUDENT_ID]") and r.notes == "1234567" and r.resource.content.id == "x"
+    with pytest.raises(ValueError):
+        records.sanitize_record(df, ["notes", "resource.idd"])
+    for r in (records.sanitize_nested(df, profile="conductor_ethos").first(), records.sanitize_record(df, profile="conductor_ethos").first()):
+        assert r.resource.id in ("[COLLEAGUE_ID]", "[STUDENT_ID]") and r.notes == "1234567" and r.resource.content.id == "x"
 
 
 def test_nested(spark):
@@ -37,8 +41,36 @@ def test_nested(spark):
     assert r.doc.a[0].t == "SSN: [US_SSN]" and r.doc.a[0].n == 1 and r.doc.m == {"k": "[EMAIL_ADDRESS]"} and r.doc.z is None
     assert records.sanitize_nested(df, policy="ai_prompt").first().doc.a[0].t is None
     assert records.sanitize_nested(df, mode="exclude").first().doc.m == {"k": None}
-    j = records.sanitize_json(spark.createDataFrame([('{"t":"a@b.org","n":7}',)], "p string"), "p", "struct<t:string,n:int>")
-    assert json.loads(j.first().p) == {"t": "[EMAIL_ADDRESS]", "n": 7}
+    for d in (records.sanitize_nested(df, policy="ai_prompt", skip=["US_SSN", "EMAIL_ADDRESS"]).first().doc,):
+        assert d.a[0].t is None  # a caller's skip does not let blocked data through
+    r = records.sanitize_nested(df, mode="exclude", report=True).first()
+    assert r.excluded_fields == ["doc.a.t", "doc.m"] and r.excluded and r.hit_count == 2 and r.entity_types == ["EMAIL_ADDRESS", "US_SSN"]
+    with pytest.raises(ValueError):
+        records.sanitize_nested(df, ["dok"])
+
+
+def test_nested_positions(spark):
+    """Strings come back to their places, whatever the depth and the lengths."""
+    df = spark.sql("""select array(named_struct('a', array('p', 'q'), 'b', map('x', 'r', 'y', null), 'c', 's'),
+        named_struct('a', cast(array() as array<string>), 'b', cast(null as map<string,string>), 'c', null), null,
+        named_struct('a', array('t', 'a@b.org'), 'b', map('z', 'u'), 'c', 'v')) as deep, array(array('w'), null, array('x', 'y')) as two, 'end' as last""")
+    r = records.sanitize_nested(df).first()
+    deep = [x.asDict(True) if x else None for x in r.deep]
+    assert deep == [{"a": ["p", "q"], "b": {"x": "r", "y": None}, "c": "s"}, {"a": [], "b": None, "c": None}, None,
+                    {"a": ["t", "[EMAIL_ADDRESS]"], "b": {"z": "u"}, "c": "v"}]
+    assert r.two == [["w"], None, ["x", "y"]] and r["last"] == "end"
+
+
+def test_json_text(spark):
+    texts = ['{"t":"a@b.org","n":7, "more": {"k@b.org": [1, null, "c@d.org", true]}}', "[1,2]", '{"t": "broken', "plain", None, '"a@b.org"',
+             '{"q":"say \\"hi\\" to a@b.org"}', '{"empty":""}']
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, p string")
+    rows = {r.id: (r.p, r[records.CORRUPT]) for r in records.sanitize_json(df, "p").collect()}
+    assert rows[0] == ('{"t":"[EMAIL_ADDRESS]","n":7, "more": {"k@b.org": [1, null, "[EMAIL_ADDRESS]", true]}}', None)
+    assert rows[1] == ("[1,2]", None) and rows[2] == (None, texts[2]) and rows[3] == (None, "plain") and rows[4] == (None, None)
+    assert rows[5] == ('"[EMAIL_ADDRESS]"', None) and json.loads(rows[6][0]) == {"q": 'say "hi" to [EMAIL_ADDRESS]'} and rows[7] == (texts[7], None)
+    gone = {r.id: r.p for r in records.sanitize_json(df, "p", policy="ai_prompt", skip=["EMAIL_ADDRESS"]).collect()}
+    assert json.loads(gone[0])["n"] == 7
 
 
 def test_scan_record(spark):
@@ -104,6 +136,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("name\tssn\nJ\t123-45-6789\n")
     assert readers.read_tsv(spark, str(tmp_path / "a.tsv")).first().ssn == "123-45-6789"
     (tmp_path / "a.json").write_text('[{"note": "a@b.org", "n": 1}, 7, {"note": "x", "n": 2}]')
+    (tmp_path / "odd").mkdir()
+    for k, body in enumerate(['[{"note": "x", "n": 1}, null, [1], {"note": "y", "n": "two"}]', '{"note": "alone", "n": 1}', '[{"note": "cut']):
+        (tmp_path / "odd" / f"{k}.json").write_text(body)
+    good, bad = readers.split_rejects(readers.read_json_array(spark, str(tmp_path / "odd"), "note string, n bigint"))
+    assert [tuple(r) for r in good.collect()] == [("x", 1)] and bad.count() == 5
+    (tmp_path / "ragged.csv").write_text("a,b\n1,2\n3,4,123-45-6789\n5\n")
+    good, bad = readers.split_rejects(readers.read_csv(spark, str(tmp_path / "ragged.csv")))
+    assert good.count() == 1 and sorted(r[0] for r in bad.collect()) == ["3,4,123-45-6789", "5"]
     df = readers.read_json_array(spark, str(tmp_path / "a.json"))
     good, bad = readers.split_rejects(df)
     assert df.count() == 3 and good.count() == 2 and bad.count() == 1 and dict(good.dtypes)["n"] == "bigint"

@@ -48,7 +48,7 @@ def _any_of(words):
 # (entity, recognizer, [(pattern, regex, score[, validator]), ...])
 GENERIC_SPECS = [
     ("EMAIL_ADDRESS", "EmailRecognizer",
-     [("mailbox", r"\b[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63})*\.[A-Za-z]{2,24}\b", 0.9)]),
+     [("mailbox", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}\b", 0.9)]),
 
     ("PHONE_NUMBER", "PhoneRecognizer",
      [("nanp", r"(?:\+1[-. ]?)?(?:\([0-9]{3}\) ?|\b[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}\b", 0.75),
@@ -62,7 +62,8 @@ GENERIC_SPECS = [
     ("IP_ADDRESS", "IpRecognizer",
      [("ipv4", r"\b(?:" + _OCTET + r"\.){3}" + _OCTET + r"\b", 0.6),
       ("ipv6", r"\b(?:[0-9A-F]{1,4}:){7}[0-9A-F]{1,4}\b", 0.6),
-      ("ipv6_short", r"\b(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6}\b", 0.6)]),
+      ("ipv6_short", r"\b(?:[0-9A-F]{1,4}:){1,6}(?::[0-9A-F]{1,4}){1,6}\b", 0.6),
+      ("ipv6_tail", r"\B::(?:[0-9A-F]{1,4}:){0,6}[0-9A-F]{1,4}\b", 0.6)]),
 
     ("URL", "UrlRecognizer",
      [("scheme", r"\b(?:https?|ftp)://[^\s<>\"']*[^\s<>\"'.,;:!?)\]]", 0.6),

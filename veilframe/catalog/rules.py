@@ -133,6 +133,7 @@ NEEDS = {
     "ipv4": [_digits(1)],
     "ipv6": [_any(":")],
     "ipv6_short": [_any("::")],
+    "ipv6_tail": [_any("::")],
     "scheme": [_any("://")],
     "www": [_starts("www.")],
     "iso": [_digits(4)],
@@ -232,7 +233,8 @@ class RuleBook:
     boost: float = 0.35
     boost_floor: float = 0.4
     context_words: int = 5
-    context_chars: int = 200
+    #: Characters looked at first for the context words; only speed depends on it.
+    context_look: int = 200
 
     def __post_init__(self):
         if not 0.0 <= self.threshold <= 1.0:

@@ -80,10 +80,19 @@ def _matches(text: str, rules) -> str:
 
 
 def preceding_words(text: str, start: str, book: RuleBook) -> str:
-    """The last words before a hit: lower case, punctuation as single spaces, padded."""
-    width = book.context_chars
+    """The last words before a hit: lower case, punctuation as single spaces, padded.
+
+    The words are cut from the last characters before the hit; where these hold too few whole words, from the whole
+    text before it, so words of any length count.
+    """
+    width, wanted = book.context_look, book.context_words
+
+    def cut(piece: str) -> str:
+        return f"filter(split({piece}, {lit(chr(92) + 's+')}), sp_w -> sp_w <> '')"
+
     tail = f"substring({text}, greatest({start} - {width} + 1, 1), least({start}, {width}))"
-    words = f"filter(split({tail}, {lit(chr(92) + 's+')}), sp_w -> sp_w <> '')"
+    words = let("sp_c", cut(tail), f"case when size(sp_c) > {wanted} or {start} <= {width} then sp_c "
+                                   f"else {cut(f'substring({text}, 1, {start})')} end")
     last = let("sp_l", words, f"array_join(slice(sp_l, greatest(size(sp_l) - {book.context_words - 1}, 1), "
                               f"{book.context_words}), ' ')")
     plain = f"regexp_replace(lower({last}), {lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}#]+')}, ' ')"

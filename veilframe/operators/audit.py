@@ -27,17 +27,24 @@ def audit_events(result: DataFrame, *, endpoint: str, action, by: list[str] | No
                  request_id: str | None = None, duration_ms: float | None = None) -> DataFrame:
     """One event per run, or per batch if ``by`` names the batch columns.
 
-    ``result`` is any sanitized or scanned table with hit_count, entity_types and risk_level.
-    Rows are partially aggregated before the shuffle and types are folded as a set, so an event
-    over a huge batch stays small.
+    ``result`` is what any operator gives: hit_count, entity_types, risk_level and, if it can drop rows, excluded.
+    Each row becomes one row of its own and one per type; both are summed before the shuffle, so an event over a huge
+    batch moves a row per type and task.
     """
-    excluded = F.count_if(F.col("excluded")) if "excluded" in result.columns else F.lit(0).cast("long")
-    folded = result.groupBy(*(by or [])).agg(
-        F.count(F.lit(1)).alias("batch_size"),
-        F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hit_count"),
-        excluded.alias("excluded_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("entity_types")))).alias("entity_types"),
-        F.coalesce(F.max(rank_column("risk_level")).cast("int"), F.lit(0)).alias("risk_rank"))
+    keys = by or []
+    lone = F.struct(F.lit(None).cast("string").alias("t"), F.lit(1).alias("own"))
+    named = F.transform(F.array_distinct(F.coalesce("entity_types", F.array().cast("array<string>"))),
+                        lambda t: F.struct(t.alias("t"), F.lit(0).alias("own")))
+    marks = result.select(*keys, "hit_count", (F.col("excluded") if "excluded" in result.columns else F.lit(False)).alias("excluded"),
+                          rank_column("risk_level").cast("int").alias("rank"), F.explode(F.concat(F.array(lone), named)).alias("m"))
+    own = F.col("m.own") == 1
+    folded = marks.groupBy(*keys, F.col("m.t").alias("_type")).agg(
+        F.count_if(own).alias("batch_size"), F.sum(F.when(own, F.col("hit_count"))).alias("hit_count"),
+        F.count_if(own & F.col("excluded")).alias("excluded_count"), F.max("rank").alias("risk_rank"))
+    folded = folded.groupBy(*keys).agg(
+        F.coalesce(F.sum("batch_size"), F.lit(0)).alias("batch_size"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hit_count"),
+        F.coalesce(F.sum("excluded_count"), F.lit(0)).alias("excluded_count"), F.array_sort(F.collect_set("_type")).alias("entity_types"),
+        F.coalesce(F.max("risk_rank"), F.lit(0)).alias("risk_rank"))
     return folded.withColumns({
         "audit": F.lit(True), "endpoint": F.lit(endpoint), "request_id": F.lit(request_id or str(uuid.uuid4())),
         "client_ip": F.lit(None).cast("string"), "api_key_prefix": F.lit(None).cast("string"),
@@ -85,14 +92,21 @@ def stats_by_label(events: DataFrame) -> DataFrame:
 
 
 def metrics(events: DataFrame) -> DataFrame:
-    """(metric, label, value) rows: totals first, then counts per label, sorted."""
-    totals = stats_totals(events)
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit("").alias("label"), F.col(c).cast("long").alias("value"))
-                      for m, c in (("requests_total", "total_requests"), ("pii_hits_total", "total_pii_hits"),
-                                   ("excluded_total", "total_excluded"), ("clean_total", "total_clean"))])
-    rows = totals.select(F.explode_outer(pairs).alias("p")).select("p.*")
-    types = stats_by_type(events).select(F.lit("entity_type_total").alias("metric"),
-                                         F.col("entity_type").alias("label"), F.col("events").alias("value"))
-    labels = stats_by_label(events).select(F.concat("dimension", F.lit("_total")).alias("metric"), "label",
-                                           F.col("events").alias("value"))
-    return rows.unionByName(types).unionByName(labels).orderBy("metric", "label")
+    """(metric, label, value) rows: totals first, then counts per label, sorted. The events are read once."""
+    def mark(metric: str, label: Column, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.cast("string").alias("label"), value.cast("long").alias("value"))
+
+    none, one = F.lit(""), F.lit(1)
+    clean = F.when(F.col("hit_count") == 0, F.col("batch_size")).otherwise(0)
+    fixed = F.array(mark("requests_total", none, one), mark("pii_hits_total", none, F.col("hit_count")),
+                    mark("excluded_total", none, F.col("excluded_count")), mark("clean_total", none, clean),
+                    mark("mode_total", F.col("mode"), one), mark("risk_level_total", F.col("risk_level"), one),
+                    mark("endpoint_total", F.col("endpoint"), one))
+    types = F.transform(F.array_distinct(F.coalesce("entity_types", F.array().cast("array<string>"))),
+                        lambda t: mark("entity_type_total", t, one))
+    rows = events.select(F.explode(F.concat(fixed, types)).alias("p")).where(F.col("p.label").isNotNull()).select("p.*")
+    counted = rows.groupBy("metric", "label").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
+    # without any event the four totals are zero
+    zero = events.sparkSession.createDataFrame([(m, "", 0) for m in ("requests_total", "pii_hits_total", "excluded_total", "clean_total")],
+                                               "metric string, label string, value bigint")
+    return counted.unionByName(zero).groupBy("metric", "label").agg(F.sum("value").alias("value")).orderBy("metric", "label")

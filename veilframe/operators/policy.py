@@ -27,13 +27,13 @@ def verdict_sql(hits: str, block: str, passes: str, exclude_any: str, mode: str,
         f"else try_element_at({map_of(ACTION_OF_MODE)}, {mode}) end, "
         f"'blocked_entities', case when not po_no then cast(array() as array<string>) "
         f"when size(po_b) > 0 then po_b else po_t end, "
-        f"'hit_count', size(po_r), 'risk_level', {tier_sql('po_k')}, "
+        f"'hit_count', size(po_r), 'entity_types', po_t, 'risk_level', {tier_sql('po_k')}, "
         f"'warned', size(po_r) > 0 and po_k >= {warn_rank})"))
     return let("po_r", relevant, let("po_t", types, let("po_k", max_rank_sql("po_r"), fields)))
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    names = ["passed", "action_taken", "blocked_entities", "hit_count", "risk_level", "warned"]
+    names = ["passed", "action_taken", "blocked_entities", "hit_count", "entity_types", "risk_level", "warned"]
     return df.withColumns({n: F.col(f"verdict.{n}") for n in names})
 
 
@@ -58,6 +58,7 @@ def apply_policy(df: DataFrame, policy: str | Policy, text: str = "text", book:
         "policy": column(lit(p.name)),
         "sanitized_text": column(f"case when not passed then null when hit_count = 0 then {ident(text)} "
                                  f"else {rewritten} end"),
+        "excluded": ~F.col("passed"),
     }).drop("verdict")
 
 
@@ -84,6 +85,9 @@ def apply_policy_by_column(df: DataFrame, policy_col: str = "policy", text: str
         "action_taken": F.coalesce("action_taken", F.lit("rejected")),
         "sanitized_text": column(f"case when passed is null or not passed then null when hit_count = 0 "
                                  f"then {ident(text)} else {rewritten} end"),
+        "excluded": ~F.coalesce("passed", F.lit(False)),
+        "hit_count": F.coalesce("hit_count", F.lit(0)),
+        "entity_types": F.coalesce("entity_types", F.array().cast("array<string>")),
     }).drop("verdict", "p_name", "p_block", "p_pass", "p_mode", "p_any", "p_warn")
 
 

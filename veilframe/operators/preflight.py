@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog.risk import ADVICE, TIERS, rank_of
 from ..catalog.rules import RuleBook
 from ..functions.core import column, ident, lits
-from ..functions.risk import max_rank_sql, rank_sql, tier_sql
+from ..functions.risk import max_rank_sql, rank_sql, tier_sql, types_sql
 from ..functions.rewrite import sanitize_sql
 from .policy import apply_policy
 from .scan import with_hits
@@ -33,6 +33,8 @@ def preflight(df: DataFrame, text: str = "text", book: RuleBook | None = None, *
         "safe_to_send": column(f"risk_rank < {BLOCK_AT}"),
         "risk_level": column(tier_sql("risk_rank")),
         "hit_count": column(f"size({h})"),
+        "entity_types": column(types_sql(h)),
+        "excluded": F.lit(False),
         "blocking_entities": column(types_where(f">= {BLOCK_AT}")),
         "warning_entities": column(types_where(f"= {WARN_AT}")),
         "recommendation": column(f"get({lits([ADVICE[t] for t in TIERS])}, risk_rank)"),
@@ -55,4 +57,7 @@ def preflight_gate(df: DataFrame, text: str = "text", book: RuleBook | None = No
         F.when(F.col("safe_to_send"), F.col(text)).otherwise(F.col("sanitized_text")).alias("safe_text"),
         (~F.col("safe_to_send")).alias("was_sanitized"),
         F.col("original_risk").alias("risk_level"),
-        "safe_to_send")
+        "safe_to_send",
+        F.size("hits").alias("hit_count"),
+        column(types_sql("hits")).alias("entity_types"),
+        (~F.col("safe_to_send") & F.col("sanitized_text").isNull()).alias("excluded"))

@@ -12,12 +12,13 @@ from ..catalog.policies import check_mode, get_policy
 from ..catalog.profiles import Profile, get_profile
 from ..catalog.risk import rank_of
 from ..catalog.rules import RuleBook, default_book
-from ..functions.core import NO_HITS, column, ident, let, lit, lits
+from ..functions.core import NO_HITS, column, ident, let, lit, lits, running
 from ..functions.pseudonym import Pseudonyms
 from ..functions.risk import max_rank_sql, tier_sql, types_sql
 from ..functions.rewrite import sanitize_sql
 from ..functions.spans import hinted_entities, hits_sql
 from .policy import verdict_sql
+from .sanitize import kept_rows
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -44,9 +45,18 @@ def _reference(schema: T.StructType, path: str) -> str:
     return ident_flat(path) if path in schema.fieldNames() else ident(path)
 
 
-def _targets(df: DataFrame, fields) -> list[str]:
+def _targets(df: DataFrame, fields, hints=()) -> list[str]:
+    """String fields to treat: those named, else all string columns and the nested ones that a profile knows.
+
+    A name that the table lacks is an error, as a typing error would leave a column as it is.
+    """
     if fields is None:
-        return string_columns(df)
+        known = string_columns(df)
+        fields = known + [f for f in hints if f not in known]
+    else:
+        missing = [f for f in fields if _field_type(df.schema, f) is None]
+        if missing:
+            raise ValueError(f"no such field: {missing}; columns: {df.columns}")
     return [f for f in fields if isinstance(_field_type(df.schema, f), T.StringType)]
 
 
@@ -93,7 +103,7 @@ def sanitize_record(df: DataFrame, fields=None, mode: str | None = None, book: R
     found = get_profile(profile, custom_profiles) if profile is not None else None
     mode = check_mode(mode or (found.mode if found else "mask"))
     book = (book or default_book()).without(() if chosen else skip)
-    targets = _targets(df, fields)
+    targets = _targets(df, fields, dict(found.hints) if found else ())
     before = df.columns
     df = _with_field_hits(df, targets, dict(found.hints) if found else {}, book)
     # Arrays are bound once around each lambda: a plan that inlines them into the lambda would
@@ -122,27 +132,94 @@ def sanitize_record(df: DataFrame, fields=None, mode: str | None = None, book: R
         "excluded_fields": bound(f"filter({names}, (rc_n, rc_k) -> {dropped})"),
         "field_hits": bound(f"filter(transform({names}, (rc_n, rc_k) -> named_struct('field', rc_n, "
                             f"'hit_count', {count})), rc_c -> rc_c.hit_count > 0)"),
+        "__all": column("flatten(__hits)" if not chosen else _relevant("flatten(__hits)", chosen)),
     })
     df = _replace(df, {f: column(f"get(__new, {k})") for k, f in enumerate(targets)})
-    df = df.select(*[F.col(ident_flat(c)) for c in before], "excluded_fields", "field_hits")
-    df = df.withColumn("has_pii", F.size("field_hits") > 0)
-    return df if include_excluded else df.where(F.size("excluded_fields") == 0)
+    return _with_contract(df, [F.col(ident_flat(c)) for c in before], include_excluded)
+
+
+def _relevant(hits: str, policy) -> str:
+    return f"filter({hits}, rl_h -> not array_contains({lits(sorted(policy.pass_through))}, rl_h.entity_type))"
 
 
-def _nested_sql(ref: str, kind: T.DataType, leaf, depth: int = 0) -> str:
-    """Expression that applies ``leaf`` to every string inside a value of type ``kind``."""
-    var = f"nv_{depth}"
+def _with_contract(df: DataFrame, before: list, include_excluded: bool = True) -> DataFrame:
+    """The columns that every result has: hit_count, entity_types, risk_level, excluded; after the record's own."""
+    df = df.select(*before, "excluded_fields", "field_hits", (F.size("field_hits") > 0).alias("has_pii"),
+                   column("size(__all)").alias("hit_count"), column(types_sql("__all")).alias("entity_types"),
+                   column(tier_sql(max_rank_sql("__all"))).alias("risk_level"),
+                   (F.size("excluded_fields") > 0).alias("excluded"))
+    return df if include_excluded else kept_rows(df)
+
+
+def _leaves(ref: str, kind: T.DataType, depth: int = 0) -> str:
+    """All strings inside a value of type ``kind``, in order, as one array."""
+    var = f"nl_{depth}"
     if isinstance(kind, T.StringType):
-        return leaf(ref)
+        return f"array({ref})"
     if isinstance(kind, T.StructType):
-        fields = ", ".join(f"{lit(f.name)}, {_nested_sql(f'{ref}.`{f.name}`', f.dataType, leaf, depth + 1)}"
-                           for f in kind)
-        return f"case when {ref} is null then null else named_struct({fields}) end"
-    if isinstance(kind, T.ArrayType) and _has_string(kind):
-        return f"transform({ref}, {var} -> {_nested_sql(var, kind.elementType, leaf, depth + 1)})"
-    if isinstance(kind, T.MapType) and _has_string(kind.valueType):
-        return f"transform_values({ref}, ({var}_k, {var}) -> {_nested_sql(var, kind.valueType, leaf, depth + 1)})"
-    return ref
+        parts = [_leaves(f"{ref}.`{f.name}`", f.dataType, depth + 1) for f in kind if _has_string(f.dataType)]
+        return f"concat({', '.join(parts)})"
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+    values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
+    return f"coalesce(flatten(transform({values}, {var} -> {_leaves(var, inner, depth + 1)})), cast(array() as array<string>))"
+
+
+def _leaf_paths(kind: T.DataType, path: str, ref: str, depth: int = 0) -> str:
+    """The path of every leaf, in the order of ``_leaves``; elements of arrays and maps share their path."""
+    var = f"nq_{depth}"
+    if isinstance(kind, T.StringType):
+        return f"array({lit(path)})"
+    if isinstance(kind, T.StructType):
+        parts = [_leaf_paths(f.dataType, f"{path}.{f.name}", f"{ref}.`{f.name}`", depth + 1) for f in kind if _has_string(f.dataType)]
+        return f"concat({', '.join(parts)})"
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+    values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
+    return (f"coalesce(flatten(transform({values}, {var} -> {_leaf_paths(inner, path, var, depth + 1)})), "
+            f"cast(array() as array<string>))")
+
+
+def _leaf_count(ref: str, kind: T.DataType, depth: int = 0) -> str | int:
+    """Number of leaves: a Python number if the type fixes it, else an expression."""
+    if isinstance(kind, T.StringType):
+        return 1
+    if isinstance(kind, T.StructType):
+        counts = [_leaf_count(f"{ref}.`{f.name}`", f.dataType, depth + 1) for f in kind if _has_string(f.dataType)]
+        return sum(counts) if all(isinstance(c, int) for c in counts) else "(" + " + ".join(map(str, counts)) + ")"
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+    values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
+    each = _leaf_count(f"nc_{depth}", inner, depth + 1)
+    if isinstance(each, int):
+        return f"coalesce(size({values}) * {each}, 0)"
+    return f"coalesce(aggregate({values}, 0, (nc_a{depth}, nc_{depth}) -> nc_a{depth} + {each}), 0)"
+
+
+def _put_back(ref: str, kind: T.DataType, base: str, depth: int = 0) -> str:
+    """The value with its leaves taken from the array ``nv_new``, from position ``base`` on."""
+    var, at = f"nv_{depth}", f"nv_i{depth}"
+    if isinstance(kind, T.StringType):
+        return f"get(nv_new, {base})"
+    if not _has_string(kind):
+        return ref
+    if isinstance(kind, T.StructType):
+        fields, before = [], [base]
+        for f in kind:
+            inner = f"{ref}.`{f.name}`"
+            fields.append(f"{lit(f.name)}, {_put_back(inner, f.dataType, ' + '.join(before), depth + 1)}")
+            if _has_string(f.dataType):
+                before.append(str(_leaf_count(inner, f.dataType, depth + 1)))
+        return f"case when {ref} is null then null else named_struct({', '.join(fields)}) end"
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
+    values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
+    each = _leaf_count(var, inner, depth + 1)
+    if isinstance(each, int):
+        body = f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + {at} * {each}', depth + 1)})"
+    else:
+        counts = f"transform({values}, {var} -> {each})"
+        body = let(f"nv_o{depth}", running(counts, "0", lambda a, x: f"{a} + {x}"),
+                   f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + get(nv_o{depth}, {at})', depth + 1)})")
+    if isinstance(kind, T.MapType):
+        body = f"map_from_arrays(map_keys({ref}), {body})"
+    return f"case when {ref} is null then null else {body} end"
 
 
 def _has_string(kind: T.DataType) -> bool:
@@ -155,42 +232,109 @@ def _has_string(kind: T.DataType) -> bool:
     return isinstance(kind, T.StringType)
 
 
-def _leaf(mode: str, book: RuleBook, policy, redact_with: str, how: Pseudonyms, hints_for=None):
-    """Rewrite of one string; under a policy its block list applies to each leaf."""
-    if policy is None:
-        return lambda ref: sanitize_sql(ref, hits_sql(ref, book), mode, redact_with, how)
-    passes = "array(" + ", ".join(lit(p) for p in policy.pass_through) + ")"
-    blocks = "array(" + ", ".join(lit(b) for b in policy.block) + ")"
+def _rewritten(df: DataFrame, policy, mode: str, skip, redact_with: str, how: Pseudonyms) -> DataFrame:
+    """Add __done: per string of __texts, with hits __hits, its rewritten text and whether it was dropped.
 
-    def rewrite(ref: str) -> str:
-        hits = hits_sql(ref, book)
-        if policy.pass_through:
-            hits = f"filter({hits}, nl_p -> not array_contains({passes}, nl_p.entity_type))"
-        done = sanitize_sql(ref, "nl_h", policy.mode, redact_with, how)
-        if policy.exclude_any:
-            done = f"case when size(nl_h) > 0 then null else {ref} end"
-        elif policy.block:
-            done = f"case when exists(nl_h, nl_b -> array_contains({blocks}, nl_b.entity_type)) then null else {done} end"
-        return f"get(transform(array({hits}), nl_h -> {done}), 0)"
-
-    return rewrite
+    Detection sees every type; a policy's block list is checked on all hits, and ``skip`` only keeps types out of the
+    rewriting, so a caller cannot let blocked data through.
+    """
+    hits = "get(rn_all, rn_k)"
+    left_alone = lits(sorted({*skip, *(policy.pass_through if policy else ())}))
+    kept = f"filter({hits}, rn_x -> not array_contains({left_alone}, rn_x.entity_type))"
+    if policy:
+        verdict = verdict_sql(hits, lits(sorted(policy.block)), lits(sorted(policy.pass_through)),
+                              lit(policy.exclude_any), lit(policy.mode), str(rank_of(policy.warn_at)))
+        done = sanitize_sql("rn_t", kept, policy.mode, redact_with, how)
+        body = let("rn_v", verdict, f"named_struct('text', case when not rn_v.passed then null when rn_v.hit_count = 0 "
+                                    f"then rn_t else {done} end, 'dropped', not rn_v.passed, 'hit_count', rn_v.hit_count)")
+    else:
+        body = let("rn_h", kept, f"named_struct('text', {sanitize_sql('rn_t', 'rn_h', mode, redact_with, how)}, "
+                                 f"'dropped', {'size(rn_h) > 0' if mode == 'exclude' else 'false'}, 'hit_count', size(rn_h))")
+    return df.withColumn("__done", column(let("rn_all", "__hits", f"transform(__texts, (rn_t, rn_k) -> {body})")))
 
 
 def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleBook | None = None, *,
-                    policy=None, skip=(), redact_with: str = "", how: Pseudonyms = Pseudonyms()) -> DataFrame:
-    """Sanitize every string at any depth of struct, array and map columns; other leaves unchanged."""
-    chosen = get_policy(policy) if policy is not None else None
-    leaf = _leaf(check_mode(mode), (book or default_book()).without(skip), chosen, redact_with, how)
-    targets = columns if columns is not None else [f.name for f in df.schema if _has_string(f.dataType)]
-    return df.withColumns({c: column(_nested_sql(ident(c), df.schema[c].dataType, leaf)) for c in targets})
-
+                    policy=None, profile: str | Profile | None = None, custom_profiles: dict | None = None, skip=(),
+                    redact_with: str = "", how: Pseudonyms = Pseudonyms(), report: bool = False,
+                    include_excluded: bool = True) -> DataFrame:
+    """Sanitize every string at any depth of struct, array and map columns; other leaves unchanged.
 
-def sanitize_json(df: DataFrame, json_col: str, schema: str, mode: str = "mask", book: RuleBook | None = None,
-                  **options) -> DataFrame:
-    """Sanitize every string value inside a JSON text column with a known schema."""
-    parsed = df.withColumn("__json", F.from_json(F.col(json_col), schema))
-    done = sanitize_nested(parsed, ["__json"], mode, book, **options)
-    return done.withColumn(json_col, F.to_json("__json")).drop("__json")
+    A row's strings are gathered into one array, detected once and put back by position, so the plan does not grow
+    with the number of leaves. ``profile`` boosts the leaves whose dotted path it knows. ``report`` adds
+    excluded_fields (paths of dropped leaves), field_hits and the columns of every result.
+    """
+    chosen = get_policy(policy) if policy is not None else None
+    hints = field_hints(profile, custom_profiles)
+    book = book or default_book()
+    before = df.columns
+    targets = list(columns) if columns is not None else [f.name for f in df.schema if _has_string(f.dataType)]
+    missing = [c for c in targets if c not in before]
+    if missing:
+        raise ValueError(f"no such column: {missing}; columns: {before}")
+    targets = [c for c in targets if _has_string(df.schema[c].dataType)]
+    if not targets:
+        texts = paths = "cast(array() as array<string>)"
+    else:
+        texts = f"concat({', '.join(_leaves(ident_flat(c), df.schema[c].dataType) for c in targets)})"
+        paths = f"concat({', '.join(_leaf_paths(df.schema[c].dataType, c, ident_flat(c)) for c in targets)})"
+    boosts = {f: sorted(hinted_entities(e, book)) for f, e in hints.items() if e}
+    boosted = None
+    if boosts:
+        table = f"from_json({lit(json.dumps(boosts))}, 'map<string,array<string>>')"
+        boosted = f"coalesce(try_element_at({table}, get(rc_p, rc_k)), cast(array() as array<string>))"
+    df = df.withColumns({"__texts": column(texts), "__paths": column(paths)})
+    df = df.withColumn("__hits", column(let("rc_p", "__paths", f"transform(__texts, (rc_t, rc_k) -> {hits_sql('rc_t', book, boosted=boosted)})")))
+    df = _rewritten(df, chosen, check_mode(mode), skip, redact_with, how)
+    new, base, values = "transform(__done, nd_x -> nd_x.text)", [], {}
+    for c in targets:
+        kind = df.schema[c].dataType
+        values[c] = column(let("nv_new", new, _put_back(ident_flat(c), kind, " + ".join(base) or "0")))
+        base.append(str(_leaf_count(ident_flat(c), kind)))
+    names = [F.col(ident_flat(c)) for c in before]
+    if report:
+        alone = f"filter(rp_h, rp_x -> not array_contains({lits(sorted({*skip, *(chosen.pass_through if chosen else ())}))}, rp_x.entity_type))"
+        df = df.withColumns({
+            "excluded_fields": column("array_distinct(transform(filter(arrays_zip(__paths, __done), xf_z -> xf_z.__done.dropped), xf_y -> xf_y.__paths))"),
+            "field_hits": column("filter(transform(arrays_zip(__paths, __done), fh_z -> named_struct('field', fh_z.__paths, "
+                                 "'hit_count', fh_z.__done.hit_count)), fh_c -> fh_c.hit_count > 0)"),
+            "__all": column(f"flatten(transform(__hits, rp_h -> {alone}))")})
+    df = df.withColumns(values)
+    return _with_contract(df, names, include_excluded) if report else df.select(*names)
+
+
+#: Strings of a JSON text, keys included.
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+CORRUPT = "_corrupt_record"
+
+
+def sanitize_json(df: DataFrame, json_col: str, mode: str = "mask", book: RuleBook | None = None, *, policy=None,
+                  skip=(), redact_with: str = "", how: Pseudonyms = Pseudonyms()) -> DataFrame:
+    """Sanitize every string value inside a JSON text column, whatever its fields; keys, numbers and layout stay.
+
+    A text that is no JSON becomes null and is kept in the column ``_corrupt_record``, to be set aside with
+    ``split_rejects``. A dropped value becomes null.
+    """
+    chosen = get_policy(policy) if policy is not None else None
+    before = [c for c in df.columns if c != CORRUPT]
+    text = ident_flat(json_col)
+    fine = f"case when try_parse_json({text}) is not null then {text} end"
+    strings = f"regexp_extract_all(js_t, {lit(_JSON_STRING)}, 0)"
+    gaps = f"split(js_t, {lit(_JSON_STRING)}, -1)"
+    # a string is a value unless a colon follows it
+    parts = (f"zip_with({gaps}, {strings}, (js_g, js_s) -> named_struct('gap', js_g, 'raw', js_s))")
+    df = df.withColumn("__fine", column(fine)).withColumn("__parts", column(let("js_t", "__fine", let("js_p", parts, (
+        "transform(js_p, (js_x, js_i) -> named_struct('gap', js_x.gap, 'raw', js_x.raw, 'value', js_x.raw is not null and not "
+        "startswith(ltrim(get(js_p, js_i + 1).gap), ':')))")))))
+    df = df.withColumn("__texts", column("transform(__parts, jt_x -> case when jt_x.value then get(from_json(concat('[', jt_x.raw, ']'), 'array<string>'), 0) end)"))
+    df = df.withColumn("__hits", column(f"transform(__texts, rc_t -> {hits_sql('rc_t', book or default_book())})"))
+    df = _rewritten(df, chosen, check_mode(mode), skip, redact_with, how)
+    quoted = "substring(to_json(array(jd_x.text)), 2, length(to_json(array(jd_x.text))) - 2)"
+    piece = (f"transform(zip_with(__parts, __done, (jz_p, jz_d) -> named_struct('gap', jz_p.gap, 'raw', jz_p.raw, 'value', jz_p.value, "
+             f"'hits', jz_d.hit_count, 'text', jz_d.text)), jd_x -> concat(jd_x.gap, case when jd_x.raw is null then '' "
+             f"when not jd_x.value or jd_x.hits = 0 then jd_x.raw when jd_x.text is null then 'null' else {quoted} end))")
+    return df.withColumns({json_col: column(f"case when __fine is not null then array_join({piece}, '') end"),
+                           CORRUPT: column(f"case when __fine is null then {text} end")}).select(
+        *[F.col(ident_flat(c)) for c in before], CORRUPT)
 
 
 def scan_record(df: DataFrame, fields=None, book: RuleBook | None = None, *,
@@ -202,8 +346,9 @@ def scan_record(df: DataFrame, fields=None, book: RuleBook | None = None, *,
     """
     book = (book or default_book()).without(skip)
     hints = field_hints(profile, custom_profiles)
-    wanted = list(fields) if fields is not None else df.columns
-    targets = [f for f in wanted if isinstance(_field_type(df.schema, f), T.StringType)]
+    wanted = list(fields) if fields is not None else df.columns + [f for f in hints if f not in df.columns
+                                                                    and _field_type(df.schema, f) is not None]
+    targets = _targets(df, wanted)
     before = df.columns
     df = _with_field_hits(df, targets, hints, book)
     # Position of each wanted field among the scanned ones; a field that is no string has none.
@@ -234,21 +379,19 @@ def field_rows(scanned: DataFrame, keys: list[str]) -> DataFrame:
 def column_profile(df: DataFrame, fields=None, book: RuleBook | None = None, *,
                    profile: str | Profile | None = None, skip=()) -> DataFrame:
     """Per column over the whole table: rows, rows with hits, hit rate, top type, highest risk."""
-    scanned = scan_record(df, fields, book, profile=profile, skip=skip)
-    rows = field_rows(scanned, [])
-    rank = F.array_position(F.array(*[F.lit(t) for t in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), F.col("risk_level"))
-    totals = rows.groupBy("field").agg(
-        F.count_if(~F.col("skipped")).alias("scanned_rows"),
-        F.count_if("pii_found").alias("rows_with_pii"),
-        F.sum("hit_count").alias("hit_count"),
-        F.max(rank - 1).cast("int").alias("max_rank"),
-        # Types per column are counted in a map keyed by type, so the state stays as small as the catalog.
-    )
-    by_type = rows.select("field", F.explode_outer("entity_types").alias("entity_type")).where(
-        F.col("entity_type").isNotNull()).groupBy("field", "entity_type").agg(F.count(F.lit(1)).alias("n"))
-    top = by_type.groupBy("field").agg(
-        F.min_by("entity_type", F.struct((-F.col("n")).alias("a"), F.col("entity_type").alias("b"))).alias("top_entity"))
-    return totals.join(top, "field", "left").select(
+    rows = field_rows(scan_record(df, fields, book, profile=profile, skip=skip), [])
+    rank = F.array_position(F.array(*[F.lit(t) for t in ("LOW", "MEDIUM", "HIGH", "CRITICAL")]), F.col("risk_level")) - 1
+    # One pass: a row for the field as a whole (no type) and one for each of its types; groups are as many as the types.
+    marks = rows.withColumn("entity_type", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("entity_types"))))
+    whole = F.col("entity_type").isNull()
+    counted = marks.groupBy("field", "entity_type").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(whole & ~F.col("skipped")).alias("scanned_rows"),
+        F.count_if(whole & F.col("pii_found")).alias("rows_with_pii"), F.sum(F.when(whole, F.col("hit_count"))).alias("hit_count"),
+        F.max(F.when(whole, rank)).cast("int").alias("max_rank"))
+    return counted.groupBy("field").agg(
+        F.sum("scanned_rows").alias("scanned_rows"), F.sum("rows_with_pii").alias("rows_with_pii"), F.sum("hit_count").alias("hit_count"),
+        F.min_by("entity_type", F.when(~whole, F.struct((-F.col("n")).alias("a"), F.col("entity_type").alias("b")))).alias("top_entity"),
+        F.max("max_rank").alias("max_rank")).select(
         "field", "scanned_rows", "rows_with_pii", "hit_count", "top_entity",
         F.round(F.col("rows_with_pii") / F.greatest(F.col("scanned_rows"), F.lit(1)), 6).alias("hit_rate"),
         column(tier_sql("max_rank")).alias("highest_risk"))

@@ -28,7 +28,18 @@ def sanitize(df: DataFrame, text: str = "text", mode: str = "mask", book: RuleBo
         "excluded": column("size(hits) > 0") if mode == "exclude" else F.lit(False),
         "mode": column(lit(mode)),
     })
-    return df if include_excluded else df.where(~F.col("excluded"))
+    return df if include_excluded else kept_rows(df)
+
+
+def kept_rows(df: DataFrame) -> DataFrame:
+    """The rows that are not excluded.
+
+    An outer explode of the kept row as an array: a plain filter would be pushed below the rewriting, and the detection
+    would run once to filter and again to rewrite.
+    """
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`").alias(c) for c in df.columns])
+    kept = df.select(F.explode_outer(F.filter(F.array(row), lambda r: ~r["excluded"])).alias("r"))
+    return kept.where(F.col("r").isNotNull()).select("r.*")
 
 
 def batch_counts(sanitized: DataFrame, by: list[str] | None = None) -> DataFrame:

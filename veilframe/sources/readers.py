@@ -5,6 +5,8 @@ None of them infers types from a sample: delimited cells are strings, as written
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,19 +15,26 @@ CORRUPT = "_corrupt_record"
 
 
 def _delimited(spark: SparkSession, path, sep: str, multi_line: bool) -> DataFrame:
-    df = (spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-          .option("multiLine", multi_line).option("encoding", "UTF-8").option("inferSchema", False)
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .option("emptyValue", "").option("nullValue", None).csv(path))
-    first = df.columns[0].lstrip("﻿") if df.columns else None
-    return df if not df.columns or first == df.columns[0] else df.withColumnRenamed(df.columns[0], first)
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "encoding": "UTF-8",
+               "inferSchema": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+               "emptyValue": "", "columnNameOfCorruptRecord": "_line", "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    if not names:
+        return spark.read.options(**options).csv(path)
+    names[0] = names[0].lstrip("\ufeff")
+    fields = [T.StructField(n, T.StringType()) for n in names]
+    df = spark.read.options(**options).schema(T.StructType([*fields, T.StructField("_line", T.StringType())])).csv(path)
+    # Spark refuses to read the line alone, so another column is asked for, in a form that is always null.
+    first = F.col("`" + names[0].replace("`", "``") + "`")
+    return df.withColumn(CORRUPT, F.coalesce("_line", F.nullif(first, first))).drop("_line")
 
 
 def read_csv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """CSV with a header; quoted fields may hold separators, doubled quotes and line breaks.
 
-    ``multi_line=False`` lets a single huge file be split between tasks; use it where no
-    quoted field spans lines.
+    A row with more or fewer cells than the header keeps the cells that have a name; its whole line is in the column
+    ``_corrupt_record``, so that no cell is lost: set such rows aside with ``split_rejects``, or treat that column too.
+    ``multi_line=False`` lets a single huge file be split between tasks; use it where no quoted field spans lines.
     """
     return _delimited(spark, path, ",", multi_line)
 
@@ -34,23 +43,34 @@ def read_tsv(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     return _delimited(spark, path, "\t", multi_line)
 
 
+def _object_schema(items: DataFrame) -> T.StructType:
+    """The fields of all objects, merged in one aggregation; whole numbers are bigint, others double."""
+    found = items.agg(F.schema_of_variant_agg(F.try_parse_json("item")).alias("s")).first()["s"] or "VOID"
+    if not found.startswith("OBJECT<"):
+        return T.StructType([])
+    plain = re.sub(r"DECIMAL\(\d+,\d+\)", "DOUBLE", found).replace("OBJECT<", "STRUCT<").replace("VOID", "STRING").replace("VARIANT", "STRING")
+    return T._parse_datatype_string(plain)
+
+
 def read_json_array(spark: SparkSession, path, schema: T.StructType | str | None = None) -> DataFrame:
-    """A file holding one array of objects; types as in the file.
+    """Files that each hold one array of objects; types as in the file.
 
-    Elements that are not objects come back as rows with only the corrupt column set: they
-    count in the total and are set aside with ``split_rejects``. Give the schema if you know
-    it, else it is inferred from the objects in a first pass.
+    Whatever is no object of that kind comes back as a row with only the corrupt column set: a file that cannot be
+    read as an array (broken, or a single object), an element that is null, a number, a string or a list, and an object
+    with a value of another type than the schema's. They count in the total and are set aside with ``split_rejects``.
+    The schema says which fields are read; without one all are, after a first pass over the files.
     """
-    text = spark.read.text(path, wholetext=True)
-    items = text.select(F.explode_outer(F.from_json("value", "array<string>")).alias("item"))
-    items = items.where(F.col("item").isNotNull())
-    is_object = F.col("item").rlike(r"^\s*\{")
-    if schema is None:
-        objects = items.where(is_object).select(F.col("item").alias("value"))
-        schema = spark.read.json(objects.rdd.map(lambda r: r[0])).schema
-    parsed = items.select(F.when(is_object, F.from_json("item", schema)).alias("r"),
-                          F.when(~is_object, F.col("item")).alias(CORRUPT))
-    return parsed.select("r.*", CORRUPT)
+    text = spark.read.text(path, wholetext=True).withColumn("items", F.from_json("value", "array<string>"))
+    items = text.select(F.explode_outer(F.when(F.col("items").isNull(), F.array("value")).otherwise(
+        F.transform("items", lambda x: F.coalesce(x, F.lit("null"))))).alias("item"), F.col("items").isNotNull().alias("is_array"))
+    items = items.where("item IS NOT NULL")
+    is_object = F.col("is_array") & F.col("item").rlike(r"^\s*\{")
+    known = T._parse_datatype_string(schema) if isinstance(schema, str) else schema or _object_schema(items.where(is_object))
+    wide = T.StructType([f for f in known.fields if f.name != CORRUPT] + [T.StructField(CORRUPT, T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    parsed = items.select("item", F.when(is_object, F.from_json("item", wide, options)).alias("r"))
+    bad = F.when(F.col("r").isNull(), F.col("item")).otherwise(F.col(f"r.{CORRUPT}"))
+    return parsed.select(*[F.when(bad.isNull(), F.col(f"r.`{f.name}`")).alias(f.name) for f in wide.fields[:-1]], bad.alias(CORRUPT))
 
 
 def split_rejects(df: DataFrame, column: str = CORRUPT) -> tuple[DataFrame, DataFrame]:

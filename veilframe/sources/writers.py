@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.sanitize import kept_rows
+
 FORMATS = ("parquet", "json", "csv", "orc")
 
 
@@ -17,10 +19,9 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", *, include_excl
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {fmt!r}; known: {FORMATS}")
     if not include_excluded:
-        if "excluded" in df.columns:
-            df = df.where(~F.col("excluded"))
-        elif "excluded_fields" in df.columns:
-            df = df.where(F.size("excluded_fields") == 0)
+        if "excluded" not in df.columns:
+            raise ValueError("the table does not say which rows are excluded")
+        df = kept_rows(df)
     df = df.drop("hits")
     if fmt == "csv":
         for f in df.schema:
