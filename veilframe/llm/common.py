@@ -16,10 +16,8 @@ NO_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """A new folder below ``spark.checkpoint.dir``, else below the warehouse: driver and executors share both."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
