@@ -4,6 +4,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
+from veilframe.llm import suffixes
 from veilframe.llm.queries import QUERIES
 from veilframe.llm.suffixes import repeated_bytes
 
@@ -35,7 +38,7 @@ def words(rng, n):
 
 def made():
     rng = random.Random(3)
-    passages = [words(rng, n) for n in (30, 36, 40, 45, 60, 120)] + ["x" * 250, "ab" * 140, "z" * 199]
+    passages = [words(rng, n) for n in (30, 36, 40, 45, 60, 120)] + ["x" * 250, "ab" * 140, "z" * 199, "abc" * 130, "0123456789" * 40]
     rows = []
     for i in range(60):
         text = words(rng, rng.randint(0, 120))
@@ -46,7 +49,9 @@ def made():
             text = text[:at] + p[a:len(p) - rng.randint(0, 20)] + text[at:]
         rows.append((i, text))
     rows += [(100, rows[3][1]), (3, rows[3][1]), (3, "other text"), (101, None), (102, ""), (None, None), (None, rows[4][1]),
-             (103, "y" * 5000), (104, words(rng, 30000)), (105, "q" * 200), (106, "q" * 199), (107, "w" * 201), (108, "é" * 150)]
+             (103, "y" * 5000), (104, words(rng, 30000)), (105, "q" * 200), (106, "q" * 199), (107, "w" * 201), (108, "é" * 150),
+             (109, "mno" * 70), (110, "p" * 203 + "unlike anything else"), (111, "uvwxyz" * 40 + "!"), (112, words(rng, 10) + "k" * 400 + words(rng, 40)),
+             (113, "klmnopqrstuvwxyzKLMNOPQRSTUVWXYZ-+" * 30), (114, "7" * 100 + "8" * 100 + "7" * 100 + "8" * 100)]
     return rows
 
 
@@ -58,6 +63,12 @@ def test_against_all_strings(spark):
         assert got(repeated_bytes(docs.select("doc_id", "text"), batches=batches, group=group)) == expected(rows)
 
 
+def test_runs_have_few_anchors():
+    slab = suffixes.Slab(np.frombuffer(b"a" * 20000 + b"xy" * 5000, np.uint8), np.array([0, 20000, 30000]), 200)
+    anchor, first, last, doc, tied = slab.spans()
+    assert len(anchor) < 400 and tied.all() and (last - first + 1).sum() == 19801 + 9801
+
+
 def test_clashing_names_are_kept(spark):
     docs = spark.createDataFrame([(1, "t" * 300, "k", 2, "n")], "doc_id bigint, text string, k1 string, marks int, n_bytes string")
     assert repeated_bytes(docs).select("k1", "marks", "n_removed", "n_bytes").collect()[0] == ("k", 2, 300, 300)

@@ -1,8 +1,10 @@
 """Repeated passages by a logarithmic family of sparse suffix arrays.
 
 A suffix array of every byte of a corpus is many times its size. A repeat of ``length`` bytes needs only the
-suffixes at *anchors*: the position of the least hash of a 32-byte gram among all grams of a window. The choice
-depends on the window's bytes alone, so equal windows have equal anchors, and every window has one.
+suffixes at *anchors*: the position of the least hash of a 32-byte gram among all grams of a window. The least gram
+depends on the window's bytes alone, so equal windows have equal suffixes, and every window has one. Where the least gram
+occurs more than once in a window (runs of one character, short periods) a place is chosen that many windows share, and
+the suffix counts as one that occurs twice.
 A suffix array here is the table of the anchors' suffixes in their order (first eight bytes, then a fingerprint of
 the first 32), one row per distinct suffix. Each batch of documents gets one, is merged in one scan with every
 existing level, and levels of equal rank are merged into the next, so a suffix is rewritten log2(batches) times.
@@ -28,6 +30,9 @@ GRAM = 32
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 #: Bytes that are hashed at once; a longer document is a slab of its own.
 SLAB = 1 << 20
+#: Periods up to which repeated grams share an anchor, and the places of a block in which they do. Neither is larger than
+#: the number of grams in a window of the shortest length for which the index is meant.
+PERIODS, BLOCK = 8, 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,6 +45,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 _BYTE = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _ODD)
 
 
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every ``width`` values in a row."""
+    have = 1
+    while have * 2 <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    return np.minimum(values[:len(values) - (width - have)], values[width - have:]) if have < width else values
+
+
 class Slab:
     """Rolling hashes over some whole documents laid end to end."""
 
@@ -61,10 +75,13 @@ class Slab:
         return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
 
     def spans(self):
-        """(anchor, first window, last window) of all spans, in the slab's positions, and each one's document."""
+        """(anchor, first window, last window, document, tied) of all spans, in the slab's positions.
+
+        ``tied``: the least gram occurs again in one of the span's windows, so windows of one span may be equal.
+        """
         n, length = len(self.data), self.length
         sizes = np.diff(self.offsets)
-        empty = (np.zeros(0, np.int64),) * 4
+        empty = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, bool),)
         if n < length or sizes.max() < length:
             return empty
         gram = self.value.copy()
@@ -75,23 +92,27 @@ class Slab:
             step *= 2
         gram = _mixed(gram)
         shift = np.uint64(max(20, int(n).bit_length()))
-        mask = (np.uint64(1) << shift) - np.uint64(1)
-        low = (gram & ~mask) | np.arange(len(gram), dtype=np.uint64)
-        width, have = length - GRAM + 1, 1
-        while have * 2 <= width:
-            low = np.minimum(low[:-have], low[have:])
-            have *= 2
-        if have < width:
-            low = np.minimum(low[:len(low) - (width - have)], low[width - have:])
-        at = (low & mask).astype(np.int64)  # anchor of the window that starts here; n - length + 1 windows
+        places = (np.uint64(1) << shift) - np.uint64(1)
+        mask = places << np.uint64(1) | np.uint64(1)
+        place = np.arange(len(gram), dtype=np.uint64)
+        again = np.zeros(len(gram), bool)  # the gram stands a few places before too, in the same block of places
+        for lag in range(1, PERIODS + 1):
+            again[lag:] |= (gram[lag:] == gram[:-lag]) & (place[lag:] % np.uint64(BLOCK) >= lag)
+        high = gram & ~mask
+        low = _least(high | again.astype(np.uint64) << shift | place, length - GRAM + 1)
+        last_place = places - (_least(high | (places - place), length - GRAM + 1) & places)
+        first_place = _least(high | place, length - GRAM + 1) & places
+        several = first_place != last_place
+        at = (low & places).astype(np.int64)  # anchor of the window that starts here; n - length + 1 windows
         doc = np.repeat(np.arange(len(sizes)), sizes)[:len(at)]
         inside = np.arange(len(at)) + length <= self.offsets[doc + 1]
         key = np.where(inside, at, -1)
         starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
         ends = np.append(starts[1:], len(key)) - 1
         real = key[starts] >= 0
+        tied = np.logical_or.reduceat(several, starts)[real]
         first, last = starts[real], ends[real]
-        return key[first], first, last, doc[first]
+        return key[first], first, last, doc[first], tied
 
     def suffix(self, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The order of suffixes: first eight bytes as a signed number, then a fingerprint of the first 32."""
@@ -109,18 +130,18 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
             k1, k2 = np.asarray(batch.column("k1")), np.asarray(batch.column("k2"))
             for a, b in slabs(offsets, SLAB):
                 slab = Slab(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a], length)
-                anchor, first, last, doc = slab.spans()
+                anchor, first, last, doc, tied = slab.spans()
                 if len(anchor):
                     head, tail = slab.suffix(anchor)
                     span = slab.hashes(first, last + length).view(np.int64)
                     base = slab.offsets[doc]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(v) for v in (head, tail, span, k1[a + doc], k2[a + doc], (first - base).astype(np.int32),
-                                               (last - base).astype(np.int32))],
-                        names=["head", "tail", "span", "k1", "k2", "p1", "p2"])
+                                               (last - base).astype(np.int32), tied)],
+                        names=["head", "tail", "span", "k1", "k2", "p1", "p2", "tied"])
 
     return docs.select("k1", "k2", "text").mapInArrow(
-        run, "head bigint, tail bigint, span bigint, k1 bigint, k2 int, p1 int, p2 int")
+        run, "head bigint, tail bigint, span bigint, k1 bigint, k2 int, p1 int, p2 int, tied boolean")
 
 
 class SuffixLevels:
@@ -147,7 +168,7 @@ class SuffixLevels:
         """Index a batch (k1, k2, text): merge it with the levels of its rank, and scan the larger ones."""
         anchors = self.write(_anchors(docs, self.length), "anchors")
         self.anchors.append(anchors)
-        rows, rank, old = anchors[1].select("head", "tail", F.lit(1).alias("n"), F.lit(1).alias("fresh")), 0, []
+        rows, rank, old = anchors[1].select("head", "tail", F.when(F.col("tied"), 2).otherwise(1).alias("n"), F.lit(1).alias("fresh")), 0, []
         while self.levels and self.levels[-1][0] == rank:
             _, path, level = self.levels.pop()
             old.append(path)
@@ -164,7 +185,7 @@ class SuffixLevels:
         self.levels.append((rank, path, array))
 
     def repeated(self) -> DataFrame:
-        """(tail, span, k1, k2, p1, p2) of all spans whose suffix occurs more than once."""
+        """(tail, span, k1, k2, p1, p2, tied) of all spans whose suffix occurs more than once."""
         keys = union_all(self.hits).distinct()
         return union_all([a for _, a in self.anchors]).drop("head").join(keys, "tail", "left_semi")
 
@@ -198,11 +219,12 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     for path, _ in index.anchors:
         discard(spark, path)
     counted = index.write(spans.groupBy("tail", "span").agg(
-        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "p1", "p2")]), "counted")[1]
+        F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "p1", "p2", "tied")]), "counted")[1]
     whole = spans.join(counted.where("n > 1").select("tail", "span"), ["tail", "span"], "left_semi").select(
         "k1", "k2", "p1", (F.col("p2") + length).alias("p2"))
 
-    several = counted.groupBy("tail").agg(F.count(F.lit(1)).alias("s"), F.min("n").alias("least")).where("s > 1 AND least = 1")
+    several = counted.groupBy("tail").agg(F.count(F.lit(1)).alias("s"), F.min("n").alias("least"),
+                                          F.max("tied").alias("tied")).where("least = 1 AND (s > 1 OR tied)")
     edges = counted.join(several.select("tail", (F.col("s") > group).alias("hot")), "tail")
     marks = edges.groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
         F.collect_list(F.struct("p1", "p2", "tail", (F.col("n") == 1).alias("single"), "hot")).alias("marks"))
