@@ -30,9 +30,8 @@ GRAM = 32
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 #: Bytes that are hashed at once; a longer document is a slab of its own.
 SLAB = 1 << 20
-#: Periods up to which repeated grams share an anchor, and the places of a block in which they do. Neither is larger than
-#: the number of grams in a window of the shortest length for which the index is meant.
-PERIODS, BLOCK = 8, 128
+#: Places of a block in which the windows of a periodic run share an anchor.
+BLOCK = 128
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -93,17 +92,17 @@ class Slab:
         gram = _mixed(gram)
         shift = np.uint64(max(20, int(n).bit_length()))
         places = (np.uint64(1) << shift) - np.uint64(1)
-        mask = places << np.uint64(1) | np.uint64(1)
         place = np.arange(len(gram), dtype=np.uint64)
-        again = np.zeros(len(gram), bool)  # the gram stands a few places before too, in the same block of places
-        for lag in range(1, PERIODS + 1):
-            again[lag:] |= (gram[lag:] == gram[:-lag]) & (place[lag:] % np.uint64(BLOCK) >= lag)
-        high = gram & ~mask
-        low = _least(high | again.astype(np.uint64) << shift | place, length - GRAM + 1)
-        last_place = places - (_least(high | (places - place), length - GRAM + 1) & places)
-        first_place = _least(high | place, length - GRAM + 1) & places
-        several = first_place != last_place
-        at = (low & places).astype(np.int64)  # anchor of the window that starts here; n - length + 1 windows
+        high = gram & ~places
+        at = (_least(high | place, length - GRAM + 1) & places).astype(np.int64)  # anchor of the window that starts here
+        end = (places - (_least(high | (places - place), length - GRAM + 1) & places)).astype(np.int64)
+        several = at != end
+        # Where the least gram stands in several places: the first of them in the block of the last one, if it is there.
+        row = np.flatnonzero(several)
+        block = np.maximum(row, end[row] // BLOCK * BLOCK)
+        other = at[np.minimum(block, len(at) - 1)]
+        fits = (high[other] == high[at[row]]) & (other >= block) & (other <= end[row])
+        at[row[fits]] = other[fits]
         doc = np.repeat(np.arange(len(sizes)), sizes)[:len(at)]
         inside = np.arange(len(at)) + length <= self.offsets[doc + 1]
         key = np.where(inside, at, -1)
