@@ -150,9 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not counts[0]:
         return Model({}, 0.0 if not counts[1] else float(np.log(1e-3)))
     toxic = marks.where("toxic = 1").select("mark_id").distinct().orderBy(F.xxhash64("mark_id")).limit(positives)
-    some = texts.join(toxic, texts.id == toxic.mark_id, "left_semi").select("id", "text", F.lit(1).alias("kind"))
+    # the ids are bounded by the two parameters, so they are broadcast and no text is shuffled
+    some = texts.join(F.broadcast(toxic), texts.id == toxic.mark_id, "left_semi").select("id", "text", F.lit(1).alias("kind"))
     ids = texts.select("id").orderBy(order, "id").limit(unlabelled).withColumnRenamed("id", "mark_id").distinct()
-    other = texts.join(ids, texts.id == ids.mark_id, "left_semi").select("id", "text", F.lit(0).alias("kind"))
+    other = texts.join(F.broadcast(ids), texts.id == ids.mark_id, "left_semi").select("id", "text", F.lit(0).alias("kind"))
     sample = stage(some.unionByName(other), folder, "sample")
     sizes = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
