@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import shared_folder, stage, table
+from veilframe.llm.common import NO_ID, shared_folder, stage, table
 from veilframe.llm.mixing import mix
 from veilframe.llm.packing import pack
 from veilframe.llm.quality import accepted, fit, measured
@@ -40,10 +40,10 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     # per class one small row; a hot class is combined before the shuffle
     first = rows.groupBy(F.coalesce("component_id", "fp").alias("class"), F.col("component_id").isNull().alias("nameless")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("m")).select("m.*")
-    kept = docs.join(first.select(F.col("doc_id").alias("_d"), "_h"),
-                     F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).drop("_d", "_h")
-    # rows that repeat both id and text: one of them
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source", "n_chars")
+    named = first.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), "_h")
+    kept = docs.withColumn("_k", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_h", F.xxhash64("text")).join(named, ["_k", "_h"])
+    # rows that repeat both id and text: one of them; they are already in one place
+    order = Window.partitionBy("_k", "_h").orderBy("lang", "source", "n_chars")
     return kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*COLUMNS)
 
 
