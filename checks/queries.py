@@ -6,14 +6,14 @@ import os
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.catalog.policies import POLICIES
 from veilframe.catalog.profiles import PROFILES
 from veilframe.catalog.risk import ADVICE, TIERS, rank_of, tier_of
 from veilframe.catalog.rules import RuleBook, default_book
-from veilframe.functions.core import column
+from veilframe.functions.core import blank, column
 from veilframe.functions import rewrite
 from veilframe.functions.pseudonym import Pseudonyms
 from veilframe.functions.sqlnames import register_functions
@@ -518,9 +518,9 @@ register("report_file", lambda spark, sf: reports.file_report(
 
 def _conversation_pages(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")
-    turns = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    pages = reports.explode_pages(turns.select("conv_id", F.col("t.text").alias("pages")), ["conv_id"], "pages")
-    return scan.scan(spread(pages)).select("conv_id", "page_number", "pii_found", "hit_count")
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    pages = df.where(~column(blank("text"))).withColumn("page_number", F.row_number().over(order))
+    return scan.scan(pages).select("conv_id", "page_number", "pii_found", "hit_count")
 
 
 register("scan_paged_conversations", _conversation_pages, o.with_(o.hits(duck_source("conversations")), o.SUMMARY) +
@@ -634,7 +634,7 @@ register("catalog_profiles", lambda spark, sf: catalogs.profiles_table(spark).jo
 def _sql_names(spark, sf):
     register_functions(spark)
     source(spark, sf, "notes").createOrReplaceTempView("veil_notes")
-    return spark.sql("SELECT id, pii_mask(text) AS masked, pii_risk(text) AS risk_level, size(pii_hits(text)) AS hit_count FROM veil_notes")
+    return spark.sql("SELECT id, s.masked, s.risk_level, s.hit_count FROM (SELECT id, pii_scan(text) AS s FROM veil_notes)")
 
 
 register("sql_functions", _sql_names, o.with_(o.hits(duck_source("notes")), o.SUMMARY, o.kept(), o.rendered(o.MASK)) +
@@ -644,7 +644,8 @@ register("sql_functions", _sql_names, o.with_(o.hits(duck_source("notes")), o.SU
 def _sql_table(spark, sf):
     register_functions(spark)
     source(spark, sf, "notes").createOrReplaceTempView("veil_notes")
-    return spark.sql("SELECT n.id, h.entity_type, h.hit_start, h.hit_end FROM veil_notes n, LATERAL pii_hit_rows(n.text) h")
+    return spark.sql("SELECT id, h.entity_type, h.start AS hit_start, h.`end` AS hit_end FROM (SELECT id, pii_hits(text) AS hs FROM veil_notes) "
+                     "LATERAL VIEW OUTER explode(hs) x AS h WHERE h IS NOT NULL")
 
 
 register("sql_table_function", _sql_table, o.with_(o.hits(duck_source("notes"))) +
@@ -701,18 +702,18 @@ register("read_tsv", _csv("\t", readers.read_tsv), _FILE)
 
 
 def _json_array(spark, sf):
+    """A file per note: an array of the note and a number. The number of files follows the table."""
     path = scratch(spark)
     rows = source(spark, sf, "notes").where("text IS NOT NULL").select(
-        (F.col("id") % 50).alias("f"), F.to_json(F.struct("id", "text")).alias("j"))
-    rows.groupBy("f").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit(", 7]")).alias("value")).select(
-        "value").repartition(50).write.text(path)
+        F.concat(F.lit("["), F.to_json(F.struct("id", "text")), F.lit(", 7]")).alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).text(path)
     good, bad = readers.split_rejects(readers.read_json_array(spark, path, "id bigint, text string"))
     masked = records.sanitize_record(good, ["text"]).select("id", "text")
     return masked.unionByName(bad.groupBy().agg((-F.count(F.lit(1))).alias("id")).select("id", F.lit("rejected").alias("text")))
 
 
 register("read_json_array", _json_array, _MASKED + """SELECT id, sanitized_text AS text FROM out WHERE sanitized_text IS NOT NULL
-UNION ALL SELECT -count(DISTINCT c_custkey % 50), 'rejected' FROM customer WHERE c_custkey % 22 <> 21""")
+UNION ALL SELECT -count(*), 'rejected' FROM customer WHERE c_custkey % 22 <> 21""")
 
 
 def _jsonl(spark, sf):
@@ -725,17 +726,17 @@ register("read_jsonl", _jsonl, _MASKED + "SELECT id, sanitized_text AS text FROM
 
 
 def _text_files(spark, sf):
+    """A file per note, of three lines; each file is one text."""
     path = scratch(spark)
-    lines = source(spark, sf, "notes").where("text IS NOT NULL").groupBy((F.col("id") % 40).alias("f")).agg(
-        F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("value"))
-    lines.write.partitionBy("f").text(path)
-    done = sanitize.sanitize(readers.read_text_files(spark, path), mode="redact")
-    return done.select(F.regexp_extract("path", "f=([0-9]+)", 1).cast("bigint").alias("f"), "hit_count")
+    rows = source(spark, sf, "notes").where("text IS NOT NULL").select(F.format_string("%d\n%s\nbye", "id", "text").alias("value"))
+    rows.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    done = sanitize.sanitize(readers.read_text_files(spark, path))
+    return done.select(F.regexp_extract("text", "^([0-9]+)", 1).cast("bigint").alias("id"), "hit_count", "sanitized_text")
 
 
 register("read_text", _text_files, o.with_(o.hits(
-    "SELECT id % 40 AS id, string_agg(text, chr(10) ORDER BY text) AS text FROM (" + duck_source("notes") + ") GROUP BY id % 40"), o.SUMMARY) +
-    "SELECT id AS f, hit_count FROM scan")
+    "SELECT id, id || chr(10) || text || chr(10) || 'bye' || chr(10) AS text FROM (" + duck_source("notes") + ") WHERE text IS NOT NULL"), o.SUMMARY, o.kept(),
+    o.rendered(o.MASK)) + "SELECT id, hit_count, out.sanitized_text FROM scan JOIN out USING (id)")
 
 
 def _sheet(spark, sf):

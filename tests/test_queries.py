@@ -23,3 +23,13 @@ def test_entry_and_names(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and df.columns == ["doc_id", "sanitized_text", "hit_count", "entity_types", "risk_level"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["sanitize_nested", "metrics", "sql_functions", "sql_table_function", "column_profile", "exclude_drop",
+                                  "process_record_recursive", "audit_policy", "audit_preflight", "preflight_gate", "sanitize_record_policy",
+                                  "nested_policy_skip", "sanitize_json_unknown_keys", "scan_paged_conversations", "policy_per_row", "report_file"])
+def test_one_detection_per_row(spark, name):
+    """The optimized plan runs a pattern in one place only."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?iU)\bHS[-_]\d{4}[-_]\d{3,6}\b, 0)") == 1, plan[:2000]

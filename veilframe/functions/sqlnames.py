@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..catalog.policies import MODES
 from ..catalog.rules import RuleBook, default_book
-from .core import HITS_TYPE
+from .core import HITS_TYPE, let
 from .decode import decode_sql
 from .pseudonym import Pseudonyms
 from .rewrite import sanitize_sql
@@ -18,8 +18,10 @@ def register_functions(spark: SparkSession, book: RuleBook | None = None, prefix
                        how: Pseudonyms = Pseudonyms(), redact_with: str = "") -> list[str]:
     """Create temporary SQL functions whose bodies are the native expressions.
 
-    pii_hits(t), pii_risk(t), pii_types(t), pii_mask(t), pii_redact(t), pii_pseudonymize(t),
-    pii_exclude(t), pii_decode(t), and the table function pii_hit_rows(t).
+    pii_hits(t), pii_risk(t), pii_types(t), pii_mask(t), pii_redact(t), pii_pseudonymize(t), pii_exclude(t) and
+    pii_decode(t); each call detects anew. pii_scan(t) detects once and gives a struct of hits, hit_count, risk_level,
+    entity_types and masked. A row per hit: explode it in an outer query,
+    ``SELECT h.* FROM (SELECT pii_hits(text) AS hs FROM t) LATERAL VIEW OUTER explode(hs) x AS h``.
     """
     book = book or default_book()
     hits = hits_sql("t", book)
@@ -33,13 +35,11 @@ def register_functions(spark: SparkSession, book: RuleBook | None = None, prefix
     for mode in MODES:
         body = f"get(transform(array({hits}), sq_h -> {sanitize_sql('t', 'sq_h', mode, redact_with, how)}), 0)"
         scalar[verbs[mode]] = ("string", body)
+    scalar["scan"] = (f"struct<hits:{HITS_TYPE},hit_count:int,risk_level:string,entity_types:array<string>,masked:string>",
+                      let("sq_s", hits, f"named_struct('hits', sq_s, 'hit_count', size(sq_s), 'risk_level', {tier_sql(max_rank_sql('sq_s'))}, "
+                                        f"'entity_types', {types_sql('sq_s')}, 'masked', {sanitize_sql('t', 'sq_s', 'mask', redact_with, how)})"))
     made = []
     for name, (kind, body) in scalar.items():
         spark.sql(f"create or replace temporary function {prefix}_{name}(t string) returns {kind} return {body}")
         made.append(f"{prefix}_{name}")
-    spark.sql(f"create or replace temporary function {prefix}_hit_rows(t string) returns table("
-              f"entity_type string, hit_start int, hit_end int, score double) return "
-              f"select h.entity_type, h.start, h.`end`, h.score from (select explode_outer({hits}) as h) "
-              f"where h is not null")
-    made.append(f"{prefix}_hit_rows")
     return made
