@@ -11,7 +11,7 @@ from veilframe.functions.core import HITS_TYPE, column
 from veilframe.functions.overlap import drop_contained, resolve_overlaps
 from veilframe.functions.rewrite import MASK_TOKEN, render_sql
 from veilframe.functions.spans import hits_sql
-from veilframe.operators.scan import explain, hits_table, scan, term_hits, with_hits
+from veilframe.operators.scan import explain, hits_table, scan, term_hits, with_hits, with_terms
 
 # (pattern, text, expected): pinned behaviour of the patterns.
 TRUTH = [
@@ -209,10 +209,28 @@ def test_no_raw_text_in_hit_table(texts):
     assert "text" not in df.columns and "123-45-6789" not in str(df.collect())
 
 
-def test_term_dictionary_both_joins(spark, texts):
+def test_term_dictionary(spark, texts):
     terms = spark.createDataFrame([("Omaha", "LOCATION"), ("tobias", "PERSON")], "term string, entity_type string")
     df = texts(["Tobias lives in Omaha, éOmaha no", None])
-    for limit in (1000, 1):
+    for limit in (None, 1, 3):
         rows = sorted((r.entity_type, r.hit_start, r.hit_end) for r in
-                      term_hits(df, ["id"], "text", terms, broadcast_rows=limit).collect())
+                      term_hits(df, ["id"], "text", terms, longest=limit).collect())
         assert rows == [("LOCATION", 16, 21), ("PERSON", 0, 6)]
+
+
+def test_custom_patterns_are_checked_by_java(spark):
+    for bad in ("(?P<a>x)", "(", "[a"):
+        with pytest.raises(ValueError):
+            RuleBook().plus("X", [("p", bad, 0.5)])
+    assert RuleBook().plus("X", [("p", "(?<a>x)++", 0.5)]).rules[-1].regex == "(?<a>x)++"
+
+
+def test_dictionary_of_phrases_in_long_texts(spark, texts):
+    terms = spark.createDataFrame([("New Haven", "LOCATION"), ("haven", "LOCATION"), ("ADA", "PERSON"), ("", "PERSON"), (None, "PERSON")], "term string, entity_type string")
+    long = "the and " * 100_000 + "ada of new haven"
+    df = texts(["Ada lives in NEW HAVEN.", "", None, "nothing", "heaven", long])
+    got = {(r.id, r.entity_type, r.hit_start, r.hit_end) for r in term_hits(df, ["id"], "text", terms).collect()}
+    n = len("the and " * 100_000)
+    assert got == {(0, "PERSON", 0, 3), (0, "LOCATION", 13, 22), (0, "LOCATION", 17, 22), (5, "PERSON", n, n + 3), (5, "LOCATION", n + 7, n + 16), (5, "LOCATION", n + 11, n + 16)}
+    found = with_terms(df, ["id"], terms, book=default_book().only(["US_SSN"]))
+    assert {r.id: len(r.hits) for r in found.collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0, 5: 2}

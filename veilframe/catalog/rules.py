@@ -223,6 +223,25 @@ def normal_words(words) -> list[str]:
     return [" " + re.sub(r"[^\w#]+|_+", " ", w.lower()).strip() + " " for w in words]
 
 
+def check_pattern(regex: str) -> None:
+    """Raise ValueError unless the engine that will run the pattern accepts it.
+
+    That engine is Java's; it is asked if a session is there. Without one Python's is, less its own named groups.
+    """
+    from pyspark.sql import SparkSession
+
+    session = SparkSession.getActiveSession()
+    try:
+        if session is not None:
+            session._jvm.java.util.regex.Pattern.compile(FLAGS + regex)
+        else:
+            re.compile(regex)
+    except Exception as e:
+        raise ValueError(f"not a pattern: {regex!r}") from e
+    if session is None and "(?P" in regex:
+        raise ValueError(f"not a Java pattern: {regex!r}")
+
+
 @dataclass(frozen=True)
 class RuleBook:
     """What to detect and how to score it. Immutable; built once per job on the driver."""
@@ -263,7 +282,7 @@ class RuleBook:
         start = max((r.rule_id for r in self.rules), default=-1) + 1
         added = []
         for k, (name, regex, score) in enumerate(patterns):
-            re.compile(regex)
+            check_pattern(regex)
             added.append(Rule(start + k, entity, recognizer or f"custom:{entity}", name, regex, float(score),
                               tuple(context), None, "custom", ()))
         return replace(self, rules=self.rules + tuple(added))

@@ -11,8 +11,6 @@ from ..functions.risk import tier_sql
 from ..catalog.risk import TIERS
 from .sanitize import sanitize
 
-MAX_TEXT_CHARS = 100_000
-
 
 def rank_column(tier: str):
     return F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col(tier)) - 1
@@ -57,7 +55,7 @@ def explode_pages(df: DataFrame, keys: list[str], pages: str) -> DataFrame:
     return rows.where(~column(blank("text"))).select(*keys, (F.col("__pos") + 1).alias("page_number"), "text")
 
 
-def split_oversize(df: DataFrame, text: str = "text", max_chars: int = MAX_TEXT_CHARS) -> tuple[DataFrame, DataFrame]:
+def split_oversize(df: DataFrame, text: str = "text", *, max_chars: int) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined): texts longer than the limit go to a table of their own, nothing is cut."""
     over = F.coalesce(F.length(text), F.lit(0)) > max_chars
     return df.where(~over), df.where(over).withColumn("reject_reason", F.lit("TEXT_TOO_LONG"))
