@@ -85,9 +85,9 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
 
     placed = stage(rows.mapInArrow(cells, "id bigint, v array<bigint>, q boolean, cell int, far double, home int, away double"), folder, "placed")
     near = Window.partitionBy("cell").orderBy("far")
-    # a few numbers per pivot; one row of a query's own is no answer, so k + 1 of each cell are counted
+    # k + 1 distances per pivot, as one row of a query's own is no answer; each task keeps its own k + 1 first
     kept = placed.groupBy("cell", "far").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "before", F.sum("n").over(near.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).where(F.col("before") <= k)
+        "r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     summary = {}
     for r in kept.groupBy("cell").agg(F.collect_list(F.struct("far", "n")).alias("least")).collect():
         summary[r["cell"]] = sorted((x["far"], x["n"]) for x in r["least"])
