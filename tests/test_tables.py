@@ -69,6 +69,9 @@ def test_json_text(spark):
     assert rows[0] == ('{"t":"[EMAIL_ADDRESS]","n":7, "more": {"k@b.org": [1, null, "[EMAIL_ADDRESS]", true]}}', None)
     assert rows[1] == ("[1,2]", None) and rows[2] == (None, texts[2]) and rows[3] == (None, "plain") and rows[4] == (None, None)
     assert rows[5] == ('"[EMAIL_ADDRESS]"', None) and json.loads(rows[6][0]) == {"q": 'say "hi" to [EMAIL_ADDRESS]'} and rows[7] == (texts[7], None)
+    big = json.dumps({"a": "line\n\"é\" " * 20000 + "a@b.org", "b\\": "\\", "c": 1.50})
+    done = records.sanitize_json(spark.createDataFrame([(1, big)], "id int, p string"), "p").first().p
+    assert json.loads(done) == {**json.loads(big), "a": "line\n\"é\" " * 20000 + "[EMAIL_ADDRESS]"}
     gone = {r.id: r.p for r in records.sanitize_json(df, "p", policy="ai_prompt", skip=["EMAIL_ADDRESS"]).collect()}
     assert json.loads(gone[0])["n"] == 7
 

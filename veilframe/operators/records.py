@@ -302,8 +302,8 @@ def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleB
     return _with_contract(df, names, include_excluded) if report else df.select(*names)
 
 
-#: Strings of a JSON text, keys included.
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+#: Strings of a JSON text whose escapes are blanked out, keys included.
+_JSON_STRING, _JSON_ESCAPE = '"[^"]*+"', r"(?s)\\."
 CORRUPT = "_corrupt_record"
 
 
@@ -318,13 +318,17 @@ def sanitize_json(df: DataFrame, json_col: str, mode: str = "mask", book: RuleBo
     before = [c for c in df.columns if c != CORRUPT]
     text = ident_flat(json_col)
     fine = f"case when try_parse_json({text}) is not null then {text} end"
-    strings = f"regexp_extract_all(js_t, {lit(_JSON_STRING)}, 0)"
-    gaps = f"split(js_t, {lit(_JSON_STRING)}, -1)"
-    # a string is a value unless a colon follows it
-    parts = (f"zip_with({gaps}, {strings}, (js_g, js_s) -> named_struct('gap', js_g, 'raw', js_s))")
-    df = df.withColumn("__fine", column(fine)).withColumn("__parts", column(let("js_t", "__fine", let("js_p", parts, (
-        "transform(js_p, (js_x, js_i) -> named_struct('gap', js_x.gap, 'raw', js_x.raw, 'value', js_x.raw is not null and not "
-        "startswith(ltrim(get(js_p, js_i + 1).gap), ':')))")))))
+    # Escapes are two characters and become two others, so a string's place is that in the blanked text; the patterns
+    # have no repeated group, which Java would match by recursion. A string is a value unless a colon follows it.
+    pairs = (f"zip_with(split(js_m, {lit(_JSON_STRING)}, -1), regexp_extract_all(js_m, {lit(_JSON_STRING)}, 0), "
+             f"(js_g, js_s) -> named_struct('g', length(js_g), 's', length(js_s)))")
+    starts = running("transform(js_z, js_c -> js_c.g + coalesce(js_c.s, 0))", "0", lambda a, x: f"{a} + {x}")
+    cut = ("transform(js_z, (js_d, js_i) -> named_struct('gap', substring(js_t, get(js_o, js_i) + 1, js_d.g), 'raw', "
+           "case when js_d.s is not null then substring(js_t, get(js_o, js_i) + js_d.g + 1, js_d.s) end))")
+    told = ("transform(js_p, (js_x, js_k) -> named_struct('gap', js_x.gap, 'raw', js_x.raw, 'value', js_x.raw is not null and not "
+            "startswith(ltrim(get(js_p, js_k + 1).gap), ':')))")
+    df = df.withColumn("__fine", column(fine)).withColumn("__parts", column(let("js_t", "__fine", let(
+        "js_m", f"regexp_replace(js_t, {lit(_JSON_ESCAPE)}, '##')", let("js_z", pairs, let("js_o", starts, let("js_p", cut, told)))))))
     df = df.withColumn("__texts", column("transform(__parts, jt_x -> case when jt_x.value then get(from_json(concat('[', jt_x.raw, ']'), 'array<string>'), 0) end)"))
     df = df.withColumn("__hits", column(f"transform(__texts, rc_t -> {hits_sql('rc_t', book or default_book())})"))
     df = _rewritten(df, chosen, check_mode(mode), skip, redact_with, how)
