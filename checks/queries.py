@@ -753,12 +753,14 @@ def _written(fmt):
     def run(spark, sf):
         path = scratch(spark)
         writers.write_result(sanitize.sanitize(source(spark, sf, "notes"), mode="exclude"), path, fmt, include_excluded=False)
+        if fmt == "csv":
+            return readers.read_csv(spark, path).select(F.col("id").cast("bigint").alias("id"), F.nullif("sanitized_text", F.lit("")).alias("sanitized_text"))
         back = spark.read.parquet(path) if fmt == "parquet" else spark.read.schema("id bigint, sanitized_text string").json(path)
         return back.select("id", "sanitized_text")
     return run
 
 
-for _f in ("parquet", "json"):
+for _f in ("parquet", "json", "csv"):
     register(f"write_result_{_f}", _written(_f), o.with_(o.hits(duck_source("notes")), o.SUMMARY) +
              "SELECT id, text AS sanitized_text FROM scan WHERE NOT pii_found")
 
