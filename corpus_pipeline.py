@@ -35,10 +35,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class: of the rows with the class's id the one of least text hash; without an id, by text hash."""
-    rows = near_duplicates(docs.withColumn("_h", F.xxhash64("text")), carry=["_h"])
+    """One row of each class: of the rows with the class's least id the one of least text hash; without an id, by text hash.
+
+    A class is its root, not its id: ids may repeat on texts that have nothing in common.
+    """
+    rows = near_duplicates(docs.withColumn("_h", F.xxhash64("text")), carry=["_h"], root=True)
     # per class one small row; a hot class is combined before the shuffle
-    first = rows.groupBy(F.coalesce("component_id", "fp").alias("class"), F.col("component_id").isNull().alias("nameless")).agg(
+    first = rows.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("m")).select("m.*")
     named = first.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_k"), "_h")
     kept = docs.withColumn("_k", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_h", F.xxhash64("text")).join(named, ["_k", "_h"])

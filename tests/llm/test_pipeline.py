@@ -87,3 +87,17 @@ def test_run_and_no_rows(spark, docs):
     none = docs.limit(0)
     for _, step in pipeline.STAGES:
         assert step(spark, none, SF).count() == 0
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    def prose(seed, n=400):
+        rng = np.random.default_rng(seed)
+        return [f"w{k}" for k in rng.integers(0, 5000, n)]
+    close, other = prose(3), prose(3)
+    other[200] = "another"
+    assert 0 < (plain(" ".join(close)) ^ plain(" ".join(other))).bit_count() <= 4
+    texts = [(7, prose(1)), (7, prose(2)), (None, close), (None, other), (None, prose(4))]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "src1", 1) for i, t in texts], KIND)
+    got = Counter((r["doc_id"], r["text"]) for r in rows_of(pipeline.near_duplicates_stage(spark, docs, SF)))
+    assert sum(got.values()) == 4 and got[(7, " ".join(prose(1)))] == got[(7, " ".join(prose(2)))] == got[(None, " ".join(prose(4)))] == 1
+    assert got[(None, " ".join(close))] + got[(None, " ".join(other))] == 1

@@ -273,9 +273,11 @@ def links(prints: DataFrame, radius: int = 4, block: int = BLOCK, parts: list |
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4, words: int = 4,
-                    carry: list[str] | None = None) -> DataFrame:
+                    carry: list[str] | None = None, root: bool = False) -> DataFrame:
     """doc_id (and ``carry``), fp and component_id: the smallest id reachable over links of at most ``radius`` bits.
 
+    ``root`` adds the component's least fingerprint: it tells components apart where ids repeat or are missing.
+
     One row per input row. Null or empty texts have fingerprint 0 and are linked like any other. A null id never
     names a component unless the component has no other; repeated rows share their component. No rows: no rows.
     """
@@ -286,5 +288,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     joined = components(links(distinct, radius), folder)
     roots = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     names = roots.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = roots.join(names, "root").select(F.col("fp").alias("_key"), "component_id")
+    classes = roots.join(names, "root").select(F.col("fp").alias("_key"), "component_id", *(["root"] if root else []))
     return rows.join(classes, F.col("_fp") == F.col("_key")).drop("_key").withColumnRenamed("_fp", "fp")
