@@ -89,3 +89,12 @@ def test_kept_text_has_whole_characters(spark):
 def test_query_against_all_strings(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert got(QUERIES["op4_suffix_dedup"](spark, SF)) == expected(rows)
+
+
+def test_texts_of_one_32_bit_hash_without_ids(spark):
+    from pyspark.sql import functions as F
+    passage = " ".join(f"passage {k}" for k in range(30))
+    rows = [(None, f"{passage} row 19260"), (None, "row 269669 " + "269669" * 60 + passage), (1, passage)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert docs.where("doc_id IS NULL").select(F.hash("text").alias("h")).distinct().count() == 1
+    assert got(repeated_bytes(docs)) == expected(rows)

@@ -44,12 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(doc_id: str, text: str) -> list[Column]:
-    """Two columns that tell rows apart: the id (nulls too) and a hash of the text.
+    """Two columns that tell rows apart: the id (nulls too) and a hash of the text, of 64 bits as many rows may share an id.
 
     Rows with the same id and text share their key, and so their result.
     """
     return [F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("k1"),
-            F.hash(F.coalesce(F.col(text), F.lit(""))).alias("k2")]
+            F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k2")]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, doc_id: str, text: str, path: str, capacity: int, en
 
     rows = docs.select(*row_key(f"`{doc_id}`", f"`{text}`"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"k1 bigint, k2 int, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows.mapInArrow(run, f"k1 bigint, k2 bigint, doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 # --- the plan ---------------------------------------------------------------------------------------

@@ -140,7 +140,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                         names=["head", "tail", "span", "k1", "k2", "p1", "p2", "tied"])
 
     return docs.select("k1", "k2", "text").mapInArrow(
-        run, "head bigint, tail bigint, span bigint, k1 bigint, k2 int, p1 int, p2 int, tied boolean")
+        run, "head bigint, tail bigint, span bigint, k1 bigint, k2 bigint, p1 int, p2 int, tied boolean")
 
 
 class SuffixLevels:
@@ -231,7 +231,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     packed = _packed(rows.select("k1", "k2", "text"), ["k1", "k2"])
     pieces = index.write(packed.join(marks, same).drop("m1", "m2").mapInArrow(_pieces(length), PIECES), "pieces")[1]
     close = pieces.where("body IS NOT NULL").select("tail", "k1", "k2", "p1", "single", "body").repartition("tail").sortWithinPartitions(
-        "tail").mapInArrow(_windows(length), "k1 bigint, k2 int, p1 int, p2 int")
+        "tail").mapInArrow(_windows(length), "k1 bigint, k2 bigint, p1 int, p2 int")
     windows = pieces.where("body IS NULL").select("tail", "hash", "k1", "k2", "p1", "single")
     twice = windows.groupBy("tail", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tail", "hash")
     far = windows.where("single").join(twice, ["tail", "hash"], "left_semi").select("k1", "k2", "p1", (F.col("p1") + length).alias("p2"))
@@ -245,7 +245,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 ENDS = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string"
-PIECES = "tail bigint, hash bigint, k1 bigint, k2 int, p1 int, single boolean, body binary"
+PIECES = "tail bigint, hash bigint, k1 bigint, k2 bigint, p1 int, single boolean, body binary"
 _ENDS = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -286,7 +286,7 @@ def _pieces(length: int):
     def piece(k1, k2, tail, hash_, p1, single, body):
         n = len(tail)
         return pa.RecordBatch.from_arrays(
-            [pa.array(tail), pa.array(hash_), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int32)),
+            [pa.array(tail), pa.array(hash_), pa.array(np.full(n, k1, np.int64)), pa.array(np.full(n, k2, np.int64)),
              pa.array(p1), pa.array(single.astype(bool)), pa.array(body, pa.binary())],
             names=["tail", "hash", "k1", "k2", "p1", "single", "body"])
     return run
