@@ -65,3 +65,25 @@ def test_query_against_articles(spark):
         article = re.search(r"<article>(.*?)</article>", rows[r["page_id"]], re.S)[1]
         want = html.unescape(re.sub(r"</?(?:b|a)\b[^>]*>", "", re.sub(r"<(?!/?b>|/?a\b)[^>]*>", " ", article)))
         assert r["text"] == " ".join(want.split()) and r["n_chars"] == len(r["text"])
+
+
+def test_names_do_not_bar_the_article():
+    body = "The main text of the page is a long sentence, with commas, and it goes on for quite some words. " * 3
+    want = " ".join(("A title " + body + "Short end.").split())
+    text = f"<h1>A title</h1><p>{body}</p><p>Short end.</p>"
+    side = "<div class=sidebar><p>Side text, which is long enough to look real.</p></div>"
+    comments = "<div id=comments><p>Nice article, I liked it a lot. Really, it is very good.</p></div>"
+    for page in (f"<div class='layout has-sidebar'><main><article>{text}</article></main>{side}</div>",
+                 f"<article class='post comments-open'>{text}{comments}</article>",
+                 f"<div class='search-form-page'><article>{text}</article>{side}</div>",
+                 f"<div class='search-form-page'><div>{text}</div>{side}</div>",
+                 f"<main><div class='entry menu-open'>{text}</div>{comments}</main>",
+                 f"<article><section id='form-validation'><h2>A title</h2><p>{body}</p></section><section><p>Short end.</p></section></article>"):
+        assert x.main_text(f"<html><head><title>T</title></head><body>{page}</body></html>") == want, page
+
+
+def test_head_without_end_tag():
+    article = "<article><p>The main text of the page, with commas, is here.</p></article>"
+    for start in ("<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title><body class=x><nav>Home</nav>"):
+        assert x.main_text(f"<!DOCTYPE html><html>{start}{article}") == "The main text of the page, with commas, is here."
+    assert x.main_text("<html><head><title>T</title>Bare text of a page, without any tags.") == "Bare text of a page, without any tags."
