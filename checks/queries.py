@@ -829,6 +829,20 @@ register("read_json_array_rejects", _array_rejects, """SELECT count(*) FILTER (W
     3 * count(*) FILTER (WHERE c_custkey % 10 <> 0) + count(*) FILTER (WHERE c_custkey % 10 = 0) AS bad FROM customer WHERE c_custkey BETWEEN 1 AND 50""")
 
 
+def _all_array_rejects(spark, sf):
+    """The same arrays for every customer, a file each; the good rows as they are and the number of rejects."""
+    path = scratch(spark)
+    spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
+        "concat('[{\"id\": ', c_custkey, ', \"text\": \"t\"}, null, 7, {\"id\": \"x\", \"text\": \"u\"}', if(c_custkey % 10 = 0, '', ']')) AS value"
+        ).write.option("maxRecordsPerFile", 1).text(path)
+    good, bad = readers.split_rejects(readers.read_json_array(spark, path, "id bigint, text string"))
+    return good.select("id", "text").unionByName(bad.groupBy().agg((-F.count(F.lit(1))).alias("id")).select("id", F.lit("rejected").alias("text")))
+
+
+register("read_json_array_rejects_all", _all_array_rejects, """SELECT c_custkey AS id, 't' AS text FROM customer WHERE c_custkey % 10 <> 0
+    UNION ALL SELECT -(3 * count(*) FILTER (WHERE c_custkey % 10 <> 0) + count(*) FILTER (WHERE c_custkey % 10 = 0)), 'rejected' FROM customer""")
+
+
 def _ragged(spark, sf):
     """Every third line has one cell more than the header; the cell stays in the reject."""
     path = scratch(spark)
