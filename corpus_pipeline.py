@@ -3,11 +3,12 @@
     quality         documents that the quadratic discriminant rejects go
     near_duplicates one document of each SimHash class stays, the one of least id
     repeats         passages of 200 bytes that occur elsewhere too are cut out of the texts
-    mixture         documents are repeated or left out so that each source comes near its target
+    mixture         documents are repeated or left out so that each source comes near its target; those without words leave
     packing         the texts' tokens are packed into sequences of 4,096
 
-All but the last return the columns of ``documents``. Every stage keeps rows with nulls: a missing text counts as an
-empty one, rows without an id are told apart by their text.
+All but the last return the columns of ``documents``. No stage drops a row for its nulls: a missing text counts as an
+empty one, rows without an id are told apart by their text. A document without words (missing, empty, or cut to nothing
+by ``repeats``) has nothing to mix and goes no further than the mixture.
 """
 
 from __future__ import annotations
@@ -56,12 +57,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: taken / size, rounded by a number drawn from its id."""
+    """Every document as often as the mix takes it: taken / size, rounded by a number drawn from its id.
+
+    Rows that repeat id, text and source each get their mean. Documents without words have size 0 and are not taken.
+    """
     taken = mix(docs)
-    share = F.try_divide("taken", "size")
+    share = F.try_divide(F.sum("taken"), F.sum("size"))
     draw = F.pmod(F.xxhash64("doc_id", "h", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
-    times = taken.where("taken > 0").withColumn("times", F.floor(share + draw).cast("int")).where("times > 0").groupBy(
-        F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("source").alias("_s")).agg(F.first("times").alias("times"))
+    times = taken.groupBy("doc_id", "h", "source").agg(share.alias("share")).withColumn("times", F.floor(F.col("share") + draw).cast("int")).where(
+        "share > 0 AND times > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("source").alias("_s"), "times")
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s"))
     return docs.join(times, same).withColumn("_i", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
 

@@ -101,3 +101,11 @@ def test_near_duplicates_with_repeated_and_missing_ids(spark):
     got = Counter((r["doc_id"], r["text"]) for r in rows_of(pipeline.near_duplicates_stage(spark, docs, SF)))
     assert sum(got.values()) == 4 and got[(7, " ".join(prose(1)))] == got[(7, " ".join(prose(2)))] == got[(None, " ".join(prose(4)))] == 1
     assert got[(None, " ".join(close))] + got[(None, " ".join(other))] == 1
+
+
+def test_mixture_of_repeated_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(5, "ten words", "en", "src1", 9)] * 4 + [(6, None, "en", "src1", 0)], KIND)
+    key = docs.selectExpr("doc_id", "xxhash64(text) AS h", "source").where("doc_id = 5").limit(1)
+    made = key.selectExpr("*", "10L AS size", "explode(array(0L, 0L, 0L, 40L)) AS taken")
+    monkeypatch.setattr(pipeline, "mix", lambda _: made)
+    assert [r["doc_id"] for r in rows_of(pipeline.mixture(spark, docs, SF))] == [5] * 4
