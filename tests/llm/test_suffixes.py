@@ -98,3 +98,18 @@ def test_texts_of_one_32_bit_hash_without_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert docs.where("doc_id IS NULL").select(F.hash("text").alias("h")).distinct().count() == 1
     assert got(repeated_bytes(docs)) == expected(rows)
+
+
+def test_copies_share_their_runs(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    rows = [(7, words(random.Random(5), 100))] * 40
+    most, write = [], suffixes.SuffixLevels.write
+
+    def seen(self, frame, kind):
+        out = write(self, frame, kind)
+        if kind == "runs":
+            most.append(out[1].agg(F.max(F.size("runs"))).first()[0])
+        return out
+    monkeypatch.setattr(suffixes.SuffixLevels, "write", seen)
+    assert got(repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"))) == expected(rows)
+    assert 0 < most[0] < 40

@@ -236,7 +236,7 @@ def repeated_bytes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     twice = windows.groupBy("tail", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tail", "hash")
     far = windows.where("single").join(twice, ["tail", "hash"], "left_semi").select("k1", "k2", "p1", (F.col("p1") + length).alias("p2"))
     runs = union_all([whole, close, far]).groupBy(F.col("k1").alias("m1"), F.col("k2").alias("m2")).agg(
-        F.collect_list(F.struct("p1", "p2")).alias("runs"))
+        F.collect_set(F.struct("p1", "p2")).alias("runs"))  # rows of one key have the same runs: each is kept once
     runs = index.write(runs, "runs")[1]
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in names)
     done = _packed(rows, ["k1", "k2", *names]).join(runs, same, "left").drop("m1", "m2").mapInArrow(_finish(names, keep_text), own + ENDS)
