@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import clustered
+from .centroids import oracle as centroid_sql
 from .chat import format_chat, read_back
 from .common import table
 from .digests import edited_pairs
+from .divergence import oracle as divergence_sql
+from .divergence import source_divergence
 from .extraction import extract
 from .knn import oracle as knn_sql
 from .knn import top_products
 from .mixing import mix
 from .mixing import oracle as mixing_sql
 from .packing import pack
+from .polytopes import nearest_neighbours
 from .quality import score_quality
 from .simhash import near_duplicates
 from .suffixes import repeated_bytes
@@ -90,3 +95,19 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents").select("doc_id", "text"),
                          table(spark, sf, "labels").select("doc_id", "quality"))
+
+
+@register("op11_centroid_clustering", centroid_sql())
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return clustered(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+@register("op12_source_divergence", divergence_sql())
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents").select("text", "lang", "source"))
+
+
+@register("op13_approximate_neighbours")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import functions as F
+    return nearest_neighbours(table(spark, sf, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
