@@ -24,7 +24,7 @@ from .runs import runs
 
 UNIT, SMOOTH, LEAST_DOCUMENTS, LEADING = 10**9, 2, 10, 10
 #: Terms of a tile, groups of a band (a task sees at most two bands), pairs of row blocks walked at a time.
-TERMS, BAND, WALKED = 1024, 1024, 1 << 18
+TERMS, BAND, WALKED = 1024, 1024, 1 << 16
 #: Distinct terms counted in a task before they are sent on; bytes of text cut into words at a time.
 HELD, PIECE = 400_000, 1 << 22
 #: Runs of letters A-Z in any case and of characters beyond ASCII, on bytes whose A-Z are lower-cased.
@@ -69,7 +69,9 @@ def _told(held: dict):
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """lang, source, term, n, docs over whole texts; nulls are empty strings, and an empty term marks that a group occurs."""
     empty = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(name) for c, name in ((text, "text"), (lang, "lang"), (source, "source"))]
-    return docs.select(*empty).mapInArrow(_count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # counted per task already: summed after the shuffle only
+    counted = docs.select(*empty).mapInArrow(_count, COUNTS).repartition("lang", "source", "term")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -87,15 +89,22 @@ def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nonzero cells (row, column) of a tile and the quadrants above them, ``top`` levels high."""
+    """Nonzero cells (row, column) of a tile and the quadrants above them, ``top`` levels high.
+
+    ``below[k]`` gives for each quadrant of level k its four children at level k - 1 (upper left, upper right, lower
+    left, lower right), -1 where a child holds no count; its last row stands for a quadrant that is not there itself.
+    """
 
     def __init__(self, row: np.ndarray, col: np.ndarray, share: np.ndarray, top: int):
         code = self.code(row, col)
         order = np.argsort(code)
-        self.share = share[order]
-        self.levels = [code[order]]
+        self.share, self.level, self.below = share[order], code[order], [np.zeros((0, 4), np.int32)]
         for _ in range(top):
-            self.levels.append(np.unique(self.levels[-1] >> 2))
+            above, parent = np.unique(self.level >> 2, return_inverse=True)
+            below = np.full((len(above) + 1, 4), -1, np.int32)
+            below[parent, self.level & 3] = np.arange(len(self.level))
+            self.below.append(below)
+            self.level = above
 
     @staticmethod
     def code(row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -105,49 +114,58 @@ class Tree:
             out |= ((row >> b) & 1) << (2 * b + 1) | ((col >> b) & 1) << (2 * b)
         return out
 
-    def find(self, level: int, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place among the level's quadrants, and whether the quadrant is there."""
-        nodes, code = self.levels[level], self.code(row, col)
-        at = np.searchsorted(nodes, code)
-        at[at == len(nodes)] = 0
-        return at, (nodes[at] == code if len(nodes) else np.zeros(len(code), bool))
+    def roots(self, row: int, columns: int) -> np.ndarray:
+        """Places of the highest quadrants of a row block, -1 where there is none."""
+        code = self.code(np.full(columns, row), np.arange(columns))
+        at = np.minimum(np.searchsorted(self.level, code), max(len(self.level) - 1, 0))
+        return np.where(self.level[at] == code, at, -1) if len(self.level) else np.full(columns, -1)
 
 
 def walk(tree: Tree, top: int, other: int, columns: int, rows: tuple[int, int], leaf, zero=None) -> None:
     """All pairs of row block 0 with row block ``other`` (0: pairs of different rows of block 0), from level ``top`` down.
 
-    ``leaf(a, b, column, at_a, has_a, at_b, has_b)`` gets pairs of rows of which at least one has a count in the column;
-    ``zero(level, a, b, width)`` pairs of row blocks without any in ``width`` columns. Without ``zero`` the second row is
-    full, and quadrants without a count of the first are skipped. ``rows``: how many rows either block has.
+    ``leaf(a, b, column, at_a, at_b)`` gets pairs of rows of which at least one has a count in the column, with the places
+    of their cells (-1: none); rows count within their block. ``zero(level, a, b, width)`` gets pairs of row blocks without
+    a count in ``width`` columns. Without ``zero`` the second row is full, and quadrants without a count of the first are
+    skipped. ``rows``: how many rows either block has.
     """
-    width = 1 << top
-    roots = np.arange(-(-columns // width))
-    todo = [(top, np.zeros(len(roots), np.int64), np.full(len(roots), other), roots)]
-    while todo:
-        level, a, b, c = todo.pop()
-        if len(a) > WALKED:
-            todo += [(level, a[i:i + WALKED], b[i:i + WALKED], c[i:i + WALKED]) for i in range(0, len(a), WALKED)]
-            continue
-        at_a, has_a = tree.find(level, a, c)
-        at_b, has_b = tree.find(level, b, c)
-        some = has_a | has_b if zero else has_a
+    def settled(level, a, b, c, at_a, at_b):
+        some = (at_a >= 0) | (at_b >= 0) if zero else at_a >= 0
+        if some.all():
+            return level, a, b, c, at_a, at_b
         if zero:
             gone = ~some
             start = c[gone] << level
-            zero(level, a[gone], b[gone] - (other << (top - level)), np.minimum(columns, start + (1 << level)) - start)
-        if level == 0:
-            some = some & (a != b)
-            leaf(a[some], b[some] - (other << top), c[some], at_a[some], has_a[some], at_b[some], has_b[some])
-            continue
-        a, b, c = a[some], b[some], c[some]
-        for da, db, dc in np.ndindex(2, 2, 2):
-            x, y, z = 2 * a + da, 2 * b + db, 2 * c + dc
-            low = y - (other << (top - level + 1))
-            keep = (x << (level - 1) < rows[0]) & (low << (level - 1) < rows[1]) & (z << (level - 1) < columns)
-            if not other:
-                keep &= x <= y
-            if keep.any():
-                todo.append((level - 1, x[keep], y[keep], z[keep]))
+            zero(level, a[gone], b[gone], np.minimum(columns, start + (1 << level)) - start)
+        return level, a[some], b[some], c[some], at_a[some], at_b[some]
+
+    n = -(-columns >> top)
+    none = np.zeros(n, np.int32)
+    todo = [settled(top, none, none, np.arange(n, dtype=np.int32), tree.roots(0, n), tree.roots(other, n))]
+    while todo:
+        level, a, b, c, at_a, at_b = todo.pop()
+        if len(a) > WALKED:
+            todo += [(level, *(z[i:i + WALKED] for z in (a, b, c, at_a, at_b))) for i in range(0, len(a), WALKED)]
+        elif level == 0:
+            leaf(a, b, c, at_a, at_b)
+        else:
+            level -= 1
+            below, found = tree.below[level + 1], []
+            for da, db, dc in np.ndindex(2, 2, 2):
+                x, y, z = 2 * a + da, 2 * b + db, 2 * c + dc
+                keep = (x << level < rows[0]) & (y << level < rows[1]) & (z << level < columns)
+                if not other:  # one order of each pair, and no row with itself
+                    keep &= x < y if level == 0 else x <= y
+                if not keep.all():
+                    x, y, z = x[keep], y[keep], z[keep]
+                    left, right = below[at_a[keep], 2 * da + dc], below[at_b[keep], 2 * db + dc]
+                else:
+                    left, right = below[at_a, 2 * da + dc], below[at_b, 2 * db + dc]
+                if len(x):
+                    found.append(settled(level, x, y, z, left, right)[1:])
+            # the eight children as one piece, or pieces would shrink eightfold at each level
+            if found:
+                todo.append((level, *(np.concatenate(z) for z in zip(*found))))
 
 
 class Sums:
@@ -161,6 +179,10 @@ class Sums:
         self.value = np.zeros((1 << self.top, 1 << self.top), np.int64)
         self.empty = [np.zeros((1 << self.top - level, 1 << self.top - level), np.int64) for level in range(self.top + 1)]
 
+    def add(self, pair: np.ndarray, value: np.ndarray) -> None:
+        """Values of pairs of one piece of a tile: fewer than 2^53 in sum, so that counting with weights is exact."""
+        self.value += np.bincount(pair, value, minlength=self.value.size).astype(np.int64).reshape(self.value.shape)
+
     def rows(self) -> pa.RecordBatch:
         """Both directions of every pair, the all-zero quadrants priced."""
         columns = self.empty[self.top]
@@ -207,10 +229,10 @@ def _tiles(batches):
         own = spot < 2 * BAND if a != b else slice(None)  # the totals still give the tile its columns
         tree, columns = Tree(row[own], column[own], share[own], top), int(column[-1]) + 1
 
-        def leaf(x, y, c, at_x, has_x, at_y, has_y):
-            p = np.where(has_x, tree.share[at_x], sums.p[0][x])
-            q = np.where(has_y, tree.share[at_y], sums.p[1][y])
-            np.add.at(sums.value, (x, y), apart(p, q))
+        def leaf(x, y, c, at_x, at_y):
+            p = np.where(at_x >= 0, tree.share[at_x], sums.p[0][x])
+            q = np.where(at_y >= 0, tree.share[at_y], sums.p[1][y])
+            sums.add((x.astype(np.int64) << top) + y, apart(p, q))
 
         def zero(level, x, y, width):
             np.add.at(sums.empty[level], (x, y), width)
@@ -221,7 +243,7 @@ def _tiles(batches):
         walk(tree, top, 0, columns, (n, n), leaf, zero)
         best = []
 
-        def against(x, y, c, at_x, has_x, at_y, has_y):
+        def against(x, y, c, at_x, at_y):
             p, q = tree.share[at_x], tree.share[at_y]
             more = p > q
             best.append((x[more], c[more], apart(p[more], q[more])))
