@@ -17,7 +17,7 @@ from veilframe.functions.core import blank, column
 from veilframe.functions import rewrite
 from veilframe.functions.pseudonym import Pseudonyms
 from veilframe.functions.sqlnames import register_functions
-from veilframe.operators import audit, catalogs, policy, preflight, records, reports, sanitize, scan
+from veilframe.operators import audit, catalogs, dictionary, policy, preflight, records, reports, sanitize, scan
 from veilframe.plans import config, flows
 from veilframe.sources import readers, writers
 from veilframe.sources.layout import spread
@@ -657,7 +657,7 @@ def _terms(spark, sf):
         F.explode_outer(F.split("p_name", " ")).alias("term"), F.lit("LOCATION").alias("entity_type"))
     text = spread(spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type")).select(
         F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("text"))
-    return scan.term_hits(text, ["id"], "text", words).select("id", "entity_type", "hit_start", "hit_end")
+    return dictionary.term_hits(text, ["id"], "text", words).select("id", "entity_type", "hit_start", "hit_end")
 
 
 register("term_dictionary", _terms, """WITH t AS (SELECT p_partkey AS id, p_type || ' ' || p_name AS text FROM part),
@@ -815,22 +815,8 @@ register("sanitize_json_unknown_keys", _mixed_json, _MASKED + """SELECT id, CASE
     CASE WHEN id % 5 = 0 THEN '{"note": "' || src.text END AS _corrupt_record FROM out JOIN src USING (id) WHERE sanitized_text IS NOT NULL""")
 
 
-def _array_rejects(spark, sf):
-    """Every file holds an object, a null, a number and an object of another type; each tenth file is cut off."""
-    path = scratch(spark)
-    spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey").selectExpr(
-        "concat('[{\"id\": ', c_custkey, ', \"text\": \"t\"}, null, 7, {\"id\": \"x\", \"text\": \"u\"}', if(c_custkey % 10 = 0, '', ']')) AS value",
-        "c_custkey % 50 AS f", "c_custkey").where("c_custkey BETWEEN 1 AND 50").select("value", "f").write.partitionBy("f").text(path)
-    good, bad = readers.split_rejects(readers.read_json_array(spark, path, "id bigint, text string"))
-    return good.agg(F.count(F.lit(1)).alias("good")).join(bad.agg(F.count(F.lit(1)).alias("bad")), F.lit(True))
-
-
-register("read_json_array_rejects", _array_rejects, """SELECT count(*) FILTER (WHERE c_custkey % 10 <> 0) AS good,
-    3 * count(*) FILTER (WHERE c_custkey % 10 <> 0) + count(*) FILTER (WHERE c_custkey % 10 = 0) AS bad FROM customer WHERE c_custkey BETWEEN 1 AND 50""")
-
-
 def _all_array_rejects(spark, sf):
-    """The same arrays for every customer, a file each; the good rows as they are and the number of rejects."""
+    """A file per customer with an object, a null, a number and an object of another type; each tenth is cut off. The good rows and the number of rejects."""
     path = scratch(spark)
     spark.read.parquet(f"{sf}/customer.parquet").selectExpr(
         "concat('[{\"id\": ', c_custkey, ', \"text\": \"t\"}, null, 7, {\"id\": \"x\", \"text\": \"u\"}', if(c_custkey % 10 = 0, '', ']')) AS value"
@@ -914,7 +900,7 @@ th AS (SELECT DISTINCT id, st AS hit_start, en AS hit_end FROM r JOIN d USING (r
 def _term_query(name, kind):
     def run(spark, sf):
         text, terms = _dictionary(spark, sf, kind)
-        return scan.term_hits(text, ["id"], "text", terms).select("id", "entity_type", "hit_start", "hit_end")
+        return dictionary.term_hits(text, ["id"], "text", terms).select("id", "entity_type", "hit_start", "hit_end")
     register(name, run, f"WITH {_TERM_HITS} SELECT id, '{kind}' AS entity_type, hit_start, hit_end FROM th")
 
 
@@ -924,7 +910,7 @@ _term_query("location_dictionary", "LOCATION")
 
 def _masked_terms(spark, sf):
     text, terms = _dictionary(spark, sf, "PERSON")
-    found = scan.with_terms(text, ["id"], terms, book=BOOK.only(["US_SSN"]))
+    found = dictionary.with_terms(text, terms, book=BOOK.only(["US_SSN"]))
     return found.select("id", column(rewrite.sanitize_sql("text", "hits", "mask")).alias("sanitized_text"))
 
 
@@ -1016,3 +1002,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 register("flagship_mask", flagship, o.with_(o.hits(duck_source("documents"), BOOK.only(
     ["EMAIL_ADDRESS", "PHONE_NUMBER", "CREDIT_CARD", "IP_ADDRESS"])), o.SUMMARY, o.kept(), o.rendered(o.MASK)) +
     "SELECT id AS doc_id, out.sanitized_text, hit_count, entity_types, risk_level FROM scan JOIN out USING (id)")
+
+from . import deep  # noqa: E402, F401  (registers its own queries)

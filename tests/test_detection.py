@@ -11,7 +11,8 @@ from veilframe.functions.core import HITS_TYPE, column
 from veilframe.functions.overlap import drop_contained, resolve_overlaps
 from veilframe.functions.rewrite import MASK_TOKEN, render_sql
 from veilframe.functions.spans import hits_sql
-from veilframe.operators.scan import explain, hits_table, scan, term_hits, with_hits, with_terms
+from veilframe.operators.dictionary import term_hits, with_terms
+from veilframe.operators.scan import explain, hits_table, scan, with_hits
 
 # (pattern, text, expected): pinned behaviour of the patterns.
 TRUTH = [
@@ -232,5 +233,5 @@ def test_dictionary_of_phrases_in_long_texts(spark, texts):
     got = {(r.id, r.entity_type, r.hit_start, r.hit_end) for r in term_hits(df, ["id"], "text", terms).collect()}
     n = len("the and " * 100_000)
     assert got == {(0, "PERSON", 0, 3), (0, "LOCATION", 13, 22), (0, "LOCATION", 17, 22), (5, "PERSON", n, n + 3), (5, "LOCATION", n + 7, n + 16), (5, "LOCATION", n + 11, n + 16)}
-    found = with_terms(df, ["id"], terms, book=default_book().only(["US_SSN"]))
+    found = with_terms(df, terms, book=default_book().only(["US_SSN"]))
     assert {r.id: len(r.hits) for r in found.collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0, 5: 2}

@@ -26,7 +26,7 @@ def test_entry_and_names(spark):
 
 
 @pytest.mark.parametrize("name", ["sanitize_nested", "metrics", "sql_functions", "sql_table_function", "column_profile", "exclude_drop",
-                                  "process_record_recursive", "audit_policy", "audit_preflight", "preflight_gate", "sanitize_record_policy",
+                                  "process_record_recursive", "sanitize_variant", "variant_policy", "audit_policy", "audit_preflight", "preflight_gate", "sanitize_record_policy",
                                   "nested_policy_skip", "sanitize_json_unknown_keys", "scan_paged_conversations", "policy_per_row", "report_file"])
 def test_one_detection_per_row(spark, name):
     """The optimized plan runs a pattern in one place only."""

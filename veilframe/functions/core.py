@@ -65,10 +65,35 @@ def running(values: str, zero: str, combine) -> str:
     at every step. ``combine(a, x)`` must be associative with ``zero`` as its identity.
     """
     fold = "(rn_a, rn_x) -> " + combine("rn_a", "rn_x")
-    block = "cast(rn_i div 64 as int)"
-    totals = (f"transform(sequence(0, cast(size(rn_v) div 64 as int)), "
+    block = "shiftright(rn_i, 6)"
+    totals = (f"transform(sequence(0, shiftright(size(rn_v), 6)), "
               f"rn_c -> aggregate(slice(rn_v, rn_c * 64 + 1, 64), {zero}, {fold}))")
     before = f"transform(rn_s, (rn_y, rn_j) -> aggregate(slice(rn_s, 1, rn_j), {zero}, {fold}))"
     each = (f"transform(rn_v, (rn_z, rn_i) -> aggregate(slice(rn_v, {block} * 64 + 1, rn_i % 64), "
             f"get(rn_p, {block}), {fold}))")
     return let("rn_v", values, let("rn_s", totals, let("rn_p", before, each)))
+
+
+def leading(size: str, holds) -> str:
+    """How many of the positions 0, 1, ... below ``size`` satisfy ``holds``, by bisection.
+
+    ``holds(position)`` must be true up to some position and false from there on.
+    """
+    steps = ", ".join(str(1 << b) for b in range(27, -1, -1))
+    return (f"aggregate(array({steps}), 0, (bi_c, bi_p) -> case when bi_c + bi_p <= {size} and {holds('bi_c + bi_p - 1')} "
+            f"then bi_c + bi_p else bi_c end)")
+
+
+def pieces(text: str, pattern: str, value: str = "{}") -> str:
+    """array<struct<start,end,word,before>> of all matches of a pattern, in linear time.
+
+    ``value`` is applied to each match; ``before`` is the place of its word when all words are joined by single characters.
+    """
+    pairs = (f"zip_with(split({text}, {lit(pattern)}, -1), transform(regexp_extract_all({text}, {lit(pattern)}, 0), pi_w -> named_struct("
+             f"'w', {value.format('pi_w')}, 'n', length(pi_w))), (pi_g, pi_w) -> named_struct('gap', length(pi_g), 'n', pi_w.n, 'w', pi_w.w))")
+    places = running("transform(pi_z, pi_c -> pi_c.gap + coalesce(pi_c.n, 0))", "0", lambda a, x: f"{a} + {x}")
+    joined = running("transform(pi_z, pi_c -> coalesce(length(pi_c.w), 0) + 1)", "0", lambda a, x: f"{a} + {x}")
+    start = "pi_d.gap + get(pi_y.places, pi_k)"
+    found = (f"transform(filter(pi_z, pi_c -> pi_c.n is not null), (pi_d, pi_k) -> named_struct('start', {start}, 'end', {start} + pi_d.n, "
+             f"'word', pi_d.w, 'before', get(pi_y.joined, pi_k)))")
+    return let("pi_z", pairs, let("pi_y", f"named_struct('places', {places}, 'joined', {joined})", found))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 
 from ..catalog.rules import TERMS_SCREEN, Rule, RuleBook, context_words, normal_words, starts_screen
-from .core import HITS_TYPE, NO_HITS, let, lit, running
+from .core import HITS_TYPE, NO_HITS, leading, let, lit, pieces, running
 from .overlap import drop_contained
 from .validators import checked
 
@@ -79,24 +79,46 @@ def _matches(text: str, rules) -> str:
     return let("sp_s", _screens(text, rules), f"array({', '.join(per_rule)})")
 
 
-def preceding_words(text: str, start: str, book: RuleBook) -> str:
-    """The last words before a hit: lower case, punctuation as single spaces, padded.
+_BLANKS = chr(92) + "s+"
+_MARKS = "[^" + chr(92) + "p{L}" + chr(92) + "p{N}#]+"
+
+
+def _tail_words(start: str, width: int) -> str:
+    """The words among the last characters before a hit; the first of them may be cut."""
+    tail = f"substring(sp_t, greatest({start} - {width} + 1, 1), least({start}, {width}))"
+    return f"filter(split({tail}, {lit(_BLANKS)}), sp_u -> sp_u <> '')"
+
+
+def _near_in(words: str, wanted: int) -> str:
+    """Whether a context word stands in the last of these words: lower case, punctuation as single spaces, padded."""
+    last = f"array_join(slice({words}, greatest(size({words}) - {wanted - 1}, 1), {wanted}), ' ')"
+    plain = f"concat(' ', regexp_replace(lower({last}), {lit(_MARKS)}, ' '), ' ')"
+    return let("sp_p", plain, "exists(sp_q.words, sp_v -> contains(sp_p, sp_v))")
 
-    The words are cut from the last characters before the hit; where these hold too few whole words, from the whole
-    text before it, so words of any length count.
-    """
-    width, wanted = book.context_look, book.context_words
 
-    def cut(piece: str) -> str:
-        return f"filter(split({piece}, {lit(chr(92) + 's+')}), sp_w -> sp_w <> '')"
+def _context_index() -> str:
+    """Where the words of the text start, its tokens, and the tokens in lower case joined by blanks; linear in the text."""
+    token = "[" + _MARKS[2:]
+    return (f"named_struct('starts', transform({pieces('sp_t', chr(92) + 'S+')}, sp_e -> sp_e.start), 'tokens', {pieces('sp_t', token, 'lower({})')}, "
+            f"'plain', array_join(transform(regexp_extract_all(sp_t, {lit(token)}, 0), sp_e -> lower(sp_e)), ' '))")
 
-    tail = f"substring({text}, greatest({start} - {width} + 1, 1), least({start}, {width}))"
-    words = let("sp_c", cut(tail), f"case when size(sp_c) > {wanted} or {start} <= {width} then sp_c "
-                                   f"else {cut(f'substring({text}, 1, {start})')} end")
-    last = let("sp_l", words, f"array_join(slice(sp_l, greatest(size(sp_l) - {book.context_words - 1}, 1), "
-                              f"{book.context_words}), ' ')")
-    plain = f"regexp_replace(lower({last}), {lit('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}#]+')}, ' ')"
-    return f"concat(' ', {plain}, ' ')"
+
+def _near_by_index(wanted: int) -> str:
+    """The same answer as ``_near_in`` for the words before sp_x.start, by bisections in the index instead of cutting the text.
+
+    The last token is cut where the hit starts. What is copied of a text whose words are very long is searched as it is.
+    """
+    def tokens_before(bound):
+        return leading("size(sp_ix.tokens)", lambda i: f"get(sp_ix.tokens, {i}).start < {bound}")
+
+    words_before = leading("size(sp_ix.starts)", lambda i: f"get(sp_ix.starts, {i}) < sp_x.start")
+    low = let("sp_b", f"get(sp_ix.starts, greatest({words_before} - {wanted}, 0))", tokens_before("sp_b"))
+    ends = f"named_struct('low', {low}, 'last', {tokens_before('sp_x.start')} - 1)"
+    first, last = "get(sp_ix.tokens, sp_a.low).before", "get(sp_ix.tokens, sp_a.last)"
+    said = (f"concat(' ', substring(sp_ix.plain, {first} + 1, {last}.before - {first}), "
+            f"lower(substring(sp_t, {last}.start + 1, least({last}.`end`, sp_x.start) - {last}.start)), ' ')")
+    found = f"case when sp_a.low <= sp_a.last then {let('sp_p', said, 'exists(sp_q.words, sp_v -> contains(sp_p, sp_v))')} else false end"
+    return let("sp_a", ends, found)
 
 
 def hinted_entities(hint: str | None, book: RuleBook) -> set[str]:
@@ -119,17 +141,25 @@ def hits_sql(text: str, book: RuleBook, hint: str | None = None, boosted: str |
     seen = "sp_q.hinted"
     if boosted is not None:
         seen = f"(sp_q.hinted or coalesce(array_contains({boosted}, sp_q.entity), false))"
-    near = let("sp_p", preceding_words("sp_t", "sp_x.start", book),
-               "exists(sp_q.words, sp_v -> contains(sp_p, sp_v))")
+    # Per fired rule its spans, each with the words of the last characters before it. Where these are too few, as in
+    # text with hardly any blanks, the words are looked up in an index of the text, built once and only then.
+    width, wanted = book.context_look, book.context_words
+    words = f"case when size(sp_q.words) > 0 and not {seen} then {_tail_words('sp_g.start', width)} end"
+    spans = f"transform({_spans(rules)}, sp_g -> named_struct('start', sp_g.start, 'end', sp_g.`end`, 'words', {words}))"
+    rule = "get(sp_rules, sp_i)"
+    spans = f"transform(sp_f, sp_i -> {let('sp_q', rule, spans)})"
+    short = f"(size(sp_x.words) <= {wanted} and sp_x.start > {width})"
+    index = f"case when exists(sp_w, sp_g -> exists(sp_g, sp_x -> {short})) then {_context_index()} end"
+    near = f"case when sp_x.words is null then false when {short} then {_near_by_index(wanted)} else {_near_in('sp_x.words', wanted)} end"
     score = (f"case when size(sp_q.words) > 0 and ({seen} or {near}) "
              f"then least(1.0D, greatest(sp_q.base + {lit(float(book.boost))}, {lit(float(book.boost_floor))})) "
              f"else sp_q.base end")
-    scored = (f"transform({_spans(rules)}, sp_x -> named_struct('start', sp_x.start, 'end', sp_x.`end`, "
+    scored = (f"transform(get(sp_w, sp_s), sp_x -> named_struct('start', sp_x.start, 'end', sp_x.`end`, "
               f"'entity_type', sp_q.entity, 'score', {score}, 'pattern_id', sp_q.id))")
-    per_rule = let("sp_q", f"get({_rule_table(rules, book, always)}, sp_i)",
-                   f"filter({scored}, sp_h -> sp_h.score >= sp_q.lim)")
+    per_rule = let("sp_q", rule, f"filter({scored}, sp_h -> sp_h.score >= sp_q.lim)")
     fired = f"filter(sequence(0, {len(rules) - 1}), sp_n -> coalesce(size(get(sp_m, sp_n)), 0) > 0)"
-    gathered = f"cast(flatten(transform(sp_f, sp_i -> {per_rule})) as {HITS_TYPE})"
+    gathered = f"cast(flatten(transform(sp_f, (sp_i, sp_s) -> {per_rule})) as {HITS_TYPE})"
+    gathered = let("sp_rules", _rule_table(rules, book, always), let("sp_w", spans, let("sp_ix", index, gathered)))
     found = let("sp_f", fired, f"case when size(sp_f) = 0 then {NO_HITS} "
                                f"else {drop_contained(f'sort_array({gathered})')} end")
     return let("sp_t", text, f"case when sp_t is null then {NO_HITS} "

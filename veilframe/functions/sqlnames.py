@@ -10,7 +10,7 @@ from .core import HITS_TYPE, let
 from .decode import decode_sql
 from .pseudonym import Pseudonyms
 from .rewrite import sanitize_sql
-from .risk import max_rank_sql, tier_sql, types_sql
+from .risk import entity_tier_sql, max_rank_sql, tier_sql, types_sql
 from .spans import hits_sql
 
 
@@ -20,9 +20,14 @@ def register_functions(spark: SparkSession, book: RuleBook | None = None, prefix
 
     pii_hits(t), pii_risk(t), pii_types(t), pii_mask(t), pii_redact(t), pii_pseudonymize(t), pii_exclude(t) and
     pii_decode(t); each call detects anew. pii_scan(t) detects once and gives a struct of hits, hit_count, risk_level,
-    entity_types and masked. A row per hit: explode it in an outer query,
-    ``SELECT h.* FROM (SELECT pii_hits(text) AS hs FROM t) LATERAL VIEW OUTER explode(hs) x AS h``.
+    entity_types and masked. pii_hit_rows(t) is a table function, a row per hit and without the matched text:
+    ``SELECT id, h.* FROM t, LATERAL pii_hit_rows(text) h``.
+
+    A body that detects and rewrites nests deeper than the analyzer's default of 100 rounds allows, so the session's
+    ``spark.sql.analyzer.maxIterations`` is raised to 400 where it is lower.
     """
+    if int(spark.conf.get("spark.sql.analyzer.maxIterations")) < 400:
+        spark.conf.set("spark.sql.analyzer.maxIterations", "400")
     book = book or default_book()
     hits = hits_sql("t", book)
     scalar = {
@@ -42,4 +47,9 @@ def register_functions(spark: SparkSession, book: RuleBook | None = None, prefix
     for name, (kind, body) in scalar.items():
         spark.sql(f"create or replace temporary function {prefix}_{name}(t string) returns {kind} return {body}")
         made.append(f"{prefix}_{name}")
+    # the array of hits is bound first, so that its generator is the only place that detects
+    spark.sql(f"create or replace temporary function {prefix}_hit_rows(t string) returns table (entity_type string, hit_start int, hit_end int, "
+              f"score double, risk_level string, pattern_id int) return select x.h.entity_type, x.h.start, x.h.`end`, round(x.h.score, 3), "
+              f"{entity_tier_sql('x.h.entity_type')}, x.h.pattern_id from explode({hits}) as x(h)")
+    made.append(f"{prefix}_hit_rows")
     return made

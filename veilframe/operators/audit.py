@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..catalog.risk import ENTITY_TIER
 from ..functions.core import column
 from ..functions.risk import tier_sql
 from .reports import rank_column
@@ -45,21 +46,46 @@ def audit_events(result: DataFrame, *, endpoint: str, action, by: list[str] | No
         F.coalesce(F.sum("batch_size"), F.lit(0)).alias("batch_size"), F.coalesce(F.sum("hit_count"), F.lit(0)).alias("hit_count"),
         F.coalesce(F.sum("excluded_count"), F.lit(0)).alias("excluded_count"), F.array_sort(F.collect_set("_type")).alias("entity_types"),
         F.coalesce(F.max("risk_rank"), F.lit(0)).alias("risk_rank"))
-    return folded.withColumns({
+    return _event(folded, keys, endpoint=endpoint, action=action, mode=mode, policy=policy, caller_name=caller_name, subject_id=subject_id,
+                  destination=destination, correlation_id=correlation_id, request_id=request_id, duration_ms=duration_ms)
+
+
+def _event(counts: DataFrame, keys: list[str], *, endpoint, action, mode, policy, caller_name, subject_id, destination, correlation_id,
+           request_id, duration_ms) -> DataFrame:
+    """Counters with what is known of the run around them."""
+    return counts.withColumns({
         "audit": F.lit(True), "endpoint": F.lit(endpoint), "request_id": F.lit(request_id or str(uuid.uuid4())),
         "client_ip": F.lit(None).cast("string"), "api_key_prefix": F.lit(None).cast("string"),
         "caller_name": _c(caller_name), "mode": _c(mode), "action": _c(action),
         "risk_level": column(tier_sql("risk_rank")), "duration_ms": F.round(F.lit(duration_ms).cast("double"), 2),
         "policy": _c(policy), "subject_id": _c(subject_id), "destination": _c(destination),
         "correlation_id": _c(correlation_id),
-    }).select(*(by or []), *EVENT_COLUMNS)
+    }).select(*keys, *EVENT_COLUMNS)
 
 
-def observed(result: DataFrame, name: str = "audit") -> DataFrame:
-    """Attach the run counters to a job that writes ``result`` anyway; read them with an Observation."""
+def observed(result: DataFrame, observation: Observation | str = "audit") -> DataFrame:
+    """Attach the run's counters to a job that writes ``result`` anyway: no second pass and no second detection.
+
+    Pass an ``Observation``, write the frame by one action, then make the event with ``observed_event``. Entity types
+    are counted as a set: as many as the catalog has.
+    """
     excluded = F.count_if(F.col("excluded")) if "excluded" in result.columns else F.lit(0)
-    return result.observe(name, F.count(F.lit(1)).alias("batch_size"), F.sum("hit_count").alias("hit_count"),
-                          excluded.alias("excluded_count"), F.max(rank_column("risk_level")).alias("risk_rank"))
+    known = sorted(ENTITY_TIER)
+    types = [F.max(F.array_contains("entity_types", t)).alias(f"has_{t}") for t in known]
+    other = F.array_except(F.coalesce("entity_types", F.array().cast("array<string>")), F.array(*[F.lit(t) for t in known]))
+    return result.observe(observation, F.count(F.lit(1)).alias("batch_size"), F.sum("hit_count").alias("hit_count"), excluded.alias("excluded_count"),
+                          F.max(rank_column("risk_level")).alias("risk_rank"), F.array_distinct(F.flatten(F.collect_set(other))).alias("other_types"), *types)
+
+
+def observed_event(spark: SparkSession, observation: Observation, *, endpoint: str, action, mode=None, policy=None, caller_name=None,
+                   subject_id=None, destination=None, correlation_id=None, request_id: str | None = None, duration_ms: float | None = None) -> DataFrame:
+    """The run's audit event from the counters of ``observed``, once its one action is done; columns as ``audit_events``."""
+    told = observation.get
+    types = sorted({k[4:] for k, v in told.items() if k.startswith("has_") and v} | set(told.get("other_types") or ()))
+    row = [(told["batch_size"], told["hit_count"] or 0, told["excluded_count"] or 0, types, int(told["risk_rank"] or 0))]
+    counts = spark.createDataFrame(row, "batch_size bigint, hit_count bigint, excluded_count bigint, entity_types array<string>, risk_rank int")
+    return _event(counts, [], endpoint=endpoint, action=action, mode=mode, policy=policy, caller_name=caller_name, subject_id=subject_id,
+                  destination=destination, correlation_id=correlation_id, request_id=request_id, duration_ms=duration_ms)
 
 
 def between(events: DataFrame, since, until, ts: str = "ts") -> DataFrame:

@@ -17,6 +17,7 @@ from ..functions.pseudonym import Pseudonyms
 from ..functions.risk import max_rank_sql, tier_sql, types_sql
 from ..functions.rewrite import sanitize_sql
 from ..functions.spans import hinted_entities, hits_sql
+from ..functions.variants import replaced_udf, strings_udf
 from .policy import verdict_sql
 from .sanitize import kept_rows
 
@@ -45,10 +46,11 @@ def _reference(schema: T.StructType, path: str) -> str:
     return ident_flat(path) if path in schema.fieldNames() else ident(path)
 
 
-def _targets(df: DataFrame, fields, hints=()) -> list[str]:
+def _targets(df: DataFrame, fields, hints=(), partly: bool = False) -> list[str]:
     """String fields to treat: those named, else all string columns and the nested ones that a profile knows.
 
-    A name that the table lacks is an error, as a typing error would leave a column as it is.
+    A name that the table lacks is an error, as a typing error would leave a column as it is; so is a named column with
+    text at depth, unless ``partly`` says that the caller reports it as skipped.
     """
     if fields is None:
         known = string_columns(df)
@@ -57,6 +59,9 @@ def _targets(df: DataFrame, fields, hints=()) -> list[str]:
         missing = [f for f in fields if _field_type(df.schema, f) is None]
         if missing:
             raise ValueError(f"no such field: {missing}; columns: {df.columns}")
+        deep = [f for f in fields if not isinstance(_field_type(df.schema, f), T.StringType) and _holds_text(_field_type(df.schema, f), f)]
+        if deep and not partly:
+            raise ValueError(f"text at depth in {deep}: sanitize_nested treats it")
     return [f for f in fields if isinstance(_field_type(df.schema, f), T.StringType)]
 
 
@@ -151,85 +156,105 @@ def _with_contract(df: DataFrame, before: list, include_excluded: bool = True) -
     return df if include_excluded else kept_rows(df)
 
 
-def _leaves(ref: str, kind: T.DataType, depth: int = 0) -> str:
-    """All strings inside a value of type ``kind``, in order, as one array."""
+def _none(leaf) -> str:
+    return f"cast(array() as array<{leaf.typeName()}>)"
+
+
+def _leaves(ref: str, kind: T.DataType, leaf=T.StringType, depth: int = 0) -> str:
+    """All leaves of one type (strings, or variants) inside a value of type ``kind``, in order, as one array."""
     var = f"nl_{depth}"
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, leaf):
         return f"array({ref})"
     if isinstance(kind, T.StructType):
-        parts = [_leaves(f"{ref}.`{f.name}`", f.dataType, depth + 1) for f in kind if _has_string(f.dataType)]
+        parts = [_leaves(f"{ref}.{ident_flat(f.name)}", f.dataType, leaf, depth + 1) for f in kind if _has(f.dataType, leaf)]
         return f"concat({', '.join(parts)})"
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
     values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
-    return f"coalesce(flatten(transform({values}, {var} -> {_leaves(var, inner, depth + 1)})), cast(array() as array<string>))"
+    return f"coalesce(flatten(transform({values}, {var} -> {_leaves(var, inner, leaf, depth + 1)})), {_none(leaf)})"
 
 
-def _leaf_paths(kind: T.DataType, path: str, ref: str, depth: int = 0) -> str:
+def _leaf_paths(kind: T.DataType, path: str, ref: str, leaf=T.StringType, depth: int = 0) -> str:
     """The path of every leaf, in the order of ``_leaves``; elements of arrays and maps share their path."""
     var = f"nq_{depth}"
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, leaf):
         return f"array({lit(path)})"
     if isinstance(kind, T.StructType):
-        parts = [_leaf_paths(f.dataType, f"{path}.{f.name}", f"{ref}.`{f.name}`", depth + 1) for f in kind if _has_string(f.dataType)]
+        parts = [_leaf_paths(f.dataType, f"{path}.{f.name}", f"{ref}.{ident_flat(f.name)}", leaf, depth + 1) for f in kind if _has(f.dataType, leaf)]
         return f"concat({', '.join(parts)})"
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
     values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
-    return (f"coalesce(flatten(transform({values}, {var} -> {_leaf_paths(inner, path, var, depth + 1)})), "
+    return (f"coalesce(flatten(transform({values}, {var} -> {_leaf_paths(inner, path, var, leaf, depth + 1)})), "
             f"cast(array() as array<string>))")
 
 
-def _leaf_count(ref: str, kind: T.DataType, depth: int = 0) -> str | int:
+def _leaf_count(ref: str, kind: T.DataType, leaf=T.StringType, depth: int = 0) -> str | int:
     """Number of leaves: a Python number if the type fixes it, else an expression."""
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, leaf):
         return 1
     if isinstance(kind, T.StructType):
-        counts = [_leaf_count(f"{ref}.`{f.name}`", f.dataType, depth + 1) for f in kind if _has_string(f.dataType)]
+        counts = [_leaf_count(f"{ref}.{ident_flat(f.name)}", f.dataType, leaf, depth + 1) for f in kind if _has(f.dataType, leaf)]
         return sum(counts) if all(isinstance(c, int) for c in counts) else "(" + " + ".join(map(str, counts)) + ")"
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
     values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
-    each = _leaf_count(f"nc_{depth}", inner, depth + 1)
+    each = _leaf_count(f"nc_{depth}", inner, leaf, depth + 1)
     if isinstance(each, int):
         return f"coalesce(size({values}) * {each}, 0)"
     return f"coalesce(aggregate({values}, 0, (nc_a{depth}, nc_{depth}) -> nc_a{depth} + {each}), 0)"
 
 
-def _put_back(ref: str, kind: T.DataType, base: str, depth: int = 0) -> str:
-    """The value with its leaves taken from the array ``nv_new``, from position ``base`` on."""
+def _put_back(ref: str, kind: T.DataType, base: str, leaf=T.StringType, depth: int = 0) -> str:
+    """The value with its leaves of one type taken from the array ``nv_new``, from position ``base`` on."""
     var, at = f"nv_{depth}", f"nv_i{depth}"
-    if isinstance(kind, T.StringType):
+    if isinstance(kind, leaf):
         return f"get(nv_new, {base})"
-    if not _has_string(kind):
+    if not _has(kind, leaf):
         return ref
     if isinstance(kind, T.StructType):
         fields, before = [], [base]
         for f in kind:
-            inner = f"{ref}.`{f.name}`"
-            fields.append(f"{lit(f.name)}, {_put_back(inner, f.dataType, ' + '.join(before), depth + 1)}")
-            if _has_string(f.dataType):
-                before.append(str(_leaf_count(inner, f.dataType, depth + 1)))
+            inner = f"{ref}.{ident_flat(f.name)}"
+            fields.append(f"{lit(f.name)}, {_put_back(inner, f.dataType, ' + '.join(before), leaf, depth + 1)}")
+            if _has(f.dataType, leaf):
+                before.append(str(_leaf_count(inner, f.dataType, leaf, depth + 1)))
         return f"case when {ref} is null then null else named_struct({', '.join(fields)}) end"
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType
     values = ref if isinstance(kind, T.ArrayType) else f"map_values({ref})"
-    each = _leaf_count(var, inner, depth + 1)
+    each = _leaf_count(var, inner, leaf, depth + 1)
     if isinstance(each, int):
-        body = f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + {at} * {each}', depth + 1)})"
+        body = f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + {at} * {each}', leaf, depth + 1)})"
     else:
         counts = f"transform({values}, {var} -> {each})"
         body = let(f"nv_o{depth}", running(counts, "0", lambda a, x: f"{a} + {x}"),
-                   f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + get(nv_o{depth}, {at})', depth + 1)})")
+                   f"transform({values}, ({var}, {at}) -> {_put_back(var, inner, f'{base} + get(nv_o{depth}, {at})', leaf, depth + 1)})")
     if isinstance(kind, T.MapType):
         body = f"map_from_arrays(map_keys({ref}), {body})"
     return f"case when {ref} is null then null else {body} end"
 
 
-def _has_string(kind: T.DataType) -> bool:
+def _inner(kind: T.DataType) -> list[T.DataType]:
     if isinstance(kind, T.StructType):
-        return any(_has_string(f.dataType) for f in kind)
+        return [f.dataType for f in kind]
     if isinstance(kind, T.ArrayType):
-        return _has_string(kind.elementType)
-    if isinstance(kind, T.MapType):
-        return _has_string(kind.valueType)
-    return isinstance(kind, T.StringType)
+        return [kind.elementType]
+    return [kind.valueType] if isinstance(kind, T.MapType) else []
+
+
+def _has(kind: T.DataType, leaf) -> bool:
+    return isinstance(kind, leaf) or any(_has(k, leaf) for k in _inner(kind))
+
+
+#: Leaves that may hold text, and leaves that hold none. Any other type is refused, as text in it would stay in clear.
+TEXTUAL = (T.StringType, T.VariantType)
+PLAIN = (T.NumericType, T.BooleanType, T.BinaryType, T.DateType, T.TimestampType, T.TimestampNTZType, T.NullType, T.AnsiIntervalType,
+         T.CalendarIntervalType, getattr(T, "TimeType", T.NullType))
+
+
+def _holds_text(kind: T.DataType, path: str) -> bool:
+    """Whether there is text at any depth; an unknown type is an error."""
+    inner = _inner(kind)
+    if not inner and not isinstance(kind, (*TEXTUAL, *PLAIN, T.StructType)):
+        raise TypeError(f"column {path}: no way to look for text in the type {kind.simpleString()}; leave it out by naming the columns to treat")
+    return isinstance(kind, TEXTUAL) or any([_holds_text(k, path) for k in inner])
 
 
 def _rewritten(df: DataFrame, policy, mode: str, skip, redact_with: str, how: Pseudonyms) -> DataFrame:
@@ -257,26 +282,38 @@ def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleB
                     policy=None, profile: str | Profile | None = None, custom_profiles: dict | None = None, skip=(),
                     redact_with: str = "", how: Pseudonyms = Pseudonyms(), report: bool = False,
                     include_excluded: bool = True) -> DataFrame:
-    """Sanitize every string at any depth of struct, array and map columns; other leaves unchanged.
+    """Sanitize every string at any depth of struct, array, map and VARIANT columns; other leaves unchanged.
 
     A row's strings are gathered into one array, detected once and put back by position, so the plan does not grow
-    with the number of leaves. ``profile`` boosts the leaves whose dotted path it knows. ``report`` adds
-    excluded_fields (paths of dropped leaves), field_hits and the columns of every result.
+    with the number of leaves. Strings of a VARIANT join them and are put back into the binary value, of which nothing
+    else changes; a dropped one becomes the variant null. ``profile`` boosts the leaves whose dotted path it knows.
+    ``report`` adds excluded_fields (paths of dropped leaves), field_hits and the columns of every result. Keys of maps
+    and fields of a VARIANT are names: they are neither searched nor changed. A type that may hide text is an error.
     """
     chosen = get_policy(policy) if policy is not None else None
     hints = field_hints(profile, custom_profiles)
     book = book or default_book()
     before = df.columns
-    targets = list(columns) if columns is not None else [f.name for f in df.schema if _has_string(f.dataType)]
-    missing = [c for c in targets if c not in before]
+    missing = [c for c in columns or () if c not in before]
     if missing:
         raise ValueError(f"no such column: {missing}; columns: {before}")
-    targets = [c for c in targets if _has_string(df.schema[c].dataType)]
-    if not targets:
-        texts = paths = "cast(array() as array<string>)"
-    else:
-        texts = f"concat({', '.join(_leaves(ident_flat(c), df.schema[c].dataType) for c in targets)})"
-        paths = f"concat({', '.join(_leaf_paths(df.schema[c].dataType, c, ident_flat(c)) for c in targets)})"
+    targets = [c for c in (columns if columns is not None else before) if _holds_text(df.schema[c].dataType, c)]
+    kinds = {c: df.schema[c].dataType for c in targets}
+
+    def gathered(leaf):
+        held = [c for c in targets if _has(kinds[c], leaf)]
+        if not held:
+            return _none(leaf), "cast(array() as array<string>)"
+        return (f"concat({', '.join(_leaves(ident_flat(c), kinds[c], leaf) for c in held)})",
+                f"concat({', '.join(_leaf_paths(kinds[c], c, ident_flat(c), leaf) for c in held)})")
+
+    texts, paths = gathered(T.StringType)
+    deep = any(_has(k, T.VariantType) for k in kinds.values())
+    if deep:
+        variants, roots = gathered(T.VariantType)
+        df = df.withColumn("__variants", column(variants)).withColumn("__strings", strings_udf()("__variants"))
+        texts = f"concat({texts}, transform(flatten(__strings), vs_x -> vs_x.text))"
+        paths = f"concat({paths}, {let('vs_r', roots, 'flatten(transform(__strings, (vs_v, vs_i) -> transform(vs_v, vs_x -> concat_ws(' + lit('.') + ', get(vs_r, vs_i), nullif(vs_x.path, ' + lit('') + ')))))')})"
     boosts = {f: sorted(hinted_entities(e, book)) for f, e in hints.items() if e}
     boosted = None
     if boosts:
@@ -285,11 +322,17 @@ def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleB
     df = df.withColumns({"__texts": column(texts), "__paths": column(paths)})
     df = df.withColumn("__hits", column(let("rc_p", "__paths", f"transform(__texts, (rc_t, rc_k) -> {hits_sql('rc_t', book, boosted=boosted)})")))
     df = _rewritten(df, chosen, check_mode(mode), skip, redact_with, how)
-    new, base, values = "transform(__done, nd_x -> nd_x.text)", [], {}
+    values, base = {}, []
     for c in targets:
-        kind = df.schema[c].dataType
-        values[c] = column(let("nv_new", new, _put_back(ident_flat(c), kind, " + ".join(base) or "0")))
-        base.append(str(_leaf_count(ident_flat(c), kind)))
+        if _has(kinds[c], T.StringType):
+            values[c] = column(let("nv_new", "transform(__done, nd_x -> nd_x.text)", _put_back(ident_flat(c), kinds[c], " + ".join(base) or "0")))
+            base.append(str(_leaf_count(ident_flat(c), kinds[c])))
+    if deep:
+        first = " + ".join(base) or "0"
+        ends = running("transform(__strings, vp_v -> size(vp_v))", "0", lambda a, x: f"{a} + {x}")
+        cut = let("vp_o", ends, f"transform(__strings, (vp_v, vp_i) -> transform(slice(vp_d, {first} + get(vp_o, vp_i) + 1, size(vp_v)), vp_x -> vp_x.text))")
+        found = let("vp_d", "__done", f"case when exists(slice(vp_d, {first} + 1, size(vp_d)), vp_x -> vp_x.hit_count > 0) then {cut} end")
+        df = df.withColumn("__cut", column(found)).withColumn("__put", replaced_udf()("__variants", "__cut", F.col("__cut").isNotNull()))
     names = [F.col(ident_flat(c)) for c in before]
     if report:
         alone = f"filter(rp_h, rp_x -> not array_contains({lits(sorted({*skip, *(chosen.pass_through if chosen else ())}))}, rp_x.entity_type))"
@@ -299,6 +342,13 @@ def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleB
                                  "'hit_count', fh_z.__done.hit_count)), fh_c -> fh_c.hit_count > 0)"),
             "__all": column(f"flatten(transform(__hits, rp_h -> {alone}))")})
     df = df.withColumns(values)
+    if deep:
+        values, base = {}, []
+        for c in targets:
+            if _has(kinds[c], T.VariantType):
+                values[c] = column(let("nv_new", "__put", _put_back(ident_flat(c), kinds[c], " + ".join(base) or "0", T.VariantType)))
+                base.append(str(_leaf_count(ident_flat(c), kinds[c], T.VariantType)))
+        df = df.withColumns(values)
     return _with_contract(df, names, include_excluded) if report else df.select(*names)
 
 
@@ -352,7 +402,7 @@ def scan_record(df: DataFrame, fields=None, book: RuleBook | None = None, *,
     hints = field_hints(profile, custom_profiles)
     wanted = list(fields) if fields is not None else df.columns + [f for f in hints if f not in df.columns
                                                                     and _field_type(df.schema, f) is not None]
-    targets = _targets(df, wanted)
+    targets = _targets(df, wanted, partly=True)
     before = df.columns
     df = _with_field_hits(df, targets, hints, book)
     # Position of each wanted field among the scanned ones; a field that is no string has none.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.rules import RuleBook, default_book
-from ..functions.core import HITS_TYPE, column, ident, let, running
+from ..functions.core import HITS_TYPE, column, ident, let
 from ..functions.decode import decode_sql
 from ..functions.overlap import drop_contained
 from ..functions.risk import entity_tier_sql, max_rank_sql, tier_sql, types_sql
@@ -27,8 +27,7 @@ def with_hits(df: DataFrame, text: str = "text", book: RuleBook | None = None, *
     ``entities``/``skip``  types to look for / to leave out; both drop rules before planning.
     ``hint``               entity type the whole column is known to hold (boosts its detectors).
     ``boosted``            name of an array<string> column with the types to boost per row.
-    ``extra_hits``         hits from the caller's own model, merged with ours. Any column of the hit
-                           type will do, for instance a pandas UDF around a name model.
+    ``extra_hits``         hits from elsewhere, merged with ours: any column of the hit type, such as ``models.model_hits``.
     """
     book = (book or default_book()).only(entities).without(skip)
     if decode:
@@ -36,6 +35,7 @@ def with_hits(df: DataFrame, text: str = "text", book: RuleBook | None = None, *
     df = df.withColumn(out, column(hits_sql(ident(text), book, hint, ident(boosted) if boosted else None)))
     if extra_hits is not None:
         merged = f"sort_array(concat({ident(out)}, coalesce({ident(out + '_more')}, cast(array() as {HITS_TYPE}))))"
+        merged = let("mh_a", merged, "filter(mh_a, (mh_h, mh_i) -> mh_i = 0 or mh_h <> get(mh_a, mh_i - 1))")
         df = (df.withColumn(out + "_more", extra_hits.cast(HITS_TYPE))
                 .withColumn(out, column(drop_contained(merged))).drop(out + "_more"))
     return df
@@ -83,52 +83,3 @@ def explain(df: DataFrame, keys: list[str], text: str = "text", book: RuleBook |
         "pattern_id", "recognizer", "pattern_name", F.col("regex").alias("pattern"), "context_words")
     # The rule table has a fixed size of under a hundred rows.
     return hits_table(df, keys, text, book, **options).join(F.broadcast(rules), "pattern_id", "left")
-
-
-def _words(text: str) -> str:
-    """array<struct<start,end,word>> of a text's words, lower case, in linear time."""
-    pattern = r"'(?U)[\\p{L}\\p{N}]+'"
-    pairs = (f"zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), "
-             f"(tw_g, tw_w) -> named_struct('gap', length(tw_g), 'w', tw_w))")
-    steps = "transform(tw_z, tw_c -> tw_c.gap + coalesce(length(tw_c.w), 0))"
-    start = "get(tw_y, tw_k) + tw_d.gap"
-    found = (f"transform(filter(tw_z, tw_c -> tw_c.w is not null), (tw_d, tw_k) -> named_struct('start', {start}, "
-             f"'end', {start} + length(tw_d.w), 'word', lower(tw_d.w)))")
-    return let("tw_z", pairs, let("tw_y", running(steps, "0", lambda a, x: f"{a} + {x}"), found))
-
-
-def term_hits(df: DataFrame, keys: list[str], text: str, terms: DataFrame, score: float = 0.6,
-              longest: int | None = None) -> DataFrame:
-    """Hits of the terms of a table (term, entity_type), one or several words each, whatever their case.
-
-    A text's runs of one to ``longest`` words (default: the longest term's number) are joined with the terms. Each run has
-    one row per type among the terms, so a frequent word may be split over tasks; what is broadcast, or filtered before
-    the shuffle, is left to the planner, which knows the terms' size. Equal hits are given once.
-    """
-    words = F.transform(F.regexp_extract_all(F.col("term"), F.lit(r"(?U)[\p{L}\p{N}]+"), F.lit(0)), F.lower)
-    known = terms.select(words.alias("ws"), "entity_type").where(F.size("ws") > 0).select(
-        F.array_join("ws", " ").alias("run"), F.size("ws").alias("n"), "entity_type").distinct()
-    if longest is None:
-        longest = known.agg(F.max("n")).first()[0] or 1
-    cut = df.select(*keys, column(_words(ident(text))).alias("ws"))
-    run = "array_join(transform(slice(ws, tn_i + 1, tn_n), tn_w -> tn_w.word), ' ')"
-    runs = (f"flatten(transform(filter(sequence(0, greatest(size(ws) - 1, 0)), tn_i -> tn_i < size(ws)), tn_i -> "
-            f"transform(sequence(1, least({longest}, size(ws) - tn_i)), tn_n -> named_struct('hit_start', get(ws, tn_i).start, "
-            f"'hit_end', get(ws, tn_i + tn_n - 1).`end`, 'run', {run}))))")
-    rows = cut.select(*keys, F.explode_outer(column(runs)).alias("x")).where(F.col("x").isNotNull()).select(*keys, "x.*")
-    joined = rows.join(known.select("run", "entity_type"), "run")
-    return joined.select(*keys, "entity_type", "hit_start", "hit_end", F.lit(score).alias("score")).distinct()
-
-
-def with_terms(df: DataFrame, keys: list[str], terms: DataFrame, text: str = "text", book: RuleBook | None = None,
-               score: float = 0.6, **options) -> DataFrame:
-    """``with_hits`` with the hits of a dictionary merged in, so that every rewriting and policy sees them.
-
-    ``keys`` name the rows. A text's term hits are gathered before the join; their number is bounded by its words.
-    """
-    found = term_hits(df, keys, text, terms, score).groupBy(*keys).agg(F.collect_list(F.struct(
-        F.col("hit_start").alias("start"), F.col("hit_end").alias("end"), "entity_type", "score",
-        F.lit(-1).alias("pattern_id"))).alias("_terms"))
-    same = [F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys]
-    both = df.alias("_l").join(found.alias("_r"), same, "left").select("_l.*", "_r._terms")
-    return with_hits(both, text, book, extra_hits=F.col("_terms"), **options).drop("_terms")

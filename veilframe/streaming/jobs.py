@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,14 +32,85 @@ def gate_stream(texts: DataFrame, text: str = "text", book=None, **options) -> D
     return preflight_gate(texts, text, book, **options)
 
 
+def distinct_events(events: DataFrame, key: str | list[str] = "request_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
+    """Events delivered more than once count once, if the copies come within the watermark of each other.
+
+    State holds a key until the watermark passes it, so it does not grow with the stream. A batch drops all copies.
+    """
+    keys = [key] if isinstance(key, str) else key
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
+    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def upsert_to_table(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda df: df,
+                    available_now: bool = True, timeout: int | None = None):
+    """Write every micro-batch of ``work`` exactly once, whatever is replayed after a failure.
+
+    A batch owns one folder of the table, named by its number, and replaces it as a whole; the folder only counts once
+    its ledger entry is written, after the data. A batch that the ledger knows is skipped, one that died half way is
+    written anew from the same input. Read the table with ``read_ledgered``.
+    """
+    query = _each_batch(stream, path, work).option("checkpointLocation", checkpoint)
+    query = query.trigger(availableNow=True).start() if available_now else query.start()
+    if available_now:
+        query.awaitTermination(timeout) if timeout else query.awaitTermination()
+    return query
+
+
+def _each_batch(stream: DataFrame, path: str, work):
+    return stream.writeStream.foreachBatch(lambda batch, number: write_batch(batch, number, path, work))
+
+
+def write_batch(batch: DataFrame, number: int, path: str, work: Callable[[DataFrame], DataFrame] = lambda df: df) -> bool:
+    """One micro-batch into its folder, unless the ledger says that it is there; true if it was written."""
+    spark = batch.sparkSession
+    if _exists(spark, f"{path}/ledger/{number}.done"):
+        return False
+    work(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+    _enter(spark, path, number)
+    return True
+
+
+def read_ledgered(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that were written whole, with their batch number."""
+    # one row per batch: the planner broadcasts it while it is small
+    done = spark.read.schema("batch int").option("pathGlobFilter", "*.done").csv(f"{path}/ledger")
+    return spark.read.parquet(f"{path}/data").join(done, "batch", "left_semi")
+
+
+def _place(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found, store = _place(spark, path)
+    return store.exists(found)
+
+
+def _enter(spark: SparkSession, path: str, number: int) -> None:
+    """The entry appears whole or not at all: written beside and renamed."""
+    (found, store), (beside, _) = _place(spark, f"{path}/ledger/{number}.done"), _place(spark, f"{path}/ledger/{number}.part")
+    out = store.create(beside, True)
+    out.writeBytes(f"{number}\n")
+    out.close()
+    if not store.rename(beside, found):
+        raise RuntimeError(f"no ledger entry for batch {number} in {path}")
+
+
 def windowed_stats(events: DataFrame, ts: str = "ts", window: str = "1 day", slide: str | None = None,
-                   late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
+                   late: str = "10 minutes", by: list[str] | None = None, distinct: str | list[str] | None = None) -> DataFrame:
     """Audit counters per tumbling or sliding window; events later than the watermark are dropped.
 
-    Needs hit_count, excluded_count and batch_size. State is one row per open window and label.
+    Needs hit_count, excluded_count and batch_size. State is one row per open window and label. ``distinct`` names the
+    request id of events that may be delivered more than once: see ``distinct_events``, whose watermark is this one.
     """
     span = F.window(ts, window, slide) if slide else F.window(ts, window)
-    marked = events.withWatermark(ts, late) if events.isStreaming else events
+    if distinct:
+        marked = distinct_events(events, distinct, ts, late)
+    else:
+        marked = events.withWatermark(ts, late) if events.isStreaming else events
     return marked.groupBy(span.alias("w"), *(by or [])).agg(
         F.count(F.lit(1)).alias("total_requests"),
         F.coalesce(F.sum("hit_count"), F.lit(0)).alias("total_pii_hits"),
