@@ -11,7 +11,7 @@ from veilframe.functions import rewrite
 from veilframe.functions.core import column
 from veilframe.functions.sqlnames import register_functions
 from veilframe.operators import audit, dictionary, models, records, sanitize, scan
-from veilframe.sources import writers
+from veilframe.sources import readers, writers
 from veilframe.sources.layout import spread
 from veilframe.streaming import jobs
 
@@ -165,6 +165,23 @@ def _pile(spark, sf):
 register("resolve_pile", _pile, o.with_(o.hits(f"SELECT c_custkey AS id, {_PILE.format(s='VARCHAR')} AS text FROM customer"), o.kept()) +
          f"SELECT {HIT_COLUMNS} FROM kept")
 
+# --- large array files ----------------------------------------------------------------------------
+
+
+def _array_pieces(spark, sf):
+    """Eight files, each one array of a table's rows, cut at commas and put together again."""
+    path = scratch(spark)
+    rows = source(spark, sf, "notes").where("text IS NOT NULL").select(F.to_json(F.struct("id", "text", F.array("text", F.col("id").cast("string")).alias("more"))).alias("j"), (F.col("id") % 8).alias("f"))
+    rows.groupBy("f").agg(F.concat(F.lit("[ "), F.array_join(F.collect_list("j"), " ,\n"), F.lit(", null, 7]")).alias("value")).select("value").write.option(
+        "maxRecordsPerFile", 1).text(path)
+    good, bad = readers.split_rejects(readers.read_json_array(spark, path, "id bigint, text string", whole_bytes=0))
+    return sanitize.sanitize(good).select("id", F.col("sanitized_text").alias("text")).unionByName(
+        bad.groupBy(F.col("_corrupt_record").alias("text")).agg(F.count(F.lit(1)).alias("id")))
+
+
+register("read_json_array_pieces", _array_pieces, _MASKED + """SELECT id, sanitized_text AS text FROM out WHERE sanitized_text IS NOT NULL
+    UNION ALL SELECT count(DISTINCT c_custkey % 8), unnest(['null', '7']) FROM customer""")
+
 # --- counters, sinks and doubles ------------------------------------------------------------------
 
 
