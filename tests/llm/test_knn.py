@@ -53,6 +53,24 @@ def test_repeated_rows(spark):
     assert got(spark, rows, 3) == expected(rows, 3)
 
 
+@pytest.mark.parametrize("pivots", [64, 3])
+def test_query_id_of_many_rows(spark, pivots):
+    rng = random.Random(pivots)
+    rows = [(3, [1.0 + i / 64, i / 8]) for i in range(12)] + [(100 + i, [rng.randrange(64) / 64, rng.randrange(64) / 64]) for i in range(39)]
+    assert got(spark, rows, 10, pivots=pivots) == expected(rows, 10)
+
+
+def test_products_beyond_doubles(spark):
+    rng = random.Random(8)
+    # odd numbers of 24 bits, which floats hold exactly; 64 products of two pass 2^53
+    rows = [(i, [(2 * rng.randrange(2 ** 22, 2 ** 23) + 1) / 1024 for _ in range(63)] + [1 / 512]) for i in range(200)]
+    want = expected(rows, 10)
+    assert max(s for *_, s in want) > 2 ** 53 and any(s % 2 for *_, s in want)
+    assert got(spark, rows, 10) == want
+    with pytest.raises(OverflowError):
+        got(spark, [(3, [4e6]), (4, [4e6])], 10)
+
+
 def test_query(spark):
     ok, n, m, note = compare(spark, duck(SF), SF, QUERIES["op1_exact_top_k"], ORACLES["op1_exact_top_k"])
     assert ok and n > 0, note

@@ -33,7 +33,7 @@ def scaled(vector: Column) -> Column:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Rows as float64, shorter ones filled up with zeros. Products of these integers stay below 2^53."""
+    """Rows as float64, shorter ones filled up with zeros."""
     sizes = np.diff(column.offsets.to_numpy())
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if (sizes == width).all():
@@ -51,6 +51,8 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
     A query's own row (its id) is no answer; ties go to the smaller id. Rows without an id, and vectors null or with
     a null or non-finite component, take no part; shorter vectors count as filled up with zeros. Repeated rows answer
     each; a repeated query id asks once, with its least vector. Fewer rows than k: all. No rows: no rows.
+    Scores are exact: where a product may reach 2^53 they are summed in 64-bit integers, and where one may not fit in
+    those (a squared length of 2^63 or more) the call is an error.
     """
     spark = vectors.sparkSession
     folder = shared_folder(spark)
@@ -62,7 +64,14 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
     if not facts[2]:
         return spark.createDataFrame([], empty)
     width, top, n_queries, n_rows = facts[0], facts[1], facts[2], facts[3]
-    sample = rows.select("v", "s").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()  # at most ``pivots`` vectors
+    # no product is greater than the greatest squared length, of which the sum above may be off by a rounding
+    if top >= 2.0 ** 63 * (1 - 1e-9):
+        raise OverflowError(f"products of these vectors may not fit in 64 bits: a squared length is about {top:.3g}")
+    wide = top >= 2.0 ** 53 * (1 - 1e-9)
+    none = np.iinfo(np.int64).min if wide else -np.inf
+    # the vectors of the least hashes: only hashes are made distinct, not vectors; at most ``pivots`` of them
+    least = rows.select(F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots)
+    sample = rows.select("v", "s", F.xxhash64("v").alias("h")).join(F.broadcast(least), "h").groupBy("h").agg(F.min(F.struct("v", "s")).alias("m")).select("m.*").collect()
     centre = np.zeros((len(sample), width + 1))
     for i, r in enumerate(sample):
         centre[i, :len(r["v"])] = r["v"]
@@ -85,8 +94,10 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
 
     placed = stage(rows.mapInArrow(cells, "id bigint, v array<bigint>, q boolean, cell int, far double, home int, away double"), folder, "placed")
     near = Window.partitionBy("cell").orderBy("far")
-    # k + 1 distances per pivot, as one row of a query's own is no answer; each task keeps its own k + 1 first
-    kept = placed.groupBy("cell", "far").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    # An id counts once, wherever it is nearest to its pivot: of k + 1 ids at most one is a query's own, however many rows
+    # it has. Of each pivot k + 1 distances; each task keeps its own k + 1 first.
+    once = placed.groupBy("id").agg(F.min(F.struct("far", "cell")).alias("m")).select("m.*")
+    kept = once.groupBy("cell", "far").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "r", F.row_number().over(near)).where(F.col("r") <= k + 1)
     summary = {}
     for r in kept.groupBy("cell").agg(F.collect_list(F.struct("far", "n")).alias("least")).collect():
@@ -110,7 +121,7 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
                 bound = distance
                 break
         reach = bound + radius[h] + slack
-        for c in summary:
+        for c in range(len(sample)):
             low, high = apart[h, c] - reach, apart[h, c] + reach
             rings.append((c, h, float(low), float(high)))
     ring = spark.createDataFrame(rings, "cell int, home int, low double, high double").groupBy("cell").agg(
@@ -133,6 +144,7 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
             key = np.stack([np.asarray(batch.column(n)) for n in ("grp", "part", "block")], axis=1)
             kind, own = np.asarray(batch.column("kind")), np.asarray(batch.column("id"))
             x = _matrix(batch.column("v"), width)
+            x = x.astype(np.int64) if wide else x
             cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
             for a, b in zip(cuts, np.append(cuts[1:], len(key))):
                 here = tuple(key[a])
@@ -154,10 +166,11 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
         for a in range(0, len(r), 4096):
             score = q @ r[a:a + 4096].T
             ids = np.broadcast_to(r_ids[a:a + 4096], score.shape)
-            score = np.where(ids == q_ids[:, None], -np.inf, score)
+            score = np.where(ids == q_ids[:, None], none, score)
             if best is not None:
                 score, ids = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], ids], axis=1)
-            order = np.lexsort((ids, -score), axis=1)[:, :k] if score.shape[1] <= 64 else _best(score, ids, k)
+            # a place without a row sorts last: its score has no negative in integers
+            order = np.lexsort((ids, np.where(score == none, np.iinfo(np.int64).max, -score) if wide else -score), axis=1)[:, :k] if score.shape[1] <= 64 else _best(score, ids, k)
             best = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
         return best
 
@@ -165,7 +178,7 @@ def top_products(vectors: DataFrame, query: Column, vec_id: str = "vec_id", vect
         if best is not None:
             q = np.repeat(ids[0], best[0].shape[1])
             score, row = best[0].ravel(), best[1].ravel()
-            real = np.isfinite(score)
+            real = score > none
             yield pa.RecordBatch.from_arrays([pa.array(q[real]), pa.array(row[real]), pa.array(score[real].astype(np.int64))],
                                              names=["query_id", "vec_id", "score"])
 
