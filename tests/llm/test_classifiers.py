@@ -30,6 +30,19 @@ def test_risk_gradient():
     def risk(w, b, prior):
         s_p, s_u = pos.times(w) + b, unl.times(w) + b
         return prior * np.logaddexp(0, -s_p).mean() + max(0.0, np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean())
+    # the gradient against differences: of the whole risk, or of the negated estimate where that is below zero
+    for prior, shift in ((0.1, 0.0), (0.5, 1.0), (0.9, -2.0), (0.9, 4.0)):
+        w, b = rng.normal(size=12), shift
+        rest, grad = toxicity.risk_gradient(w, b, pos, unl, prior)
+
+        def goal(t):
+            s_p, s_u = pos.times(t[:12]) + t[12], unl.times(t[:12]) + t[12]
+            left = np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean()
+            return prior * np.logaddexp(0, -s_p).mean() + left if rest >= 0 else -left
+        at = np.append(w, b)
+        plain = [(goal(at + e) - goal(at - e)) / 2e-6 for e in np.eye(13) * 1e-6]
+        assert np.allclose(grad, plain, atol=1e-6)
+    assert rest < 0 or toxicity.risk_gradient(w, -9.0, pos, unl, 0.99)[0] < 0
     for prior in (0.1, 0.5):
         w, b = toxicity.train_nnpu(pos, unl, prior)
         assert risk(w, b, prior) < risk(np.zeros(12), np.log(prior / (1 - prior)), prior)
@@ -97,3 +110,37 @@ def test_held_out_accuracy(spark, name, label, threshold, least):
     ones, zeros = [s for t, s in held if t == 1], [s for t, s in held if t == 0]
     assert len(ones) > 3 and len(zeros) > 3
     assert np.mean([(a > b) + 0.5 * (a == b) for a in ones for b in zeros]) > least
+
+
+def test_scores_against_the_plain_formula(spark):
+    """Each feature of a text counts once, whatever the number of words that have it."""
+    texts = ["bad bad badly", "good", "", None, "the bad and the good", "x " * 5000 + "bad"]
+    features = sorted({f for t in texts for w in toxicity.words_of(t) for f in toxicity.features_of(w)})
+    rng = np.random.default_rng(5)
+    model = toxicity.Model({f: float(x) for f, x in zip(features, rng.normal(size=len(features)))}, -0.3)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_documents(frame, model).collect()}
+    for i, t in enumerate(texts):
+        found = {f for w in toxicity.words_of(t) for f in toxicity.features_of(w)}
+        assert abs(got[i] - 1 / (1 + np.exp(0.3 - sum(model.weights[f] for f in found)))) < 1e-12
+
+
+def test_hot_ids_do_not_grow_the_sample(spark):
+    """An id of many rows brings no more texts to the driver than the parameters say."""
+    docs = spark.createDataFrame([(3 if i % 2 else None, f"bad word{i}" if i % 2 else f"fine thing{i}") for i in range(3000)] + [(2, "fine words")] * 500 + [(i, "other") for i in range(100, 200)],
+                                 "doc_id bigint, text string")
+    labels = spark.createDataFrame([(3, 1), (2, 0), (100, 0), (101, 0)], "doc_id bigint, toxic int")
+    seen = []
+    real, toxicity.train_nnpu = toxicity.train_nnpu, lambda p, u, prior: seen.append((len(p.sizes), len(u.sizes))) or real(p, u, prior, rounds=5)
+    try:
+        toxicity.fit(docs, labels, positives=40, unlabelled=60)
+    finally:
+        toxicity.train_nnpu = real
+    assert seen and seen[0][0] <= 40 and seen[0][1] <= 60
+
+
+def test_quality_of_tables_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "some words here " * (i % 9 + 1), 1, 2, 3) for i in range(1, 40)], "doc_id bigint, text string, y int, mark_id int, _id int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id bigint, quality int")
+    got = quality.score_quality(docs, labels)
+    assert got.count() == 39 and {"y", "mark_id", "_id"} <= set(got.columns)

@@ -108,3 +108,8 @@ def test_thresholds_cover_the_radius(spark):
     parts = simhash.plan(prints, 4)
     assert sum(t + 1 for _, t in parts) == 5
     assert len({b for bits, _ in parts for b in bits}) == sum(len(bits) for bits, _ in parts)
+
+
+def test_carried_columns_named_like_results_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 5), (2, "a b c d e", 6)], "doc_id bigint, text string, fp int")
+    assert simhash.near_duplicates(docs, carry=["fp", "text"], root=True).columns == ["doc_id", "text", "fp", "component_id", "root"]

@@ -99,7 +99,9 @@ class Discriminant:
 def fit(measured_docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str = "quality") -> Discriminant:
     """Class moments over every labelled row outside of the held-out fold; a few hundred sums reach the driver."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("mark_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1)").where(in_training("mark_id"))
-    rows = measured_docs.join(marks, F.col(doc_id) == F.col("mark_id")).select("y", "_x")
+    # only the id and the statistics of a document: its other columns may have any name
+    known = measured_docs.select(F.col(f"`{doc_id}`").alias("_id"), "_x")
+    rows = known.join(marks, F.col("_id") == F.col("mark_id")).select("y", "_x")
     width = len(NAMES)
 
     def run(batches):

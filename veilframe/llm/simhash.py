@@ -276,13 +276,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     carry: list[str] | None = None, root: bool = False) -> DataFrame:
     """doc_id (and ``carry``), fp and component_id: the smallest id reachable over links of at most ``radius`` bits.
 
-    ``root`` adds the component's least fingerprint: it tells components apart where ids repeat or are missing.
+    ``root`` adds the component's least fingerprint: it tells components apart where ids repeat or are missing. Carried
+    columns named like a result give way.
 
     One row per input row. Null or empty texts have fingerprint 0 and are linked like any other. A null id never
     names a component unless the component has no other; repeated rows share their component. No rows: no rows.
     """
     folder = shared_folder(docs.sparkSession)
-    keep = [F.col(f"`{c}`") for c in dict.fromkeys([doc_id, *(carry or [])])]
+    made = {"fp", "component_id", *(["root"] if root else [])}
+    keep = [F.col(f"`{c}`") for c in dict.fromkeys([doc_id, *(c for c in carry or [] if c not in made)])]
     rows = stage(fingerprints(docs.select(*keep, F.col(f"`{text}`").alias("_t")), "_t", words, "_fp"), folder, "prints")
     distinct = stage(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(doc_id).alias("least_id")), folder, "distinct")
     joined = components(links(distinct, radius), folder)

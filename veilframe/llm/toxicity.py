@@ -77,6 +77,23 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def risk_gradient(w: np.ndarray, b: float, positive: Sparse, unlabelled: Sparse, prior: float) -> tuple[float, np.ndarray]:
+    """Risk of the negatives, estimated as that of unlabelled text less the prior's share of positives, and the step's gradient.
+
+    While that estimate is not negative the gradient is that of the whole risk; else of the negated estimate, which
+    brings it back above zero (the non-negative correction). The last entry belongs to the bias.
+    """
+    n_p, n_u = max(len(positive.sizes), 1), max(len(unlabelled.sizes), 1)
+    s_p, s_u = positive.times(w) + b, unlabelled.times(w) + b
+    rest = float(np.logaddexp(0, s_u).sum() / n_u - prior * np.logaddexp(0, s_p).sum() / n_p)
+    up_u, up_p = sigmoid(s_u) / n_u, -prior * sigmoid(s_p) / n_p
+    if rest >= 0:
+        g_p, g_u = up_p - prior * sigmoid(-s_p) / n_p, up_u
+    else:
+        g_p, g_u = -up_p, -up_u
+    return rest, np.append(positive.back(g_p) + unlabelled.back(g_u), g_p.sum() + g_u.sum())
+
+
 def train_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int = 300, rate: float = 0.05,
                decay: float = 0.3) -> tuple[np.ndarray, float]:
     """Weights and bias of least non-negative risk, by Adam with a falling rate over the whole sample.
@@ -86,18 +103,9 @@ def train_nnpu(positive: Sparse, unlabelled: Sparse, prior: float, rounds: int =
     width = positive.width
     theta, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     theta[width] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
-    n_p, n_u = max(len(positive.sizes), 1), max(len(unlabelled.sizes), 1)
     for step in range(1, rounds + 1):
-        w, b = theta[:width], theta[width]
-        s_p, s_u = positive.times(w) + b, unlabelled.times(w) + b
-        rest = np.logaddexp(0, s_u).mean() - prior * np.logaddexp(0, s_p).mean()  # risk of the negatives
-        up_u, up_p = sigmoid(s_u) / n_u, -prior * sigmoid(s_p) / n_p
-        if rest >= 0:
-            g_p, g_u = up_p - prior * sigmoid(-s_p) / n_p, up_u
-        else:
-            g_p, g_u = -up_p, -up_u
-        grad = np.append(positive.back(g_p) + unlabelled.back(g_u), g_p.sum() + g_u.sum())
-        grad[:width] += decay / n_p * w
+        _, grad = risk_gradient(theta[:width], theta[width], positive, unlabelled, prior)
+        grad[:width] += decay / max(len(positive.sizes), 1) * theta[:width]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (1 - (step - 1) / rounds) * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
     return theta[:width], float(theta[width])
@@ -150,11 +158,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not counts[0]:
         return Model({}, 0.0 if not counts[1] else float(np.log(1e-3)))
     toxic = marks.where("toxic = 1").select("mark_id").distinct().orderBy(F.xxhash64("mark_id")).limit(positives)
-    # the ids are bounded by the two parameters, so they are broadcast and no text is shuffled
-    some = texts.join(F.broadcast(toxic), texts.id == toxic.mark_id, "left_semi").select("id", "text", F.lit(1).alias("kind"))
-    ids = texts.select("id").orderBy(order, "id").limit(unlabelled).withColumnRenamed("id", "mark_id").distinct()
-    other = texts.join(F.broadcast(ids), texts.id == ids.mark_id, "left_semi").select("id", "text", F.lit(0).alias("kind"))
-    sample = stage(some.unionByName(other), folder, "sample")
+    texts = texts.withColumn("h", F.xxhash64("text"))
+
+    def drawn(rows: DataFrame, most: int, kind: int) -> DataFrame:
+        """Whole texts of at most ``most`` rows: ids may repeat, so rows are counted, equal ones once."""
+        keys = rows.select("id", "h").distinct().orderBy(order, "id", "h").limit(most).select(F.col("id").alias("k_id"), F.col("h").alias("k_h"))
+        # bounded by the parameter, so broadcast: no text is shuffled before it is drawn
+        found = texts.join(F.broadcast(keys), (F.col("id") == F.col("k_id")) & (F.col("h") == F.col("k_h")), "left_semi")
+        return found.dropDuplicates(["id", "h"]).select("id", "text", F.lit(kind).alias("kind"))
+
+    some = drawn(texts.join(F.broadcast(toxic), texts.id == toxic.mark_id, "left_semi"), positives, 1)
+    sample = stage(some.unionByName(drawn(texts, unlabelled, 0)), folder, "sample")
     sizes = {r["kind"]: r["n"] for r in sample.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
     found = presence(sample).groupBy("feature").agg(F.sum("kind").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST)
