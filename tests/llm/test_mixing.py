@@ -77,14 +77,25 @@ def test_no_rows_and_no_words(spark):
 
 def test_permutation(spark):
     for n in (1, 2, 3, 64, 1000):
-        rows = spark.range(2 * n).select(mixing.F.lit(7).cast("bigint").alias("sid"), mixing.F.col("id").alias("k"),
-                                         mixing.F.lit(n).cast("bigint").alias("n")).select("k", mixing.permuted("n", "k", "sid").alias("b")).collect()
+        slots = spark.range(2 * n).select(mixing.F.lit(7).cast("bigint").alias("sid"), mixing.F.col("id").alias("k"), mixing.F.lit(n).cast("bigint").alias("blocks"))
+        rows = mixing.permuted(slots).select("k", mixing.F.col("block").alias("b")).collect()
         for e in (0, 1):
             assert sorted(r["b"] for r in rows if r["k"] // n == e) == list(range(n))
     order = [r["b"] for r in sorted(rows, key=lambda r: r["k"])]
     assert sum(abs(a - b) < 10 for a, b in zip(order, order[1:])) < 200
 
 
+def test_hot_ids_are_dealt_over_many_lists(spark):
+    """Rows without an id, or of one id, are told apart by their text."""
+    rows = rows_of(spark, [(i if i % 3 else None if i % 2 else 7, f"text {i}", "s") for i in range(6000)])
+    sizes = mixing.sized(rows)
+    placed = mixing.placed(sizes, mixing.targets(sizes))
+    starts = sorted((r["start"], r["size"]) for r in placed.collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and len(starts) == 6000
+    lists = sizes.where("doc_id IS NULL OR doc_id = 7").groupBy(mixing.F.expr(f"(pmod(coalesce(doc_id, 0), 16777216) * 48271 + deal) % {mixing.PRIME} % {mixing.PARTS}")).count()
+    assert lists.agg({"count": "max"}).first()[0] < 20
+
+
 def test_blocks_of_the_mix(spark):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(i * 7 % 90)), f"s{i % 3}") for i in range(40)]
     made = mixing.mixed_blocks(rows_of(spark, rows), block=16, shard=8).collect()

@@ -31,10 +31,11 @@ def mixed(x: str, seed: str) -> str:
 
 
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size (words; null text: 0) and a hash of the text, by which rows of equal id are ordered."""
+    """doc_id, source, size (words; null text: 0), a hash of the text, by which rows of equal id are ordered, and one to deal them by."""
     return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"),
                        F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
-                       F.xxhash64(F.col(f"`{text}`")).alias("h"))
+                       F.xxhash64(F.col(f"`{text}`")).alias("h"),
+                       F.conv(F.substring(F.md5(F.col(f"`{text}`")), 1, 6), 16, 10).cast("bigint").alias("deal"))
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
@@ -81,8 +82,8 @@ def draws(sources: DataFrame, shard: int = SHARD) -> DataFrame:
     # Spark takes exploded ranges for small ones and would broadcast them; the hint keeps them in a shuffle.
     drawn = slots.hint("merge").join(cells.select("sid", "lo", "hi", "cell"), "cell").where("u >= lo AND u < hi")
     counts = drawn.groupBy("shard", "sid").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # which shard's draws come first has no meaning, so a source's shards are ranked in many lists
+    return split_rank(counts, ["sid"], ["shard"], F.col("n"), PARTS, "first")
 
 
 def slots_of(sources: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
@@ -106,22 +107,32 @@ def slots_of(sources: DataFrame, folder: str, shard: int = SHARD) -> DataFrame:
     free = state.where("under > 0").select("sid", "blocks", "got", "under_at", F.explode(F.expr("sequence(got, slots - 1)")).alias("k"))
     free = free.select("sid", "blocks", "k", F.expr("under_at + k - got").alias("e"))
     slots = kept.unionByName(spare.hint("merge").join(free, "e").select("shard", "sid", "blocks", "k"))
-    return slots.select("shard", "sid", "k", permuted("blocks", "k", "sid").alias("block"))
+    # written, or the planner would derive constraints from all rounds for every later join
+    return stage(permuted(slots).select("shard", "sid", "k", "block"), folder, "slots")
 
 
-def permuted(n: str, k: str, sid: str, rounds: int = ROUNDS) -> Column:
-    """Block of slot k: a permutation of 0..n-1 for each source and pass."""
-    key = f"({mixed(f'{sid} * 1000003 + ({k} DIV {n}) * 10007 + r * 101', '4242')}) % {n}"
-    mirror = f"(({key}) + {n} - x) % {n}"
-    coin = f"(({mixed(f'greatest(x, {mirror})', f'{sid} * 911 + r * 7919')}) DIV 1024) % 2"
-    return F.expr(f"aggregate(sequence(0, {rounds - 1}), {k} % {n}, (x, r) -> CASE WHEN {coin} = 1 THEN {mirror} ELSE x END)")
+def permuted(slots: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Adds ``block``, the block of slot k: a permutation of 0..blocks-1 for each source and pass.
+
+    A round is two plain columns, so that all of them are compiled into one stage; as one fold over the rounds they
+    would be interpreted, at many times the cost.
+    """
+    n = "blocks"
+    slots = slots.withColumns({"_pass": F.expr(f"k DIV {n}"), "block": F.expr(f"k % {n}")})
+    for r in range(rounds):
+        key = f"({mixed(f'sid * 1000003 + _pass * 10007 + {r} * 101', '4242')}) % {n}"
+        coin = f"(({mixed('greatest(block, _mirror)', f'sid * 911 + {r} * 7919')}) DIV 1024) % 2"
+        slots = slots.withColumn("_mirror", F.expr(f"(({key}) + {n} - block) % {n}")).withColumn(
+            "block", F.expr(f"CASE WHEN {coin} = 1 THEN _mirror ELSE block END"))
+    return slots.drop("_pass", "_mirror")
 
 
 def placed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     """Every document with words, its source's sid and the word of the stream at which it starts."""
     ids = sources.select("sid", F.col("source").alias("_s"))
     rows = sizes.where("size > 0").join(ids, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    deal = F.expr("pmod(coalesce(doc_id, 0), 16777216) * 48271") % PRIME
+    # by id and text: rows may share an id, or have none
+    deal = F.expr("pmod(coalesce(doc_id, 0), 16777216) * 48271 + deal") % PRIME
     return split_rank(rows, ["sid"], ["doc_id", "h", "size"], F.col("size"), PARTS, "start", deal)
 
 
@@ -184,7 +195,7 @@ def oracle(block: int = BLOCK, shard: int = SHARD, rounds: int = ROUNDS) -> str:
                      f"THEN y ELSE x END AS x FROM y{r})")
         last = f"p{r + 1}"
     choice = " ".join(f"WHEN {i} THEN {float(w)}" for i, w in enumerate(WEIGHTS))
-    return rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    return rf"""WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || md5(text)[1:6])::BIGINT AS deal FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM d GROUP BY source),
 s1 AS (SELECT *, (CASE (sid - 1) % {len(WEIGHTS)} {choice} END)::DOUBLE AS weight FROM s0),
 s2 AS (SELECT *, ((SELECT sum(source_size) FROM s1) - coalesce(sum(source_size * {LIMIT}) OVER (ORDER BY source_size * {LIMIT} / weight, sid
@@ -196,7 +207,7 @@ s AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target * blocks / sou
 p0 AS (SELECT sid, blocks, k // blocks AS pass, k % blocks AS x FROM (SELECT sid, blocks, unnest(range(0, slots)) AS k FROM s WHERE slots > 0)),
 {", ".join(turns)},
 times AS (SELECT sid, x AS block, count(*) AS times FROM {last} GROUP BY sid, x),
-q AS (SELECT doc_id, sid, size, (((coalesce(doc_id, 0) % 16777216 + 16777216) % 16777216 * 48271) % {PRIME}) % {PARTS} AS part
+q AS (SELECT doc_id, sid, size, (((coalesce(doc_id, 0) % 16777216 + 16777216) % 16777216 * 48271 + deal) % {PRIME}) % {PARTS} AS part
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source WHERE size > 0),
 w AS (SELECT *, (sum(size) OVER (PARTITION BY sid ORDER BY part, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS start FROM q),
 c AS (SELECT doc_id, sid, start, size, unnest(range(start // {block}, (start + size - 1) // {block} + 1)) AS block FROM w),
