@@ -95,6 +95,32 @@ def test_plans_against_exhaustive_search():
     assert packing.complete(np.zeros(11, np.int64), 10) == []
 
 
+def test_search_improves_on_its_start():
+    rng = np.random.default_rng(1)
+    for low, high, n in ((200, 901, 20_000), (1200, 1500, 5_000)):
+        counts = np.bincount(rng.integers(low, high, n), minlength=4097)
+        plan = packing.complete(counts, 4096)
+        start, found = (sum(n for n, _ in p) for p in (packing.best_fit(counts, 4096), plan))
+        bound = packing.lower_bound(counts, 4096)
+        assert bound <= found < start and found - bound < (start - bound) / 3
+
+
+def test_fillings_are_undominated():
+    rng = random.Random(2)
+    for _ in range(40):
+        capacity = rng.choice([20, 40])
+        counts = np.bincount([rng.randint(1, capacity) for _ in range(rng.randint(2, 12))], minlength=capacity + 1)
+        present = np.flatnonzero(counts)
+        largest = int(present[-1])
+        found = packing.fillings(present, counts, largest, capacity, 50)
+        rest = [x for x in range(1, capacity + 1) for _ in range(int(counts[x]) - (x == largest))]
+        sets = {tuple(sorted((x for i, x in enumerate(rest) if m >> i & 1), reverse=True)) for m in range(1 << len(rest))}
+        fits = {s for s in sets if sum(s) <= capacity - largest}
+        assert set(found) <= fits and sum(found[0]) == max(map(sum, fits))
+        assert not any(packing.dominates(a, b) for i, b in enumerate(found) for a in found[:i])
+        assert all(any(packing.dominates(a, s) for a in found) for s in fits) or len(found) == 50
+
+
 def test_made_rows(spark, coder):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "Gamma.", "d'été", "42"]) for _ in range(rng.randint(0, 60)))) for i in range(200)]

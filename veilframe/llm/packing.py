@@ -10,6 +10,7 @@ Executors then deal the pieces: the r-th piece of a length goes to the r-th plac
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import struct
 import zlib
@@ -169,57 +170,68 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
+def _sums(present: np.ndarray, counts: np.ndarray, largest: int, room: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Which sums up to ``room`` the pieces left can make, as the bits of a number; and before each length's turn, those of the shorter ones."""
+    steps, sums, mask = [], 1, (1 << (room + 1)) - 1
+    for length in present[present <= room].tolist():
+        most = min(int(counts[length]) - (length == largest), room // length)
+        if most > 0:
+            steps.append((length, most, sums))
+            twice, left = 1, most
+            while left:
+                take = min(twice, left)
+                sums |= (sums << (length * take)) & mask
+                twice, left = 2 * twice, left - take
+    return steps, sums
+
+
+def _exact(steps: list[tuple[int, int, int]], i: int, total: int):
+    """All sets of parts that add up to ``total``, those with larger parts first; every branch taken ends in one."""
+    if not total:
+        yield ()
+        return
+    while i >= 0:
+        length, most, before = steps[i]
+        for n in range(min(most, total // length), 0, -1):
+            if before >> (total - n * length) & 1:
+                for rest in _exact(steps, i - 1, total - n * length):
+                    yield (length,) * n + rest
+        if not before >> total & 1:
+            return
+        i -= 1
+
+
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the parts of ``b`` fit into the parts of ``a``, tried by best fit: then whatever ``b`` leaves is no easier to pack."""
+    rooms = sorted(a)
+    for part in b:
+        k = bisect.bisect_left(rooms, part)
+        if k == len(rooms):
+            return False
+        bisect.insort(rooms, rooms.pop(k) - part)
+    return True
+
+
 def fillings(present: np.ndarray, counts: np.ndarray, largest: int, capacity: int, breadth: int) -> list[tuple[int, ...]]:
-    """Undominated completions of a bin that holds the largest length, least waste first.
+    """Undominated completions of a bin that holds the largest length, of any number of parts, least waste first.
 
-    A filling is dominated if another one has in place of some of its parts a single one that is at least their sum
-    and still fits: so larger single parts come first, and of equal waste the filling with fewer parts is kept.
+    The sums that the pieces left can make are known before any set is built, so only sets that reach a wanted sum are
+    visited: of the fullest bin first, those with larger parts first, then of the next fuller one.
     """
     room = capacity - largest
-    found: dict[tuple[int, ...], int] = {(): room}
-    fit = present[present <= room]
-
-    def available(length: int, used: tuple) -> bool:
-        return counts[length] - (length == largest) - used.count(length) > 0
-
-    if len(fit):
-        one = next((int(x) for x in fit[::-1] if available(int(x), ())), None)
-        if one is not None:
-            found[(one,)] = room - one
-            found.pop((), None)  # any part that fits dominates leaving the room empty
-            # two parts: for each first part the largest second one that fits, in one pass
-            firsts = fit[(fit * 2 >= 1)][::-1][:512]
-            for a in firsts.tolist():
-                if not available(a, ()):
-                    continue
-                k = int(np.searchsorted(fit, min(room - a, a), "right")) - 1
-                while k >= 0 and not available(int(fit[k]), (a,)):
-                    k -= 1
-                if k >= 0:
-                    b = int(fit[k])
-                    found[(a, b)] = room - a - b
-                    if room - a - b:  # a third part in what is left
-                        m = int(np.searchsorted(fit, min(room - a - b, b), "right")) - 1
-                        while m >= 0 and not available(int(fit[m]), (a, b)):
-                            m -= 1
-                        if m >= 0:
-                            found[(a, b, int(fit[m]))] = room - a - b - int(fit[m])
-                if min(found.values()) == 0 and len(found) > 4 * breadth:
-                    break
-            # greedy: the largest that fits, again and again
-            used, space = (), room
-            while space:
-                k = int(np.searchsorted(fit, space, "right")) - 1
-                while k >= 0 and not available(int(fit[k]), used):
-                    k -= 1
-                if k < 0:
+    steps, sums = _sums(present, counts, largest, room)
+    found: list[tuple[int, ...]] = []
+    tried = 0
+    while sums and len(found) < breadth and tried < 8 * breadth:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for parts in itertools.islice(_exact(steps, len(steps) - 1, total), 4 * breadth):
+            tried += 1
+            if not any(dominates(f, parts) for f in found):
+                found.append(parts)
+                if len(found) == breadth:
                     break
-                length = int(fit[k])
-                again = max(1, min(space // length, int(counts[length]) - (length == largest) - used.count(length)))
-                used += (length,) * again
-                space -= again * length
-            found[used] = space
-    return sorted(found, key=lambda f: (found[f], len(f), tuple(-x for x in f)))[:breadth]
+    return found
 
 
 def complete(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES, breadth: int = BREADTH) -> list[tuple[int, tuple[int, ...]]]:
@@ -299,7 +311,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
             used[length] += times * each
             at += length * each
         first += times
-    assert (used == counts).all()
+    if (used != counts).any():
+        raise RuntimeError("the plan does not hold every piece once")
     plan = spark.createDataFrame(places or [], "length bigint, low bigint, high bigint, each bigint, first bigint, at bigint")
     plan = plan.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("low", "high", "each", "first", "at"))).alias("places"))
     ranked = split_rank(made, ["length"], ["k1", "k2", "piece"])
