@@ -6,6 +6,7 @@ import random
 import re
 
 from veilframe.llm import extraction as x
+from veilframe.llm.extraction import main_text
 from veilframe.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,15 @@ def test_head_without_end_tag():
     for start in ("<head><title>T</title><body>", "<head><meta charset=utf-8><title>T</title><style>p{}</style>", "<head><title>T</title><body class=x><nav>Home</nav>"):
         assert x.main_text(f"<!DOCTYPE html><html>{start}{article}") == "The main text of the page, with commas, is here."
     assert x.main_text("<html><head><title>T</title>Bare text of a page, without any tags.") == "Bare text of a page, without any tags."
+
+
+def test_marks_around_the_article_are_finite():
+    said = " ".join(f"This is a long sentence, number {i}, with commas, and words that say something." for i in range(9))
+    article = f"<article><h1>The title</h1><p>{said}</p>"
+    remarks = '<div class="reader-responses"><p>I liked this a lot, thank you, it was good to read. Really.</p></div>'
+    want = f"The title {said}"
+    for page in (f'<body><form id="aspnetForm"><nav>Home About</nav>{article}</article><footer>Imprint</footer></form></body>', f'<html aria-hidden="true"><body>{article}</article></body></html>',
+                 f'<body><div hidden>{article}</article></div></body>', f"<body>{article}</article>{remarks}</body>", f"<body>{article}{remarks}</article></body>",
+                 f"<body>{article}<form><p>Subscribe to our letter, it is free, and good for you.</p></form></article></body>",
+                 f'<body>{article}<p aria-hidden="true">Not shown, whatever it says, to anybody who reads this.</p></article></body>'):
+        assert main_text(page) == want, page[:80]

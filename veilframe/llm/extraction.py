@@ -20,15 +20,17 @@ fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr
 noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr
 ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text never is the page's main text.
-OUTSIDE = frozenset("""aside button dialog footer form head iframe menu nav noscript object option script select style
+#: Elements whose text never is the page's main text. A form is not among them: some sites wrap one around every page.
+OUTSIDE = frozenset("""aside button dialog footer head iframe menu nav noscript object option script select style
 svg template textarea title""".split())
 #: Words of a class, an id or a role that speak for the same.
 WORDS = frozenset("""ad ads adv advert adverts advertisement advertising advertorial alert banner breadcrumb breadcrumbs
 comment comments complementary consent contentinfo cookie cookies copyright dialog disclaimer discussion disqus footer
 form gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup
-promo promoted promotion recommended related remark remarks replies reply search share sharing sidebar signup social
+promo promoted promotion recommended related remark remarks replies reply responses search share sharing sidebar signup social
 sponsor sponsored subscribe subscription toolbar widget""".split())
+#: Words of what readers wrote; they count in full beside any other word.
+REMARKS = frozenset("comment comments discussion disqus remark remarks replies reply responses".split())
 #: The same outside of the article only; inside they may hold its title.
 TOPS = frozenset("header masthead".split())
 SURE = 1_000_000
@@ -85,18 +87,18 @@ class _Reader(HTMLParser):
             self.stack.pop()
         _, outside, inside, number, mark, area = self.stack[-1] if self.stack else ("", False, False, 0, 0, 0)
         inside = inside or tag in ("article", "main")
-        cost = 0
+        cost = NAMED if tag == "form" else 0
         if not outside:
             outside = tag in OUTSIDE or tag == "header" and not inside
             for name, value in attrs:
                 if name == "hidden" or name == "aria-hidden" and value == "true":
-                    outside = True
+                    cost = NAMED  # finite, as it may stand on an element around the article
                 elif name in ("class", "id", "role") and value and tag not in ("html", "body"):
                     barred = WORDS if inside else WORDS | TOPS
                     for one in value.split():
                         words = {w.lower() for w in _PARTS.findall(one)}
                         if words & barred:
-                            cost = max(cost, PARTLY if words - barred else NAMED)
+                            cost = max(cost, PARTLY if words - barred and not words & REMARKS else NAMED)
         if cost:
             self.marks.append((cost, mark))
             mark = len(self.marks) - 1
