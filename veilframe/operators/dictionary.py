@@ -9,9 +9,10 @@ of words that may be terms leave, keyed by the digest of their text, since equal
 from __future__ import annotations
 
 import re
-import uuid
+import sys
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ HELD_BYTES = 64 << 20
 #: pattern_id of a hit that no pattern of the rule book made.
 FOREIGN = -1
 
-_held: dict[str, dict] = {}
+# Executors get these functions by value, so they need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _index(rows) -> dict:
@@ -59,14 +61,14 @@ def _hit_array(rows: list) -> pa.Array:
 
 def _looked_up(df: DataFrame, text: str, rows: list[tuple], score: float, out: str) -> DataFrame:
     """Hits from a dictionary sent to the workers, indexed once in each."""
-    sent, name = df.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+    sent = df.sparkSession.sparkContext.broadcast(rows)
 
     @F.arrow_udf(HITS_TYPE)
     def find(texts: pa.Array, missing: pa.Array) -> pa.Array:
-        if name not in _held:
-            _held.clear()
-            _held[name] = _index(sent.value)
-        index = _held[name]
+        # the broadcast lives as long as the worker, and the index with it
+        index = getattr(sent, "terms_index", None)
+        if index is None:
+            index = sent.terms_index = _index(sent.value)
         return _hit_array([None if gone else find_terms(t, index, score) for t, gone in zip(texts.to_pylist(), missing.to_pylist())])
 
     # the text is named twice: see variants.replaced_udf
