@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import NO_ID, shared_folder, stage, table
+from veilframe.llm.common import NO_ID, discard, shared_folder, stage, table
 from veilframe.llm.mixing import mix
 from veilframe.llm.packing import pack
-from veilframe.llm.quality import accepted, fit, measured
+from veilframe.llm.quality import fit, measured, scored
 from veilframe.llm.simhash import near_duplicates
 from veilframe.llm.suffixes import repeated_bytes
 
@@ -29,10 +29,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted quality 1; the model learns from the labelled ones among them, outside of the held-out fold.
 
-    Texts are measured twice, to learn and to judge, and never shuffled.
+    Texts are measured once, written with their statistics, and never shuffled.
     """
-    rows = stage(measured(docs.select("doc_id", "text")), shared_folder(spark), "measured")
-    return accepted(docs, fit(rows, table(spark, sf_dir, "labels").select("doc_id", "quality"))).select(*COLUMNS)
+    rows = stage(measured(docs.select(*COLUMNS).withColumn("_body", F.col("text"))), shared_folder(spark), "measured")
+    judged = scored(rows, fit(rows, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+    return judged.where("predicted = 1").withColumnRenamed("_body", "text").select(*COLUMNS)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +84,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, through Parquet in the shared folder."""
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    docs, before = table(spark, sf_dir, "documents").select(*COLUMNS), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), folder, name)
+        if before:  # the next stage is written: nothing reads the one before it any more
+            discard(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
