@@ -152,14 +152,3 @@ def scored(rows: DataFrame, model: Discriminant, doc_id: str = "doc_id", thresho
 
     own = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in plain.schema if f.name != "_x")
     return plain.mapInArrow(run, own + "score double, predicted int").toDF(*keep, "held_out", "score", "predicted")
-
-
-def accepted(docs: DataFrame, model: Discriminant, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows whose text scores at least the threshold, all columns as they are."""
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            x = np.rint(np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES)) * UNIT) / UNIT
-            yield batch.filter(pa.array(model.scores(x) >= threshold))
-
-    return docs.mapInArrow(run, docs.schema)
