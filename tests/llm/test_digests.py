@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from veilframe.llm import digests as d
 from veilframe.llm.queries import QUERIES
@@ -63,7 +64,9 @@ def test_likeness():
 
 
 def expected(rows):
-    order = sorted(((i is not None, i, t or "") for i, t in rows), key=lambda r: (r[0], r[1] or 0, r[2].encode()))
+    def signed(t):
+        return (xxhash.xxh64_intdigest(t.encode(), seed=42) ^ 1 << 63) - (1 << 63)
+    order = sorted(((i is not None, i, t or "") for i, t in rows), key=lambda r: (r[0], r[1] or 0, signed(r[2]), r[2].encode()))
     out = []
     for k, (_, i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][2]
@@ -83,6 +86,28 @@ def test_neighbours(spark, buckets):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("buckets", [2, 16])
+def test_hot_ids(spark, buckets):
+    """A third of the rows without an id, a third of one id: neither stays in one range, and the order holds."""
+    rng = random.Random(buckets)
+    rows = [((None, 7, i)[i % 3], text(rng, rng.randint(1, 12))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = d.edited_pairs(docs, buckets=buckets).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got), key=str) == expected(rows)
+    sizes = [r["count"] for r in d.neighbours(docs, "doc_id", "text", buckets).where("_guest = 0").groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 300 and (buckets == 2 or max(sizes) < 50)
+
+
+def test_ranges_keep_the_order():
+    rng = np.random.default_rng(3)
+    ids, h = rng.integers(-3, 4, 4000), rng.integers(-2**63, 2**63 - 1, 4000)
+    none = rng.random(4000) < .2
+    bounds = np.sort(np.concatenate([rng.integers(-3, 4, 5), [2] * 6]))
+    number = d.ranges(ids, none, h, bounds, 3)
+    order = np.lexsort((h, np.where(none, 0, ids), ~none))
+    assert (np.diff(number[order]) >= 0).all() and len(np.unique(number[none])) == 3 and len(np.unique(number[~none & (ids == 2)])) >= 6
+
+
 def test_one_row_and_none(spark):
     one = d.edited_pairs(spark.createDataFrame([(1, "abcdef")], "doc_id bigint, text string")).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one[0]["near_next"] == 1

@@ -175,49 +175,73 @@ def likeness(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> float:
     return total / x[0]
 
 
+def _spread(h: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """Which of so many equal ranges of 64-bit hashes each hash lies in, in the order of the signed hashes."""
+    high = (h.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+    return ((high * parts.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+
+
+def ranges(ids: np.ndarray, none: np.ndarray, h: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
+    """Number of each row's range by id, then hash: an id that fills several ranges, or no id at all, is split by the hash."""
+    values, times = np.unique(bounds, return_counts=True)
+    # per value: ranges of its own if it is more than one bound, and one from it (or from behind it) to the next value
+    own = np.where(times > 1, times, 0)
+    first = nulls + np.append(0, 1 + np.append(0, np.cumsum(own + 1)[:-1])) if len(values) else np.array([nulls])
+    at = np.searchsorted(values, ids, "right")
+    wide, last = np.append(0, own)[at], np.append(np.iinfo(np.int64).min, values)[at]
+    same = (wide > 0) & (ids == last)
+    number = first[at] + np.where(same, _spread(h, np.maximum(wide, 1)), wide)
+    return np.where(none, _spread(h, np.full(len(h), max(nulls, 1))), number)
+
+
 def neighbours(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
-    """(_bucket, _guest, _id, _text) of all rows, ranges of ids in buckets; the first rows of a range also are
-    guests at the end of the range before (of the last one: at the first). Null ids come before all others."""
-    ids = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.coalesce(f"`{text}`", F.lit("")).alias("_text"))
+    """(_bucket, _guest, _id, _h, _text) of all rows, ranges of ids in buckets; the first rows of a range also are
+    guests at the end of the range before (of the last one: at the first). Null ids come before all others.
+
+    Rows of one id follow one another by the hash of their text, so an id of many rows, or none, fills many ranges.
+    """
+    ids = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("_id"), F.coalesce(f"`{text}`", F.lit("")).alias("_text")).withColumn("_h", F.xxhash64("_text"))
     shares = [k / buckets for k in range(1, buckets)]
-    bounds = ids.agg(F.percentile_approx("_id", shares, 10000).alias("b")).first()["b"] if shares else []
-    bounds = np.unique(np.array(bounds or [], np.int64))
+    facts = ids.agg(F.count(F.lit(1)), F.count("_id"), F.percentile_approx("_id", shares, 10000) if shares else F.lit(None)).first()
+    bounds = np.array(facts[2] or [], np.int64)
+    nulls = -(-buckets * (facts[0] - facts[1]) // max(facts[0], 1))
 
-    def ranges(s: pd.Series) -> np.ndarray:
-        null = s.isna().to_numpy()
-        return np.where(null, 0, np.searchsorted(bounds, s.fillna(0).to_numpy(np.int64), "right"))
+    def numbers(s: pd.Series, h: pd.Series) -> np.ndarray:
+        none = s.isna().to_numpy()
+        return ranges(s.fillna(0).to_numpy(np.int64), none, h.to_numpy(np.int64), bounds, nulls)
 
     @F.pandas_udf("int")
-    def bucket(s: pd.Series) -> pd.Series:
-        return pd.Series(ranges(s).astype(np.int32))
+    def bucket(s: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(numbers(s, h).astype(np.int32))
 
-    rows = ids.select("_id").withColumn("b", bucket("_id")).groupBy("b").agg(
-        F.min(F.struct(F.col("_id").isNotNull().alias("some"), "_id")).alias("m")).collect()
-    least = {r["b"]: r["m"]["_id"] for r in rows}  # a number for each of at most ``buckets`` ranges
+    rows = ids.select("_id", "_h").withColumn("b", bucket("_id", "_h")).groupBy("b").agg(
+        F.min(F.struct(F.col("_id").isNotNull().alias("some"), "_id", "_h")).alias("m")).collect()
+    least = {r["b"]: (r["m"]["_id"], r["m"]["_h"]) for r in rows}  # a row for each of a bounded number of ranges
     order = sorted(least)
     before = {b: order[k - 1] for k, b in enumerate(order)}
 
     @F.pandas_udf("array<int>")
-    def places(s: pd.Series) -> pd.Series:
+    def places(s: pd.Series, h: pd.Series) -> pd.Series:
         out = []
-        for i, b in zip(s.astype("object").where(s.notna(), None), ranges(s).tolist()):
-            out.append([b, before[b]] if (None if i is None else int(i)) == least[b] else [b])
+        for i, x, b in zip(s.astype("object").where(s.notna(), None), h.tolist(), numbers(s, h).tolist()):
+            out.append([b, before[b]] if (None if i is None else int(i), x) == least[b] else [b])
         return pd.Series(out)
 
-    return ids.select(F.posexplode(places("_id")).alias("_guest", "_bucket"), "_id", "_text")
+    return ids.select(F.posexplode(places("_id", "_h")).alias("_guest", "_bucket"), "_id", "_h", "_text")
 
 
 def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """Digest of every text and of its edited text, with their likeness, and the likeness to the next document's.
 
     Edited: the last half of the characters (rounded down) gives way to as many of the next document's first ones.
-    Documents follow one another by id, then text; a null id comes first, and the last is followed by the first.
+    Documents follow one another by id, then the hash of their text, then text; a null id comes first, and the last is
+    followed by the first.
     A null text counts as empty; an empty text has no features. Other columns are not carried. No rows: no rows.
     """
     spark = docs.sparkSession
     buckets = buckets or min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = rarity(docs, text)
-    rows = neighbours(docs, doc_id, text, buckets).repartition("_bucket").sortWithinPartitions("_bucket", "_guest", "_id", "_text")
+    rows = neighbours(docs, doc_id, text, buckets).repartition("_bucket").sortWithinPartitions("_bucket", "_guest", "_id", "_h", "_text")
 
     def run(batches):
         held = []  # the last row, whose next one is yet to come: bucket, guest, id, text, digest
