@@ -112,6 +112,15 @@ def test_both_dictionaries_agree(spark):
     assert not {r[2:4] for r in dictionary.term_hits(df, ["id"], "text", terms, longest=1).collect()} - {r[2:4] for r in got[0]}
 
 
+def test_joined_dictionary_of_a_long_text(spark):
+    """No row of a word carries the text: 40,000 copies of it would not fit in any executor."""
+    text = " ".join(f"w{k % 977} ada, lee" for k in range(14000))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    terms = spark.createDataFrame([("ada lee", "PERSON"), ("w5 ada lee w6 ada", "PERSON"), ("LEE", "LOCATION")], "term string, entity_type string")
+    got = [sorted(map(tuple, dictionary.term_hits(df, ["id"], "text", terms, held_bytes=held).collect())) for held in (1 << 20, 0)]
+    assert got[0] == got[1] and len(got[0]) == 28000 + 15
+
+
 def test_texts_made_by_expressions(spark):
     """A text may come from nested expressions, and variants from nested arrays: the Python functions stay in the plan."""
     made = "array_join(transform(array('Ada', 'b'), x -> array_join(transform(array(' sings'), y -> concat(x, y)), '')), ' ')"
