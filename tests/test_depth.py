@@ -121,6 +121,13 @@ def test_joined_dictionary_of_a_long_text(spark):
     assert got[0] == got[1] and len(got[0]) == 28000 + 15
 
 
+def test_terms_in_capitals_match_sharp_s(spark):
+    df = spark.createDataFrame([(1, "Erßie und Strasse, 3 \u212a")], "id int, text string")
+    terms = spark.createDataFrame([("ERSSIE", "PERSON"), ("straße", "LOCATION"), ("k", "NRP")], "term string, entity_type string")
+    for held in (1 << 20, 0):
+        assert sorted(r[1:4] for r in dictionary.term_hits(df, ["id"], "text", terms, held_bytes=held).collect()) == [("LOCATION", 10, 17), ("NRP", 21, 22), ("PERSON", 0, 5)]
+
+
 def test_texts_made_by_expressions(spark):
     """A text may come from nested expressions, and variants from nested arrays: the Python functions stay in the plan."""
     made = "array_join(transform(array('Ada', 'b'), x -> array_join(transform(array(' sings'), y -> concat(x, y)), '')), ' ')"

@@ -34,11 +34,20 @@ FOREIGN = -1
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def folded(word: str) -> str:
+    """A word without its case: the upper case of its lower case, as ß and SS, or K and the Kelvin sign, are one in two cases."""
+    return word.lower().upper()
+
+
+#: The same in SQL; the planner would take upper(lower(w)) for upper(w).
+_FOLDED = "upper(concat(lower({}), ''))"
+
+
 def _index(rows) -> dict:
     """First word -> number of words -> words -> sorted types."""
     index: dict[str, dict[int, dict[tuple, set]]] = {}
     for term, kind in rows:
-        words = tuple(w.lower() for w in _WORD.findall(term or ""))
+        words = tuple(folded(w) for w in _WORD.findall(term or ""))
         if words and kind is not None:
             index.setdefault(words[0], {}).setdefault(len(words), {}).setdefault(words, set()).add(kind)
     return {w: {n: {k: sorted(v) for k, v in t.items()} for n, t in by.items()} for w, by in index.items()}
@@ -47,7 +56,7 @@ def _index(rows) -> dict:
 def find_terms(text: str, index: dict, score: float) -> list[dict]:
     """Hits of one text, ordered by place; a word that begins no term costs one lookup."""
     found = list(_WORD.finditer(text))
-    words = [m.group().lower() for m in found]
+    words = [folded(m.group()) for m in found]
     out = []
     for i, word in enumerate(words):
         for n, terms in (index.get(word) or {}).items():
@@ -84,13 +93,13 @@ def _joined(df: DataFrame, text: str, terms: DataFrame, score: float, lengths: l
     in their task, and the hits of a text, a bounded row, come back by its digest. A word's row holds its own runs only:
     Spark keeps all rows made of one, so a text is first cut into blocks and no row carries more than its block.
     """
-    words = F.transform(F.regexp_extract_all(F.col("term"), F.lit(WORDS), F.lit(0)), F.lower)
+    words = F.transform(F.regexp_extract_all(F.col("term"), F.lit(WORDS), F.lit(0)), lambda w: F.upper(F.concat(F.lower(w), F.lit(""))))
     known = terms.select(words.alias("ws"), "entity_type").where((F.size("ws") > 0) & F.col("entity_type").isNotNull()).select(
         F.col("ws")[0].alias("word"), F.array_join("ws", " ").alias("run"), F.size("ws").alias("n"), "entity_type").distinct()
     digest = F.sha2(F.col(ident(text)), 256)
     blocks = (f"filter(transform(sequence(0, size(tn_t), {BLOCK_WORDS}), tn_c -> named_struct('n', least({BLOCK_WORDS}, size(tn_t) - tn_c), "
               f"'ws', slice(tn_t, tn_c + 1, {BLOCK_WORDS + max(lengths, default=1) - 1}))), tn_b -> tn_b.n > 0)")
-    cut = df.select(digest.alias("_of"), column(let("tn_t", pieces(ident(text), WORDS, "lower({})"), blocks)).alias("bs")).where("_of IS NOT NULL")
+    cut = df.select(digest.alias("_of"), column(let("tn_t", pieces(ident(text), WORDS, _FOLDED), blocks)).alias("bs")).where("_of IS NOT NULL")
     cut = cut.select("_of", F.explode_outer("bs").alias("b")).where("b IS NOT NULL")
     # one row per word of a text and place; those that begin no term go before they are shuffled
     runs = (f"transform(filter({lits(lengths, 'int')}, tn_n -> tn_i + tn_n <= size(b.ws)), tn_n -> named_struct('hit_end', get(b.ws, tn_i + tn_n - 1).`end`, "
