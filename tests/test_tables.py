@@ -177,3 +177,21 @@ def test_stream_equals_batch_and_drops_late(spark, texts, tmp_path):
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
     want = sorted(map(tuple, jobs.sanitize_stream(df, policy="log_safe").select("id", "sanitized_text").collect()))
     assert got == want
+
+
+def test_tasks_hold_a_bounded_number_of_rows(spark, tmp_path):
+    from veilframe.sources.layout import spread
+    assert spread(spark.range(0, 1000, 1, 8), rows=50).rdd.getNumPartitions() == 20
+    assert spread(spark.range(0, 1000, 1, 40), rows=50).rdd.getNumPartitions() == 40
+    assert spread(spark.range(0, 1000, 1, 1), rows=5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_a_batch_of_one_file_is_dealt_out(spark, tmp_path):
+    spark.range(0, 400, 1, 1).selectExpr("id", "concat('mail u', id, '@example.com') AS text").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint, text string").parquet(str(tmp_path / "in"))
+    places = "spark_partition_id() AS place"
+    jobs.run_to_table(jobs.sanitize_stream(stream).selectExpr("id", "sanitized_text", places), str(tmp_path / "a"), str(tmp_path / "sa"))
+    jobs.run_to_table(jobs.gate_stream(stream).selectExpr("id", "safe_text", places), str(tmp_path / "b"), str(tmp_path / "sb"))
+    jobs.upsert_to_table(stream, str(tmp_path / "c"), str(tmp_path / "sc"), lambda batch: batch.selectExpr("id", places))
+    for done in (spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b")), jobs.read_ledgered(spark, str(tmp_path / "c"))):
+        assert done.count() == done.select("id").distinct().count() == 400 and done.select("place").distinct().count() > 8

@@ -20,15 +20,26 @@ def checkpoint_root(spark: SparkSession, default: str | None = None) -> str:
     return found or default
 
 
+#: Tasks a core that a batch of a stream is dealt to before its texts are treated.
+BATCH_WAVES = 8
+
+
+def dealt(texts: DataFrame, parts: int | None = None) -> DataFrame:
+    """The rows of every batch dealt out evenly: a file may be one split, and a batch one file, whatever its rows cost."""
+    return texts.repartition(parts or BATCH_WAVES * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def sanitize_stream(texts: DataFrame, text: str = "text", mode: str = "mask", policy=None, book=None,
-                    **options) -> DataFrame:
-    """Stateless: the batch operators applied to a stream."""
+                    parts: int | None = None, **options) -> DataFrame:
+    """Stateless: the batch operators applied to a stream, whose batches are dealt to ``parts`` tasks."""
+    texts = dealt(texts, parts) if texts.isStreaming else texts
     if policy is not None:
         return apply_policy(texts, policy, text, book, **options)
     return sanitize(texts, text, mode, book, **options)
 
 
-def gate_stream(texts: DataFrame, text: str = "text", book=None, **options) -> DataFrame:
+def gate_stream(texts: DataFrame, text: str = "text", book=None, parts: int | None = None, **options) -> DataFrame:
+    texts = dealt(texts, parts) if texts.isStreaming else texts
     return preflight_gate(texts, text, book, **options)
 
 
@@ -67,7 +78,7 @@ def write_batch(batch: DataFrame, number: int, path: str, work: Callable[[DataFr
     spark = batch.sparkSession
     if _exists(spark, f"{path}/ledger/{number}.done"):
         return False
-    work(batch).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+    work(dealt(batch)).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
     _enter(spark, path, number)
     return True
 
