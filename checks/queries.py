@@ -20,7 +20,7 @@ from veilframe.functions.sqlnames import register_functions
 from veilframe.operators import audit, catalogs, dictionary, policy, preflight, records, reports, sanitize, scan
 from veilframe.plans import config, flows
 from veilframe.sources import readers, writers
-from veilframe.sources.layout import spread
+from veilframe.sources.layout import TASK_ROWS, spread
 from veilframe.streaming import jobs
 
 from . import oracle as o
@@ -41,7 +41,7 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{table}.parquet")
     needed = {"notes": ["c_custkey"], "memos": ["c_custkey"], "proofs": ["c_custkey"], "documents": ["doc_id", "text"],
               "pages": ["page_id", "html"], "conversations": ["conv_id", "turn", "text"]}[name]
-    return spread(df.select(*needed)).selectExpr(f"{key} AS id", f"{text} AS text")
+    return spread(df.select(*needed), rows={"pages": 1000, "documents": 10_000}.get(name, TASK_ROWS)).selectExpr(f"{key} AS id", f"{text} AS text")
 
 
 def joined(col: str):
@@ -413,7 +413,7 @@ def _profile_frame(spark, sf, profile) -> DataFrame:
         return "named_struct(" + ", ".join(
             f"'{n}', {build(v) if isinstance(v, dict) else v}" for n, v in node.items()) + ")"
 
-    df = spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"))
+    df = spread(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), rows=10_000)
     return df.selectExpr("c_custkey AS row_id", *[f"{build(v) if isinstance(v, dict) else v} AS `{n}`"
                                                   for n, v in tree.items()])
 

@@ -1,16 +1,19 @@
-"""Input layout: make sure a small or badly split input still uses the cluster."""
+"""Input layout: make sure an input of any size uses the cluster in tasks of bounded length."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: Rows of short texts that one task treats: some tens of seconds of detection.
+TASK_ROWS = 50_000
 
-def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Repartition only if the input has fewer splits than there are cores.
 
-    Detection costs far more per byte than moving the byte, so an input of one or two splits
-    is worth one shuffle. A large input has more splits than cores and is left as it is; with
-    fewer, its size is bounded by cores times the split size.
+def spread(df: DataFrame, parts: int | None = None, rows: int = TASK_ROWS) -> DataFrame:
+    """Repartition an input with fewer splits than there are cores, or with more than ``rows`` rows to a split.
+
+    Detection costs far more per byte than moving the byte, so both are worth one shuffle: a columnar split of 128 MB may
+    hold millions of short texts, and the longest task would grow with the table. Rows are counted from the files'
+    footers. An input with splits enough is left as it is.
     """
-    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    parts = parts or max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
