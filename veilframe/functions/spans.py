@@ -20,6 +20,10 @@ from .validators import checked
 _CASE_ALIASES = ("ſ", "ı", "İ", "K")
 
 
+#: Screens of texts that have a digit: letters of any alphabet, and digits with a separator between them.
+_BESIDE_DIGITS = {"letters": r"\p{L}", "joined": r"(?U)\d[-/. :]\d"}
+
+
 def _any_in(haystack: str, stems) -> list[str]:
     return [f"contains({haystack}, {lit(s)})" for s in stems]
 
@@ -46,6 +50,9 @@ def _screens(text: str, rules) -> str:
         fields.append(f"'terms', {text} rlike {lit(TERMS_SCREEN)}")
     runs = sorted({args[0] for kind, args in needs if kind == "digits"})
     fields += [f"'digits{n}', sp_d{n}" for n in runs]
+    # These need a digit as well: every rule that asks for them asks for a run of digits.
+    some = f"sp_d{runs[0]} and " if runs else ""
+    fields += [f"{lit(kind)}, {some}{text} rlike {lit(screen)}" for kind, screen in _BESIDE_DIGITS.items() if any(kind == k for k, _ in needs)]
     screens = f"named_struct({', '.join(fields) or lit('none') + ', 0'})"
     # A longer run is looked for only where a shorter one was found.
     for k in range(len(runs) - 1, -1, -1):
@@ -58,8 +65,8 @@ def _holds(need, text: str, screen: str) -> str:
     kind, args = need
     if kind == "digits":
         return f"{screen}.digits{args[0]}"
-    if kind == "terms":
-        return f"{screen}.terms"
+    if kind in ("terms", *_BESIDE_DIGITS):
+        return f"{screen}.{kind}"
     if kind == "any":
         return f"({' or '.join(_any_in(screen + '.low', args))} or {screen}.odd)"
     if kind in ("starts", "word"):
@@ -72,11 +79,47 @@ def _may_match(rule: Rule, text: str, screen: str) -> str:
     return " and ".join(_holds(need, text, screen) for need in rule.needs) or "true"
 
 
+def _gate(rule: Rule) -> str:
+    """The kind of need that a rule shares with others, so that one look shuts them all."""
+    kinds = [kind for kind, _ in rule.needs]
+    return next((k for k in ("starts", "one", "any", "terms", "letters", "joined", "digits") if k in kinds), "").replace("one", "starts")
+
+
+def _opened(gate: str, rules, screen: str) -> str:
+    """Necessary condition for any of these rules, all of one gate."""
+    if gate == "starts":
+        return f"({screen}.odd or {screen}.starts)"
+    if gate == "any":
+        stems = sorted({s for r in rules for kind, args in r.needs if kind == "any" for s in args}, key=len)
+        stems = [s for k, s in enumerate(stems) if not any(t in s for t in stems[:k])]
+        return f"({' or '.join(_any_in(screen + '.low', stems))} or {screen}.odd)"
+    runs = [args[0] for r in rules for kind, args in r.needs if kind == "digits"]
+    needs = ([(gate, ())] if gate in ("terms", *_BESIDE_DIGITS) else []) + ([("digits", (min(runs),))] if len(runs) == len(rules) else [])
+    return " and ".join(_holds(need, "", screen) for need in needs) or "true"
+
+
+def _tried(text: str, rules) -> str:
+    """array<struct<i,m>>: the place of every rule whose gate is open, with its matches. Rules of a shut gate cost nothing."""
+    gates: dict[str, list] = {}
+    for place, rule in enumerate(rules):
+        gates.setdefault(_gate(rule), []).append((place, rule))
+    none = "cast(array() as array<struct<i:int,m:array<string>>>)"
+    parts = []
+    for gate, placed in gates.items():
+        tried = [f"named_struct('i', {place}, 'm', case when {_may_match(r, text, 'sp_s')} then regexp_extract_all({text}, {lit(r.java)}, 0) end)"
+                 for place, r in placed]
+        parts.append(f"case when {_opened(gate, [r for _, r in placed], 'sp_s')} then array({', '.join(tried)}) else {none} end")
+    return let("sp_s", _screens(text, rules), f"concat({', '.join(parts)})")
+
+
+def _found(text: str, rules) -> str:
+    """array<struct<i,m>>: the rules that match, by their places, with their matches."""
+    return f"filter({_tried(text, rules)}, sp_n -> size(sp_n.m) > 0)"
+
+
 def _matches(text: str, rules) -> str:
-    """array<array<string>>: per rule its matches, null where the rule was not needed."""
-    per_rule = [f"case when {_may_match(r, text, 'sp_s')} then regexp_extract_all({text}, {lit(r.java)}, 0) end"
-                for r in rules]
-    return let("sp_s", _screens(text, rules), f"array({', '.join(per_rule)})")
+    """array<array<string>>: per rule its matches, null where it has none."""
+    return let("sp_f", _found(text, rules), f"transform(sequence(0, {len(rules) - 1}), sp_k -> get(filter(sp_f, sp_n -> sp_n.i = sp_k), 0).m)")
 
 
 _BLANKS = chr(92) + "s+"
@@ -96,6 +139,14 @@ def _near_in(words: str, wanted: int) -> str:
     return let("sp_p", plain, "exists(sp_q.words, sp_v -> contains(sp_p, sp_v))")
 
 
+def _said_at_all() -> str:
+    """Necessary condition for a context word before any hit: it is in the text, at its end maybe only as the beginning of a word.
+
+    A hit may cut the word before it. What a capital sigma becomes depends on the letter after it, so texts with one are looked at.
+    """
+    return "(contains(sp_t, 'Σ') or exists(sp_q.words, sp_v -> contains(sp_low, rtrim(sp_v))))"
+
+
 def _context_index() -> str:
     """Where the words of the text start, its tokens, and the tokens in lower case joined by blanks; linear in the text."""
     token = "[" + _MARKS[2:]
@@ -143,11 +194,14 @@ def hits_sql(text: str, book: RuleBook, hint: str | None = None, boosted: str |
         seen = f"(sp_q.hinted or coalesce(array_contains({boosted}, sp_q.entity), false))"
     # Per fired rule its spans, each with the words of the last characters before it. Where these are too few, as in
     # text with hardly any blanks, the words are looked up in an index of the text, built once and only then.
+    # A rule none of whose context words stands anywhere in the text is not looked at any closer.
     width, wanted = book.context_look, book.context_words
-    words = f"case when size(sp_q.words) > 0 and not {seen} then {_tail_words('sp_g.start', width)} end"
+    words = f"case when sp_said then {_tail_words('sp_g.start', width)} end"
     spans = f"transform({_spans(rules)}, sp_g -> named_struct('start', sp_g.start, 'end', sp_g.`end`, 'words', {words}))"
-    rule = "get(sp_rules, sp_i)"
-    spans = f"transform(sp_f, sp_i -> {let('sp_q', rule, spans)})"
+    said = f"size(sp_q.words) > 0 and not {seen} and {_said_at_all()}"
+    rule = "get(sp_rules, sp_i.i)"
+    spans = f"transform(sp_f, sp_i -> {let('sp_q', rule, let('sp_said', said, spans))})"
+    spans = let("sp_low", f"concat(' ', regexp_replace(lower(sp_t), {lit(_MARKS)}, ' '))", spans)
     short = f"(size(sp_x.words) <= {wanted} and sp_x.start > {width})"
     index = f"case when exists(sp_w, sp_g -> exists(sp_g, sp_x -> {short})) then {_context_index()} end"
     near = f"case when sp_x.words is null then false when {short} then {_near_by_index(wanted)} else {_near_in('sp_x.words', wanted)} end"
@@ -157,13 +211,10 @@ def hits_sql(text: str, book: RuleBook, hint: str | None = None, boosted: str |
     scored = (f"transform(get(sp_w, sp_s), sp_x -> named_struct('start', sp_x.start, 'end', sp_x.`end`, "
               f"'entity_type', sp_q.entity, 'score', {score}, 'pattern_id', sp_q.id))")
     per_rule = let("sp_q", rule, f"filter({scored}, sp_h -> sp_h.score >= sp_q.lim)")
-    fired = f"filter(sequence(0, {len(rules) - 1}), sp_n -> coalesce(size(get(sp_m, sp_n)), 0) > 0)"
     gathered = f"cast(flatten(transform(sp_f, (sp_i, sp_s) -> {per_rule})) as {HITS_TYPE})"
     gathered = let("sp_rules", _rule_table(rules, book, always), let("sp_w", spans, let("sp_ix", index, gathered)))
-    found = let("sp_f", fired, f"case when size(sp_f) = 0 then {NO_HITS} "
-                               f"else {drop_contained(f'sort_array({gathered})')} end")
-    return let("sp_t", text, f"case when sp_t is null then {NO_HITS} "
-                             f"else {let('sp_m', _matches('sp_t', rules), found)} end")
+    found = f"case when size(sp_f) = 0 then {NO_HITS} else {drop_contained(f'sort_array({gathered})')} end"
+    return let("sp_t", text, f"case when sp_t is null then {NO_HITS} else {let('sp_f', _found('sp_t', rules), found)} end")
 
 
 def _rule_table(rules, book: RuleBook, always: set[str]) -> str:
@@ -177,14 +228,16 @@ def _rule_table(rules, book: RuleBook, always: set[str]) -> str:
 
 
 def _spans(rules) -> str:
-    """array<struct<start,end,m>> of the rule sp_q, whose matches are at sp_i; validated."""
-    pairs = ("zip_with(get(sp_m, sp_i), split(sp_t, sp_q.rx, -1), "
+    """array<struct<start,end,m>> of the rule sp_q, whose matches are sp_i.m; validated."""
+    pairs = ("zip_with(sp_i.m, split(sp_t, sp_q.rx, -1), "
              "(sp_a, sp_b) -> named_struct('m', sp_a, 'gap', length(sp_b)))")
     steps = "transform(sp_z, sp_c -> sp_c.gap + coalesce(length(sp_c.m), 0))"
     start = "get(sp_y, sp_k) + sp_d.gap"
+    # the only match of a text, and of many more the first, stands behind the first gap
+    places = f"case when size(sp_z) <= 2 then array(0) else {running(steps, '0', lambda a, x: f'{a} + {x}')} end"
     spans = (f"transform(filter(sp_z, sp_c -> sp_c.m is not null), (sp_d, sp_k) -> named_struct('start', {start}, "
              f"'end', {start} + length(sp_d.m), 'm', sp_d.m))")
-    folded = let("sp_z", pairs, let("sp_y", running(steps, "0", lambda a, x: f"{a} + {x}"), spans))
+    folded = let("sp_z", pairs, let("sp_y", places, spans))
     if not any(r.validator for r in rules):
         return folded
     return f"filter({folded}, sp_g -> {checked('sp_q.kind', 'sp_g.m')})"
