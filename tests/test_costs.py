@@ -55,3 +55,10 @@ def test_pile_of_hits(texts):
     hits = scan.hits_table(texts([ADDRESS]), ["id"]).collect()
     assert sum(h.entity_type == "EMAIL_ADDRESS" for h in hits) == 20
     assert {h.hit_end - h.hit_start for h in hits if h.entity_type == "IP_ADDRESS"} == {8}
+
+
+def test_long_texts_are_dealt_to_more_tasks(spark, tmp_path):
+    from checks import deep
+    spark.range(100_000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert deep._pile(spark, str(tmp_path)).rdd.getNumPartitions() == 50
+    assert deep._no_blanks(spark, str(tmp_path)).rdd.getNumPartitions() == 10
