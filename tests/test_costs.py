@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilframe.catalog.rules import RuleBook, default_book
 from veilframe.functions import core, spans
-from veilframe.operators import scan
+from veilframe.operators import records, scan
 
 ADDRESS = "see https://host7.example.com/?" + "m=u7@example.com&nr=10.0.0.7&d=2021-03-04&t=10:15&" * 20
 
@@ -17,6 +17,23 @@ def test_rules_tried(spark, text, most):
     assert df.select(F.expr(f"size({spans._tried('t', rules)})")).first()[0] <= most
 
 
+@pytest.mark.parametrize("text,most", [("mail user12345@example.com", 6), ("ring (402) 555-0123", 14), ("10 items", 4)])
+def test_rules_that_wait_for_other_marks_cost_nothing(spark, text, most):
+    """No struct is made for the rules that ask for longer runs of digits or another mark than the text has."""
+    rules = default_book().reachable().rules
+    assert spark.createDataFrame([(text,)], "t string").select(F.expr(f"size({spans._tried('t', rules)})")).first()[0] <= most
+
+
+def test_equal_strings_of_a_row_are_detected_once(spark):
+    rows = [["a@b.org", "x", "a@b.org"], ["a@b.org", None, "a@b.org"], [], ["a@b.org"] * (records.APART + 1), None]
+    df = spark.createDataFrame([(r,) for r in rows], "v array<string>")
+    assert [n[0] for n in df.select(F.expr(f"size({records._told_apart('v')})")).collect()] == [2, 3, 0, records.APART + 1, None]
+    for mode, mail in (("mask", "[EMAIL_ADDRESS]"), ("exclude", None)):
+        done = records.sanitize_nested(df, mode=mode, report=True).collect()
+        assert [r.v for r in done] == [r and [mail if x == "a@b.org" else x for x in r] for r in rows]
+        assert [r.hit_count for r in done] == [2, 2, 0, records.APART + 1, 0]
+
+
 def test_bisection_takes_as_many_steps_as_its_length_has_digits(spark):
     sizes = [0, 1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 100, 1023, 1024, 1025, (1 << 20) - 1, 1 << 20, (1 << 27) - 1]
     rows = [(n, k) for n in sizes for k in {0, 1, n // 2, max(n - 1, 0), n} if k <= n]

@@ -4,13 +4,15 @@ import json
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantVal
 
 from veilframe.catalog.rules import RuleBook, default_book
-from veilframe.functions import overlap
+from veilframe.functions import overlap, variants
 from veilframe.functions.core import HITS_TYPE, column
 from veilframe.functions.variants import replaced, strings
 from veilframe.operators import audit, dictionary, models, records, scan
@@ -80,6 +82,40 @@ def test_variant_encoding():
         strings(bytes([31 << 2]), b"\x01\x00\x00")
 
 
+@pytest.mark.parametrize("block", [1, 200, 1 << 22])
+def test_variants_of_a_batch_are_walked_together(monkeypatch, block):
+    """However the values are cut into blocks, a batch gives what its values give one by one."""
+    monkeypatch.setattr(variants, "BLOCK", block)
+    docs = [VariantVal.parseJson(d) for d in ('{"b":["x",{"a":"é"}],"a":"y"}', "7", '"top"', "[]", '["' + "z" * 300 + '",null,"w"]', '{"n":{"b":"q"}}')]
+    value, metadata = (pa.array([b"cut off", *(getattr(d, k) for d in docs)], pa.binary())[1:] for k in ("value", "metadata"))
+    there = np.array([True, True, True, True, True, False])
+    counts, paths, texts = variants.strings_of(value, metadata, there)
+    told = [strings(d.value, d.metadata) if t else [] for d, t in zip(docs, there)]
+    assert counts.tolist() == [3, 0, 1, 0, 2, 0] == [len(t) for t in told]
+    assert list(zip(paths.to_pylist(), texts.to_pylist())) == [(s["path"], s["text"]) for t in told for s in t]
+    assert paths.to_pylist()[:3] == ["a", "b", "b.a"] and variants.strings_of(value, metadata, there, False)[1].null_count == 6
+    new = [["1", None, "2" * 70], [], ["é"], [], ["", "3" * 64], []]
+    rows = np.array([0, 2, 4])
+    got = variants.replaced_in(value, rows, pa.array([t for k in rows for t in new[k]], pa.string()))
+    assert got.to_pylist() == [replaced(docs[k].value, new[k]) for k in rows]
+    assert VariantVal(got[0].as_py(), docs[0].metadata).toPython() == {"a": "1", "b": [None, {"a": "2" * 70}]}
+    with pytest.raises(ValueError, match="not as many"):
+        variants.replaced_in(value, rows, pa.array(["1"] * 7))
+    with pytest.raises(ValueError, match="malformed"):
+        strings(docs[0].value[:-2], docs[0].metadata)
+
+
+def test_rows_without_hits_keep_their_variants(spark):
+    """Rows with hits and without, null rows and null variants in one batch; repeated strings in one variant."""
+    df = spark.sql("""select * from values (1, '{"a":"a@b.org","b":["a@b.org","plain"]}'), (2, '{"a":"plain"}'), (3, cast(null as string)), (4, '"c@d.org"'), (5, '5') as t(id, j)""")
+    done = records.sanitize_nested(df.coalesce(1).selectExpr("id", "case when id <> 2 then array(parse_json(j), null) when j is not null then array(parse_json(j)) end as v",
+                                                             "case when id <> 5 then parse_json(j) end as w"))
+    rows = done.selectExpr("id", "to_json(w) w", "to_json(v[0]) a", "size(v) n", "get(v, 1) is null as e").orderBy("id").collect()
+    masked = '{"a":"[EMAIL_ADDRESS]","b":["[EMAIL_ADDRESS]","plain"]}'
+    assert [(r.w, r.a, r.n, r.e) for r in rows] == [(masked, masked, 2, True), ('{"a":"plain"}', '{"a":"plain"}', 1, True), (None, None, 2, True),
+                                                    ('"[EMAIL_ADDRESS]"', '"[EMAIL_ADDRESS]"', 2, True), (None, "5", 2, True)]
+
+
 def test_fields_that_hide_text_are_refused(spark):
     df = spark.sql("select parse_json('\"a@b.org\"') as v, named_struct('t', 'a@b.org') as s, 5 as n")
     for field in ("v", "s"):

@@ -62,12 +62,15 @@ def _one(*needs):
 _TERMS = ("terms", ())
 _LETTERS = ("letters", ())
 _JOINED = ("joined", ())
+_CODED = ("coded", ())
+_DATED = ("dated", ())
 
 # Needs per pattern; all listed needs must hold.
 #   digits n   a run of n digits somewhere         any     one of the strings, in lower case
 #   starts     a word starts with one of these     word    one of these as a whole word
 #   terms      a listed title, name, place or group, case kept
 #   letters    a letter somewhere                  joined   two digits with one of - / . : or a blank between them
+#   coded      a word of one to three letters, two digits after it or after one blank or dash       dated    a letter, then blanks, then a digit
 #   one        one of several needs
 NEEDS = {
     "tix_case_id": [_starts("tix")],
@@ -81,21 +84,21 @@ NEEDS = {
     "cashnet_id": [_starts("cn-", "cn_")],
     "sar_id": [_starts("sar-", "sar_")],
     "txn_explicit": [_digits(6), _starts("transaction", "payment")],
-    "us_plate": [_digits(2), _LETTERS],
+    "us_plate": [_digits(2), _CODED],
     "plate_explicit": [_starts("plate", "tag")],
-    "d_prefix": [_digits(6), _LETTERS],
+    "d_prefix": [_digits(6), _CODED],
     "colleague_at": [_any("@"), _digits(6)],
     "banner_numeric": [_digits(6)],
     "colleague_numeric": [_digits(6)],
-    "mm_dd_yyyy": [_digits(4), _JOINED],
-    "yyyy_mm_dd": [_digits(4), _JOINED],
-    "written_dob": [_digits(4), _LETTERS],
+    "mm_dd_yyyy": [_digits(4), _JOINED, _any("-", "/")],
+    "yyyy_mm_dd": [_digits(4), _JOINED, _any("-", "/")],
+    "written_dob": [_digits(4), _DATED],
     "ferpa_phrase": [_starts("education record", "academic ", "transcript", "disciplinary record",
                              "financial aid", "tuition balance", "gpa", "grade point", "enrollment status",
                              "cumulative gpa", "degree audit", "student account", "disability accommodation",
                              "satisfactory academic", "sap status", "incomplete grade", "withdrawal",
                              "course withdrawal")],
-    "fafsa_number": [_digits(6), _LETTERS],
+    "fafsa_number": [_digits(6), _CODED],
     "fsa_id": [_starts("fsa")],
     "isir_reference": [_starts("isir")],
     "efc_value": [_starts("efc")],
@@ -122,29 +125,29 @@ NEEDS = {
     "ach_routing": [_digits(6)],
     "account_number": [_digits(6)],
     "account_explicit": [_digits(6), _LETTERS],
-    "ml_prefix": [_digits(6), _LETTERS],
+    "ml_prefix": [_digits(6), _CODED],
     "npi_10digit": [_digits(6), _LETTERS],
     "npi_bare": [_digits(6)],
-    "ssn_dashed": [_digits(4), _JOINED],
+    "ssn_dashed": [_digits(4), _JOINED, _any("-")],
     "ssn_spaced": [_digits(4), _JOINED],
-    "ssn_dotted": [_digits(4), _JOINED],
+    "ssn_dotted": [_digits(4), _JOINED, _any(".")],
     "ssn_nodash": [_digits(6)],
     "mailbox": [_any("@")],
     "nanp": [_digits(4), _JOINED],
     "international": [_any("+")],
     "card_number": [_digits(4)],
-    "ipv4": [_digits(1), _JOINED],
+    "ipv4": [_digits(1), _JOINED, _any(".")],
     "ipv6": [_any(":")],
     "ipv6_short": [_any("::")],
     "ipv6_tail": [_any("::")],
     "scheme": [_any("://")],
     "www": [_starts("www.")],
-    "iso": [_digits(4), _JOINED],
-    "slashed": [_digits(2), _JOINED],
-    "written": [_digits(4), _LETTERS],
-    "clock": [_digits(2), _JOINED],
-    "iban_compact": [_digits(2), _LETTERS],
-    "iban_spaced": [_digits(4), _LETTERS],
+    "iso": [_digits(4), _JOINED, _any("-")],
+    "slashed": [_digits(2), _JOINED, _any("/")],
+    "written": [_digits(4), _DATED],
+    "clock": [_digits(2), _JOINED, _any(":")],
+    "iban_compact": [_digits(2), _CODED],
+    "iban_spaced": [_digits(4), _CODED],
     "base58_wallet": [_digits(1)],
     "bech32_wallet": [_starts("bc1")],
     "hex_wallet": [_starts("0x")],
@@ -152,12 +155,12 @@ NEEDS = {
     "itin_separated": [_digits(4), _JOINED],
     "itin_bare": [_digits(6)],
     "passport_number": [_digits(6)],
-    "licence_lettered": [_digits(6), _LETTERS],
+    "licence_lettered": [_digits(6), _CODED],
     "licence_digits": [_digits(6)],
     "titled_name": [_TERMS],
     "given_and_family": [_TERMS],
     "street": [_digits(1), _LETTERS],
-    "state_zip": [_digits(4), _LETTERS],
+    "state_zip": [_digits(4), _CODED],
     "place_name": [_TERMS],
     "group_term": [_TERMS],
 }

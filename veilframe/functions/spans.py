@@ -20,8 +20,8 @@ from .validators import checked
 _CASE_ALIASES = ("ſ", "ı", "İ", "K")
 
 
-#: Screens of texts that have a digit: letters of any alphabet, and digits with a separator between them.
-_BESIDE_DIGITS = {"letters": r"\p{L}", "joined": r"(?U)\d[-/. :]\d"}
+#: Screens of texts that have a digit: letters of any alphabet, digits with a separator between them, digits behind a short word, digits behind a blank.
+_BESIDE_DIGITS = {"letters": r"\p{L}", "joined": r"(?U)\d[-/. :]\d", "coded": r"(?iU)\b[a-z]{1,3}[-\s]?\d\d", "dated": r"(?U)\p{L}\.?\s+\d"}
 
 
 def _any_in(haystack: str, stems) -> list[str]:
@@ -79,10 +79,14 @@ def _may_match(rule: Rule, text: str, screen: str) -> str:
     return " and ".join(_holds(need, text, screen) for need in rule.needs) or "true"
 
 
-def _gate(rule: Rule) -> str:
-    """The kind of need that a rule shares with others, so that one look shuts them all."""
+def _gate(rule: Rule) -> tuple[str, str]:
+    """The kind of need that a rule shares with others, and what it asks of that kind, so that one look at each shuts them all."""
     kinds = [kind for kind, _ in rule.needs]
-    return next((k for k in ("starts", "one", "any", "terms", "letters", "joined", "digits") if k in kinds), "").replace("one", "starts")
+    gate = next((k for k in ("starts", "one", "terms", *_BESIDE_DIGITS, "any", "digits") if k in kinds), "").replace("one", "starts")
+    if gate == "any":
+        # rules that wait for the same mark: an address and a mail address both need an @
+        return gate, min(s[0] for kind, args in rule.needs if kind == "any" for s in args)
+    return gate, str(min((args[0] for kind, args in rule.needs if kind == "digits"), default="")) if gate not in ("starts", "terms") else ""
 
 
 def _opened(gate: str, rules, screen: str) -> str:
@@ -99,17 +103,29 @@ def _opened(gate: str, rules, screen: str) -> str:
 
 
 def _tried(text: str, rules) -> str:
-    """array<struct<i,m>>: the place of every rule whose gate is open, with its matches. Rules of a shut gate cost nothing."""
-    gates: dict[str, list] = {}
+    """array<struct<i,m>>: the place of every rule whose gates are open, with its matches. Rules of a shut gate cost nothing."""
+    gates: dict[str, dict[str, list]] = {}
     for place, rule in enumerate(rules):
-        gates.setdefault(_gate(rule), []).append((place, rule))
+        gate, part = _gate(rule)
+        gates.setdefault(gate, {}).setdefault(part, []).append((place, rule))
     none = "cast(array() as array<struct<i:int,m:array<string>>>)"
+
+    def joined(parts):
+        return parts[0] if len(parts) == 1 else f"flatten(array({', '.join(parts)}))"
+
+    def opened(gate, placed, found):
+        return f"if({_opened(gate, [r for _, r in placed], 'sp_s')}, {found}, {none})"
+
     parts = []
-    for gate, placed in gates.items():
-        tried = [f"named_struct('i', {place}, 'm', case when {_may_match(r, text, 'sp_s')} then regexp_extract_all({text}, {lit(r.java)}, 0) end)"
-                 for place, r in placed]
-        parts.append(f"case when {_opened(gate, [r for _, r in placed], 'sp_s')} then array({', '.join(tried)}) else {none} end")
-    return let("sp_s", _screens(text, rules), f"concat({', '.join(parts)})")
+    for gate, inner in gates.items():
+        found = [(placed, "array(" + ", ".join(
+            f"named_struct('i', {place}, 'm', if({_may_match(r, text, 'sp_s')}, regexp_extract_all({text}, {lit(r.java)}, 0), null))"
+            for place, r in placed) + ")") for placed in inner.values()]
+        if len(found) > 1:
+            parts.append(opened(gate, [p for placed in inner.values() for p in placed], joined([opened(gate, *f) for f in found])))
+        else:
+            parts.append(opened(gate, *found[0]))
+    return let("sp_s", _screens(text, rules), joined(parts))
 
 
 def _found(text: str, rules) -> str:

@@ -278,6 +278,21 @@ def _rewritten(df: DataFrame, policy, mode: str, skip, redact_with: str, how: Ps
     return df.withColumn("__done", column(let("rn_all", "__hits", f"transform(__texts, (rn_t, rn_k) -> {body})")))
 
 
+#: Up to this many strings of a row are told apart, so that those that repeat are detected once; more are not compared with each other.
+APART = 64
+
+
+def _told_apart(texts: str) -> str:
+    """The different strings of a row, or all of them if there are many or some are null."""
+    return f"case when size({texts}) <= {APART} and not exists({texts}, ta_x -> ta_x is null) then array_distinct({texts}) else {texts} end"
+
+
+def _for_each(texts: str, apart: str, found: str) -> str:
+    """What was found for the different strings, for every string."""
+    spread = let("fe_m", f"map_from_arrays(fe_a, {found})", "transform(fe_t, fe_x -> element_at(fe_m, fe_x))")
+    return let("fe_t", texts, let("fe_a", apart, f"case when size(fe_t) = size(fe_a) then {found} else {spread} end"))
+
+
 def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleBook | None = None, *,
                     policy=None, profile: str | Profile | None = None, custom_profiles: dict | None = None, skip=(),
                     redact_with: str = "", how: Pseudonyms = Pseudonyms(), report: bool = False,
@@ -309,19 +324,24 @@ def sanitize_nested(df: DataFrame, columns=None, mode: str = "mask", book: RuleB
 
     texts, paths = gathered(T.StringType)
     deep = any(_has(k, T.VariantType) for k in kinds.values())
+    boosts = {f: sorted(hinted_entities(e, book)) for f, e in hints.items() if e}
+    named = bool(boosts) or report  # whether anything asks for the paths
     if deep:
         variants, roots = gathered(T.VariantType)
-        df = df.withColumn("__variants", column(variants)).withColumn("__strings", strings_udf()("__variants"))
+        df = df.withColumn("__variants", column(variants)).withColumn("__strings", strings_udf(named)("__variants"))
         texts = f"concat({texts}, transform(flatten(__strings), vs_x -> vs_x.text))"
         paths = f"concat({paths}, {let('vs_r', roots, 'flatten(transform(__strings, (vs_v, vs_i) -> transform(vs_v, vs_x -> concat_ws(' + lit('.') + ', get(vs_r, vs_i), nullif(vs_x.path, ' + lit('') + ')))))')})"
-    boosts = {f: sorted(hinted_entities(e, book)) for f, e in hints.items() if e}
     boosted = None
     if boosts:
         table = f"from_json({lit(json.dumps(boosts))}, 'map<string,array<string>>')"
         boosted = f"coalesce(try_element_at({table}, get(rc_p, rc_k)), cast(array() as array<string>))"
-    df = df.withColumns({"__texts": column(texts), "__paths": column(paths)})
-    df = df.withColumn("__hits", column(let("rc_p", "__paths", f"transform(__texts, (rc_t, rc_k) -> {hits_sql('rc_t', book, boosted=boosted)})")))
+    df = df.withColumns({"__every": column(texts), **({"__paths": column(paths)} if named else {})})
+    df = df.withColumn("__texts", column("__every" if boosts else _told_apart("__every")))
+    hits = f"transform(__texts, (rc_t, rc_k) -> {hits_sql('rc_t', book, boosted=boosted)})"
+    df = df.withColumn("__hits", column(let("rc_p", "__paths", hits) if boosts else hits))
     df = _rewritten(df, chosen, check_mode(mode), skip, redact_with, how)
+    if not boosts:
+        df = df.withColumns({c: column(_for_each("__every", "__texts", c)) for c in ("__done", "__hits")[:1 + report]})
     values, base = {}, []
     for c in targets:
         if _has(kinds[c], T.StringType):
