@@ -6,6 +6,7 @@ import os
 import uuid
 from datetime import datetime, timezone
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -706,12 +707,38 @@ FILE_ROWS = 200
 
 
 def _file_each(rows: DataFrame, path: str) -> None:
-    """A file per row, written by several tasks a core; each task moves its own files, as the driver would one after the other.
+    """A file per row, written by several tasks a core, as Spark writes lines of text.
 
-    Ranges, as the first of them is never empty: Spark writes a file without rows for an empty first partition.
+    Below a folder that tasks can open they write the files themselves: Spark's writer starts two processes a file there, to set permissions.
+    A task's rows are in order, and a file appears whole, so a task that runs again writes the same files. Elsewhere each task
+    of Spark's writer moves its own files, as the driver would one after the other; its first range is never empty, as Spark
+    writes a file without rows for an empty first partition.
     """
-    rows.repartitionByRange(4 * rows.sparkSession.sparkContext.defaultParallelism, "value").write.option("maxRecordsPerFile", 1).option(
-        "mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "value")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    uri = store.makeQualified(place).toUri()
+    if uri.getScheme() != "file":
+        dealt.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path)
+        return
+    store.mkdirs(place)
+    folder = uri.getPath()
+
+    def written(batches):
+        task, n = TaskContext.get(), 0
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                name = f"part-{task.partitionId():05d}-{n:09d}.txt"
+                beside = os.path.join(folder, f".{name}.{task.taskAttemptId()}")
+                with open(beside, "wb") as out:
+                    out.write((value or b"") + b"\n")
+                os.replace(beside, os.path.join(folder, name))
+                n += 1
+            yield batch.slice(0, 0)
+
+    lines = dealt.sortWithinPartitions("value").select(F.col("value").cast("binary").alias("value"))
+    lines.mapInArrow(written, lines.schema).write.format("noop").mode("overwrite").save()
 
 
 def _read_once(spark, path):

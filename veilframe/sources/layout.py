@@ -17,3 +17,14 @@ def spread(df: DataFrame, parts: int | None = None, rows: int = TASK_ROWS) -> Da
     """
     parts = parts or max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def gather(df: DataFrame, splits: int = 16) -> DataFrame:
+    """Merge up to ``splits`` splits of an input of very many small files into one, without a shuffle.
+
+    A split holds some 32 small files, as Spark counts each as 4 MB, and a task that detects takes longer to start than to read them.
+    Four tasks a core are left at least; an input of fewer splits is left as it is.
+    """
+    held = df.rdd.getNumPartitions()
+    parts = max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-held // splits))
+    return df.coalesce(parts) if parts < held else df

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout import gather
+
 CORRUPT = "_corrupt_record"
 
 
@@ -173,10 +175,20 @@ def read_jsonl(spark: SparkSession, path, schema: T.StructType | str | None = No
     return lines.select(F.from_json("value", wide, options).alias("r")).select("r.*")
 
 
+#: File names that no compression codec claims, and all others.
+_PLAIN, _OTHER = "*.txt", "{*[!t],*[!x]t,*[!t]xt,*[!.]txt,t,xt,txt}"
+
+
 def read_text_files(spark: SparkSession, path) -> DataFrame:
-    """(path, text): each file is one text."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """(path, text): each file is one text.
+
+    Files named ``.txt`` are read as bytes: the reader of whole texts copies the cluster's settings for every file, which costs ten
+    times a small file's reading. That reader takes all others, as their names may ask for unpacking.
+    """
+    name = F.col("_metadata.file_path").alias("path")
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", _PLAIN).load(path).select(name, F.col("content").cast("string").alias("text"))
+    other = spark.read.option("pathGlobFilter", _OTHER).text(path, wholetext=True).select(name, F.col("value").alias("text"))
+    return gather(plain.unionByName(other))
 
 
 def normalise_sheet(df: DataFrame, headers=None) -> DataFrame:
